@@ -226,10 +226,14 @@ def match_lexical(queries: DataFrame, passages: DataFrame, keys: list[str], k: i
         query_key, *keys, "hits", "rank")
 
 
-def first_ranks(rankings: DataFrame, query: str, system: str, doc: str, score: str) -> DataFrame:
-    """Rank per (query, system) from 1; a document listed twice keeps its first rank."""
+def first_ranks(rankings: DataFrame, query: str, system: str, doc: str, score: str,
+                depth: int | None = None) -> DataFrame:
+    """Rank per (query, system) from 1; a document listed twice keeps its first rank. With
+    ``depth`` only that many places are looked at, and cut before the shuffle."""
     w = Window.partitionBy(query, system).orderBy(F.desc(score), doc)
     ranked = rankings.withColumn("rank", F.row_number().over(w))
+    if depth:
+        ranked = ranked.filter(F.col("rank") <= depth)
     return ranked.groupBy(query, system, doc).agg(F.min("rank").alias("rank"))
 
 

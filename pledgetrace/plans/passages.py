@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
+from ..operators import evidence as ev
 from ..operators import retrieval as rt
 from ..operators.chunking import chunk, quarantined_rows
 from ..profile import ENGLISH
@@ -176,3 +177,96 @@ def r8(spark, sf):
                            text="chunk")
     return hits.select("query_id", *KEYS, F.round("fused", 6).alias("fused"),
                        F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def ranked_sql(k: int) -> str:
+    """Best passage per page, then the first of equal texts, in rank order."""
+    return hybrid_sql(k) + """,
+pg as (select page_id, left(sha256(text), 16) as text_key, url, published_year from source_pages),
+b1 as (select *, row_number() over (partition by query_id, page_id order by rank) as r1 from hyb join pg using (page_id) qualify r1 = 1),
+b2 as (select *, row_number() over (partition by query_id, text_key order by rank) as r2 from b1 qualify r2 = 1),
+docs as (select query_id, page_id, chunk_index, url, published_year, row_number() over (partition by query_id order by rank) as doc_rank from b2)"""
+
+
+@query("R10_rank_documents", ranked_sql(20) + """
+select query_id, page_id, cast(chunk_index as int) as chunk_index, cast(doc_rank as int) as doc_rank, chunk from docs join chunks using (page_id, chunk_index) where doc_rank <= 5""")
+def r10(spark, sf):
+    best = ev.rank_documents(commitment_queries(spark, sf), view(spark, sf, "source_pages"),
+                             ENGLISH)
+    return best.filter(F.col("doc_rank") <= 5).select(
+        "query_id", "page_id", "chunk_index", F.col("doc_rank").cast("int").alias("doc_rank"),
+        "chunk")
+
+
+@query("R14_find_evidence", ranked_sql(20) + """,
+l as (select query_id as commitment_id, url, published_year, round(similarity, 4) as sim from docs join sims using (query_id, page_id, chunk_index) where doc_rank <= 5)
+select commitment_id, url, sim as similarity, round(0.6 * sim, 4) as score,
+ case when sim >= 0.48 then 'supporting' when sim >= 0.4 then 'related_but_indirect' else 'probably_unrelated' end as suggested_relationship,
+ case when sim >= 0.58 then 'the text is a close match' when sim >= 0.48 then 'the text is fairly similar' when sim >= 0.4 then 'some text overlap' else 'little text in common' end
+ || case when published_year < 2020 then '; published ' || published_year || ' — predates the strategy, so it can only be context' else '' end as reasons,
+ case when published_year < 2020 then 'background_only' else 'unknown' end as status_hint, 'affirmative' as polarity from l""")
+def r14(spark, sf):
+    out = ev.find_evidence(commitment_queries(spark, sf), view(spark, sf, "source_pages"),
+                           ENGLISH, baseline_year=2020)
+    e = out["evidence"].select(F.col("id").alias("evidence_id"), "status_hint", "polarity")
+    return out["links"].join(e, "evidence_id").select(
+        "commitment_id", "url", F.col("features.similarity").alias("similarity"), "score",
+        "suggested_relationship", F.array_join("reasons", "; ").alias("reasons"), "status_hint",
+        "polarity")
+
+
+@query("R11_missing_vectors", "select doc_id as page_id from documents where doc_id % 3 = 0")
+def r11(spark, sf):
+    pages = view(spark, sf, "source_pages")
+    key = tx.content_key(F.lit("hashing"), 2400, "text")
+    # stored vectors: every third text has changed since
+    old = F.when(F.col("page_id") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    stored = pages.select("page_id", tx.content_key(F.lit("hashing"), 2400, old)
+                          .alias("embed_model"))
+    return rt.missing_vectors(pages, stored, key).select("page_id")
+
+
+@query("T2_lexical_pool", QUERY_SQL + """
+select query_id, page_id, cast(chunk_index as int) as chunk_index, hits from lex qualify row_number() over (partition by query_id order by hits desc, page_id, chunk_index) <= 40""")
+def t2(spark, sf):
+    return rt.match_lexical(commitment_queries(spark, sf), passages(spark, sf), KEYS,
+                            rt.pool_size(10), text="chunk").drop("rank")
+
+
+@query("T3_fused_top", hybrid_sql(10) + """
+select query_id, page_id, cast(chunk_index as int) as chunk_index, cast(rank as int) as rank from hyb""")
+def t3(spark, sf):
+    return rt.match_hybrid(commitment_queries(spark, sf), passages(spark, sf), KEYS, 10,
+                           text="chunk").select("query_id", *KEYS, "rank")
+
+
+@query("W2_best_chunk", hybrid_sql(20) + """
+select query_id, page_id, cast(chunk_index as int) as chunk_index from hyb qualify row_number() over (partition by query_id, page_id order by rank) = 1""")
+def w2(spark, sf):
+    hits = rt.match_hybrid(commitment_queries(spark, sf), passages(spark, sf), KEYS, 20,
+                           text="chunk")
+    return hits.groupBy("query_id", "page_id").agg(F.min_by("chunk_index", "rank")
+                                                   .alias("chunk_index"))
+
+
+@query("W3_drop_copies", ranked_sql(20) + " select query_id, page_id, cast(doc_rank as int) as doc_rank from docs")
+def w3(spark, sf):
+    best = ev.rank_documents(commitment_queries(spark, sf), view(spark, sf, "source_pages"),
+                             ENGLISH)
+    return best.select("query_id", "page_id", F.col("doc_rank").cast("int").alias("doc_rank"))
+
+
+@query("W10_chunk_index", CHUNK_SQL + " select page_id, count(*) as n, cast(max(chunk_index) as int) as last from chunks group by all")
+def w10(spark, sf):
+    return passages(spark, sf).groupBy("page_id").agg(F.count("*").alias("n"),
+                                                      F.max("chunk_index").alias("last"))
+
+
+@query("J19_scored_bounds", QUERY_SQL + """,
+b as (select query_id, min(similarity) as d0, max(similarity) as d1 from sims group by all)
+select query_id, page_id, cast(chunk_index as int) as chunk_index, round((similarity - d0) / greatest(d1 - d0, 1e-9), 6) as scaled from sims join b using (query_id)
+qualify row_number() over (partition by query_id order by similarity desc, page_id, chunk_index) <= 20""")
+def j19(spark, sf):
+    return rt.fuse_minmax(commitment_queries(spark, sf), passages(spark, sf), KEYS, 20,
+                          text="chunk", weight=0.0).select(
+        "query_id", *KEYS, F.round("fused", 6).alias("scaled"))
