@@ -19,24 +19,24 @@ def mentions(passages: DataFrame, key: list[str], text: str, places: DataFrame)
     """(key, name) for every gazetteer name a passage holds; the name may not begin inside
     a word but may carry an ending.
 
-    A name's first word is cut to a stem of four characters, and so is every word of the
-    passage; only equal stems meet, so no passage is compared with the whole gazetteer.
-    Distinct stems of a passage are few, its text is joined once per stem that is known."""
-    stem = lambda c: F.left(F.regexp_extract(F.lower(c), f"{tx.WORD}+", 0), F.lit(4))
+    Only the last word of a name can be inflected, so the first word of a longer name has to be
+    a word of the passage, and a one-word name has to share four letters with one. Passages and
+    names meet on these by equality; the text is fetched for the pairs that are left."""
+    first = F.regexp_extract(F.lower("name"), f"{tx.WORD}+", 0)
+    whole = F.lower("name").rlike(rf"{tx.WORD}{tx.NON_WORD}+{tx.WORD}")
     names = (place_names(places).filter(F.length("name") >= MIN_NAME)
-             .select("name", stem(F.col("name")).alias("_stem")))
-    # names whose first word is shorter than the stem must match that word's start
-    names = names.select("name", F.left("_stem", F.least(F.length("_stem"), F.lit(4)))
-                         .alias("_stem"))
-    words = F.array_distinct(F.flatten(F.transform(
-        tx.terms(text), lambda w: F.transform(
-            F.sequence(F.lit(1), F.least(F.length(w), F.lit(4))),
-            lambda n: F.left(w, n)))))
-    hit = F.col("_text").rlike(F.concat(
+             .select("name", F.when(whole, first).otherwise(F.concat(
+                 F.left(first, F.lit(4)), F.lit("*"))).alias("_key")))
+    toks = tx.terms(text)
+    keys = F.array_distinct(F.concat(toks, F.transform(
+        toks, lambda w: F.concat(F.left(w, F.lit(4)), F.lit("*")))))
+    pairs = passages.select(*key, F.explode(keys).alias("_key")).join(names, "_key").select(
+        *key, "name").distinct()
+    hit = F.rlike(F.col("_text"), F.concat(
         F.lit(rf"(?iu){tx.NOT_AFTER_WORD}"),
         F.regexp_replace("name", r"([^\p{L}\p{N}])", r"\\$1")))
-    return (passages.select(*key, F.col(text).alias("_text"), F.explode(words).alias("_stem"))
-            .join(names, "_stem").filter(hit).select(*key, "name"))
+    return (pairs.join(passages.select(*key, F.col(text).alias("_text")), key)
+            .filter(hit).select(*key, "name"))
 
 
 def resolve_parcels(found: DataFrame, places: DataFrame) -> DataFrame:

@@ -84,13 +84,15 @@ def search_hits(queries: DataFrame, results: DataFrame, limit: int) -> DataFrame
     lengths = [r[0] for r in subs.select(F.length("_sub").alias("n")).distinct().collect()]
     if not lengths:
         return queries.join(subs, F.lit(False)).select("query_id", "url", "pos")
-    low = F.lower("query")
-    pieces = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.when(F.length(low) >= n, F.sequence(F.lit(1), F.length(low) - (n - 1)))
-                    .otherwise(F.array().cast("array<int>")),
-                    lambda i, n=n: F.substring(low, i, F.lit(n))) for n in lengths])))
+    def cut(n: int):
+        starts = F.when(F.length("_low") >= n, F.sequence(F.lit(1), F.length("_low") - (n - 1)))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
+                           lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in lengths])))
     w = Window.partitionBy("query_id").orderBy("pos")
-    return (queries.select("query_id", F.explode(pieces).alias("_sub"))
+    low = queries.select("query_id", F.lower("query").alias("_low"))
+    return (low.select("query_id", F.explode(pieces).alias("_sub"))
             .join(subs, "_sub").withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= limit).select("query_id", "url", "pos"))
 
