@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..profile import Profile
 from .text import (NOT_BEFORE_WORD, WORD, _col, first_year, let, quote_regex, squash,
                    without_space)
 
-NO_MATCH = r"(?!)"
+NO_MATCH, MARK = r"(?!)", "\uffff"
 MONEY = ("array<struct<amount_raw:string,currency:string,amount_native:string,"
          "amount:decimal(38,6),amount_huf:bigint,kind:string,year:int,sentence:string>>")
 
@@ -92,23 +94,23 @@ def money_mentions(text: Column | str, profile: Profile) -> Column:
     if not profile.currency_words:
         return F.array().cast(MONEY)
     rx = _pattern(profile)
-    found = F.struct(text.alias("text"), F.split(text, rx, -1).alias("between"),
-                     F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("hits"))
-
-    def read(f: Column) -> Column:
-        size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0),
-                                        lambda s, x: s + F.length(x))
-
-        def one(hit: Column, i: Column) -> Column:
-            # the hit by itself parses the way it did in the text
+    # a code point no text may hold marks both ends of every match
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), rx,
+                              MARK + "$0" + MARK)
+
+    def read(parts: Column) -> Column:
+        # parts: text, match, text, match, …, text
+        def one(i: Column) -> Column:
+            hit = F.element_at(parts, i * 2)
+            # the match by itself parses the way it did in the text
             group = lambda g: F.regexp_extract(hit, rx, g)
             pick = lambda a, b: F.coalesce(F.nullif(group(a), F.lit("")), group(b))
-            start = size(f["between"], i + 1) + size(f["hits"], i)
-            return let(start, lambda at: F.struct(
+            return F.struct(
                 hit.alias("hit"), pick(1, 6).alias("word"), pick(2, 4).alias("number"),
-                pick(3, 5).alias("mult"), F.left(f["text"], at).alias("left"),
-                F.substring(f["text"], at + F.length(hit) + 1, F.lit(1 << 30)).alias("right")))
-        return F.transform(f["hits"], one)
+                pick(3, 5).alias("mult"),
+                F.array_join(F.slice(parts, F.lit(1), i * 2 - 1), "").alias("left"),
+                F.array_join(F.slice(parts, i * 2 + 1, F.size(parts)), "").alias("right"))
+        return F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), one)
 
     def finish(m: Column) -> Column:
         parts = F.struct(
@@ -123,8 +125,11 @@ def money_mentions(text: Column | str, profile: Profile) -> Column:
             budget_kind(p["sentence"], profile).alias("kind"),
             first_year(p["sentence"]).alias("year"), p["sentence"].alias("sentence")))
 
-    # most passages name no sum at all: one cheap look before the full reading
-    return F.when(text.rlike(rx), F.transform(let(found, read), finish).cast(MONEY)).otherwise(
+    # most passages name no sum at all: look for a currency word before the full reading
+    named = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [
+        F.contains(low, F.lit(w.lower())) for w in profile.currency_words]))
+    found = F.when(named, F.split(marked, MARK, -1))
+    return F.when(F.size(found) > 1, F.transform(let(found, read), finish).cast(MONEY)).otherwise(
         F.array().cast(MONEY))
 
 

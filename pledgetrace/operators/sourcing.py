@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stage
 
 
 def routed_sources(commitments: DataFrame, sources: DataFrame) -> DataFrame:
@@ -83,7 +84,9 @@ def search_hits(queries: DataFrame, results: DataFrame, limit: int) -> DataFrame
     subs = results.withColumn("_sub", F.lower("query_substring"))
     lengths = [r[0] for r in subs.select(F.length("_sub").alias("n")).distinct().collect()]
     if not lengths:
-        return queries.join(subs, F.lit(False)).select("query_id", "url", "pos")
+        return queries.filter(F.lit(False)).select(
+            "query_id", F.lit(None).cast("string").alias("url"),
+            F.lit(None).cast(results.schema["pos"].dataType).alias("pos"))
     def cut(n: int):
         starts = F.when(F.length("_low") >= n, F.sequence(F.lit(1), F.length("_low") - (n - 1)))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
@@ -97,44 +100,74 @@ def search_hits(queries: DataFrame, results: DataFrame, limit: int) -> DataFrame
             .filter(F.col("_rn") <= limit).select("query_id", "url", "pos"))
 
 
+def _hits_by_part(asked: DataFrame, results: DataFrame, limit: int) -> DataFrame:
+    """search_hits for asked(commitment_id, domain, tail), where a query reads
+    "site:<domain> <tail>". Domains and tails are looked up once each, not once per pair; only
+    substrings with a blank can lie across the two, and only those are looked up per pair."""
+    tails = asked.select("commitment_id", "tail").distinct().withColumn(
+        "query_id", F.struct("commitment_id", "tail"))
+    in_tail = search_hits(tails.select("query_id", F.col("tail").alias("query")), results, limit)
+    in_tail = in_tail.select("query_id.*", "url", "pos").join(asked, ["commitment_id", "tail"])
+    heads = asked.select("domain").distinct()
+    in_head = search_hits(heads.select(F.col("domain").alias("query_id"), F.concat(
+        F.lit("site:"), "domain").alias("query")), results, limit)
+    in_head = in_head.withColumnRenamed("query_id", "domain").join(asked, "domain")
+    across = results.filter(F.contains(F.col("query_substring"), F.lit(" ")))
+    pairs = asked.select(F.struct("commitment_id", "domain").alias("query_id"), F.concat(
+        F.lit("site:"), "domain", F.lit(" "), "tail").alias("query"))
+    over = search_hits(pairs, across, limit).select("query_id.*", "url", "pos")
+    cols = ["commitment_id", "domain", "pos", "url"]
+    every = in_tail.select(*cols).unionByName(in_head.select(*cols)).unionByName(
+        over.select(*cols)).distinct()
+    w = Window.partitionBy("commitment_id", "domain").orderBy("pos")
+    return every.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+
+
 def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFrame,
                    configured: list[str], limit: int = 5) -> DataFrame:
     """Per commitment the addresses to read, in the order they were found: search hits
     domain by domain, then the registry; fragments cut, first mention kept, allowlist only.
 
     commitments(id, title, code, jurisdiction) -> (commitment_id, url, position)."""
-    domains = owner_domains(commitments, sources, configured)
+    # both are read by several branches below
+    domains = stage(owner_domains(commitments, sources, configured), "domains")
     key = tx.search_key("title", "code")
     asked = (commitments.select(F.col("id").alias("commitment_id"), "jurisdiction",
                                 key.alias("_key")).join(domains, "jurisdiction")
-             .withColumn("query", F.concat(
-                 F.lit("site:"), "domain", F.lit(" "),
-                 F.when(F.col("routed"), tx.strip(F.concat_ws(" ", "_key", "term")))
-                 .otherwise(F.col("_key"))))
-             .withColumn("query_id", F.struct("commitment_id", "domain")))
-    hits = search_hits(asked.select("query_id", "query"), results, limit).select(
-        F.col("query_id.commitment_id").alias("commitment_id"), "url",
-        F.struct(F.lit(0).alias("src"), F.col("query_id.domain").alias("domain"),
-                 F.col("pos").cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("id"))
-        .alias("_o"))
-    reg = routed_sources(commitments, sources)
-    listed = (commitments.select(F.col("id").alias("commitment_id"), "jurisdiction")
-              .join(reg, "jurisdiction")
-              .select("commitment_id", "url",
-                      F.struct(F.lit(1).alias("src"), F.lit("").alias("domain"),
-                               F.col("sort_order").cast("bigint").alias("pos"),
-                               F.col("id").cast("bigint").alias("id")).alias("_o")))
-    urls = (hits.unionByName(listed).withColumn("url", tx.canonical_url("url"))
-            .groupBy("commitment_id", "url").agg(F.min("_o").alias("_o")))
-    # the allowlist differs per owner, so it is checked on (owner, host)
+             .withColumn("tail", F.when(F.col("routed"), tx.strip(F.concat_ws(
+                 " ", "_key", "term"))).otherwise(F.col("_key")))
+             .select("commitment_id", "domain", "tail"))
+    asked = stage(asked, "asked")
     owner = commitments.select(F.col("id").alias("commitment_id"), "jurisdiction")
-    urls = urls.join(owner, "commitment_id").withColumn("_host", tx.host("url"))
+    hits = stage(_hits_by_part(asked, results, limit).join(owner, "commitment_id").select(
+        "commitment_id", "jurisdiction", tx.canonical_url("url").alias("url"),
+        F.struct(F.lit(0).alias("src"), "domain", F.col("pos").cast("bigint").alias("pos"),
+                 F.lit(0).cast("bigint").alias("id")).alias("_o")), "hits")
+    # addresses are judged once per owner, before they meet the commitments
+    good = _on_owner_domains(hits.select("jurisdiction", "url").distinct(), domains)
+    hits = hits.join(good, ["jurisdiction", "url"], "left_semi")
+    first = F.min(F.struct(
+        F.lit(1).alias("src"), F.lit("").alias("domain"),
+        F.col("sort_order").cast("bigint").alias("pos"), F.col("id").cast("bigint").alias("id")))
+    listed = _on_owner_domains(
+        routed_sources(commitments, sources)
+        .groupBy("jurisdiction", tx.canonical_url("url").alias("url")).agg(first.alias("_o")),
+        domains)
+    urls = (hits.select("commitment_id", "url", "_o").unionByName(
+        owner.join(listed, "jurisdiction").select("commitment_id", "url", "_o"))
+        .groupBy("commitment_id", "url").agg(F.min("_o").alias("_o")))
+    w = Window.partitionBy("commitment_id").orderBy("_o")
+    return (urls.withColumn("position", F.row_number().over(w))
+            .select("commitment_id", "url", "position"))
+
+
+def _on_owner_domains(urls: DataFrame, domains: DataFrame) -> DataFrame:
+    """P15 per owner: rows (jurisdiction, url, …) whose host is one of the owner's domains or
+    below one."""
+    urls = urls.filter(tx.web_url("url")).withColumn("_host", tx.host("url"))
     ok = (urls.select("jurisdiction", "_host").distinct()
           .select("jurisdiction", "_host",
                   F.explode(tx.host_suffixes(F.col("_host"))).alias("domain"))
           .join(domains.select("jurisdiction", "domain"), ["jurisdiction", "domain"],
                 "left_semi").select("jurisdiction", "_host").distinct())
-    w = Window.partitionBy("commitment_id").orderBy("_o")
-    return (urls.filter(tx.web_url("url")).join(ok, ["jurisdiction", "_host"], "left_semi")
-            .withColumn("position", F.row_number().over(w))
-            .select("commitment_id", "url", "position"))
+    return urls.join(ok, ["jurisdiction", "_host"], "left_semi").drop("_host")

@@ -9,6 +9,7 @@ from ..functions import rules as rl
 from ..functions import text as tx
 from ..operators import matching as mt
 from ..profile import ENGLISH, make_profile
+from ..session import spread
 from .registry import query
 from .texts import frame
 from .views import cte, table, view
@@ -25,7 +26,7 @@ STATUS_SQL = """case o_orderstatus when 'F' then 'completed' when 'O' then 'in_i
 
 
 def evidence(spark, sf):
-    return view(spark, sf, "evidence")
+    return spread(view(spark, sf, "evidence"))
 
 
 @query("E1_polarity", cte("evidence") + " select id, polarity from evidence")

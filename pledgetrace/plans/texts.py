@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions.vectors import fit_vector
 from ..operators import pages as pg
 from ..profile import ENGLISH
+from ..session import spread
 from .registry import query
 from .views import cte, table, view
 
@@ -20,7 +21,8 @@ def frame(spark, sf, sql: str):
     import re
     from .views import BASE
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: (table if n in BASE else view)(spark, sf, n) for n in names})
+    return spread(spark.sql(sql, **{n: (table if n in BASE else view)(spark, sf, n)
+                                    for n in names}))
 
 
 @query("P1_squash", rf"select doc_id, trim(regexp_replace(text, '{SQL_WS}+', ' ', 'g')) as text from documents")
