@@ -138,9 +138,9 @@ def kappa(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     total = counts.groupBy(*group).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))
                                      .otherwise(0)).alias("same"))
-    rows = counts.groupBy(*group, F.col("a").alias("g")).agg(F.sum("n").alias("x"))
-    cols = counts.groupBy(*group, F.col("b").alias("g")).agg(F.sum("n").alias("y"))
-    chance = (rows.join(cols, [*group, "g"]).groupBy(*group)
+    rows = counts.groupBy(*group, F.col("a").alias("_lab")).agg(F.sum("n").alias("x"))
+    cols = counts.groupBy(*group, F.col("b").alias("_lab")).agg(F.sum("n").alias("y"))
+    chance = (rows.join(cols, [*group, "_lab"]).groupBy(*group)
               .agg(F.sum(F.col("x") * F.col("y")).alias("xy")))
     n2 = F.col("n") * F.col("n")
     xy = F.coalesce("xy", F.lit(0))

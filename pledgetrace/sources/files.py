@@ -72,7 +72,7 @@ def grade_rows(lines: DataFrame) -> DataFrame:
 
 def read_grade_sheets(spark: SparkSession, path: str) -> DataFrame:
     """One filled-in sheet per file, the grader is the file name."""
-    sheets = spark.read.option("wholetext", True).text(path).select(
+    sheets = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(?:\.[^.]*)?\z", 1)
         .alias("grader"), "value")
     return grade_rows(sheets.select("grader", F.posexplode(F.split("value", r"\r\n|[\n\r]"))
