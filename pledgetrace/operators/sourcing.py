@@ -13,16 +13,14 @@ def routed_sources(commitments: DataFrame, sources: DataFrame) -> DataFrame:
     """(commitment_id, jurisdiction, url, publisher, sort_order, id): general sources serve
     every owner, the others only their own.
 
-    Sources are matched per owner, of which there are five, and owners are then equi-joined to
-    commitments."""
-    owners = commitments.select("jurisdiction").distinct()
-    general = (sources.filter(F.col("jurisdiction").isNull()).drop("jurisdiction")
-               .withColumn("_any", F.lit(1)))
-    for_all = owners.withColumn("_any", F.lit(1)).join(general, "_any").drop("_any")
-    own = owners.join(sources, "jurisdiction")
-    per_owner = for_all.withColumn("general", F.lit(True)).unionByName(
-        own.withColumn("general", F.lit(False)))
-    return per_owner
+    Owners are an enumeration of a few values; each general source is repeated for those that
+    occur, and owners are then equi-joined to commitments."""
+    owners = [r[0] for r in commitments.select("jurisdiction").distinct().collect()]
+    kinds = F.array(*[F.lit(o) for o in owners]).cast("array<string>")
+    general = (sources.filter(F.col("jurisdiction").isNull())
+               .withColumn("jurisdiction", F.explode(kinds)).withColumn("general", F.lit(True)))
+    own = sources.filter(F.col("jurisdiction").isin(owners)).withColumn("general", F.lit(False))
+    return general.unionByName(own)
 
 
 def owner_domains(commitments: DataFrame, sources: DataFrame, configured: list[str]) -> DataFrame:

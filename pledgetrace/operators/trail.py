@@ -39,14 +39,17 @@ def _choose(c: Column, table: dict, default) -> Column:
 def artifact_status(bridge: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per contract the most severe state and the first passage that reached it
     (lowest id); an active contract has none."""
-    rank = _choose(F.col("polarity"), {p: r for p, (_, r) in SEVERITY.items()}, 0)
     joined = bridge.join(evidence.select(F.col("id").alias("evidence_id"), "polarity"),
                          "evidence_id")
-    worst = joined.groupBy("procurement_id").agg(
-        F.max(F.struct(rank.alias("rank"), (-F.col("evidence_id")).alias("neg"))).alias("w"))
-    status = _choose(F.col("w.rank"), {r: s for s, r in SEVERITY.values()}, "active")
+    # one plain minimum per state: a hash aggregate over two numbers
+    first = lambda p: F.min(F.when(F.col("polarity") == p, F.col("evidence_id")))
+    worst = joined.groupBy("procurement_id").agg(first("termination").alias("t"),
+                                                 first("amendment").alias("a"))
+    status = (F.when(F.col("t").isNotNull(), F.lit(SEVERITY["termination"][0]))
+              .when(F.col("a").isNotNull(), F.lit(SEVERITY["amendment"][0]))
+              .otherwise(F.lit(SEVERITY["affirmative"][0])))
     return worst.select("procurement_id", status.alias("status"),
-                        F.when(F.col("w.rank") > 0, -F.col("w.neg")).alias("status_evidence_id"))
+                        F.coalesce("t", "a").alias("status_evidence_id"))
 
 
 def regressed_evidence(bridge: DataFrame, artifacts: DataFrame) -> DataFrame:

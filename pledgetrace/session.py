@@ -70,12 +70,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame, target_bytes: int = 64 << 20) -> DataFrame:
+def spread(df: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     """Give a small input at least one partition per core before a CPU-heavy step.
 
-    An input that already fills the cores by itself keeps its scan partitions, so large
-    tables are never shuffled for this."""
+    Files of one row group land in one task however small they are cut. An input large enough
+    to fill the cores by itself keeps its scan partitions, so large tables are never shuffled
+    for this, and one already repartitioned is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) >= cores * target_bytes:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) >= cores * target_bytes or "Repartition" in str(plan):
         return df
     return df.repartition(cores)
