@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import by_range, starts
 from .retrieval import top_per
 
-SCORE_BUCKETS = 1024
-
 
 def load_qrels(inline: DataFrame, files: DataFrame) -> DataFrame:
     """inline(query, doc) counts as grade 1; files(query, doc, grade, source_rank, line)
@@ -64,29 +63,17 @@ def auroc(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """L3: chance that a positive outscores a negative, ties half: (group…, auroc), null when
     a side is empty. scores(group…, score, positive).
 
-    Rows are first counted per distinct score; negatives below a score are the sum over lower
-    score buckets plus a running count inside its own bucket, so no window spans everything."""
+    Rows are first counted per distinct score; the negatives below a score are those of the
+    ranges before its own plus a running count inside its range, so no window spans a group."""
     group = list(group)
     pos, neg = F.col("positive"), ~F.col("positive")
     per = scores.groupBy(*group, "score").agg(F.count(F.when(pos, 1)).alias("p"),
                                               F.count(F.when(neg, 1)).alias("n"))
-    bounds = per.groupBy(*group).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"),
-                                     F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    if group:
-        per = per.join(F.broadcast(bounds.select(*group, "_lo", "_hi")), group)
-    else:
-        lo, hi = bounds.select("_lo", "_hi").first()  # two numbers
-        per = per.withColumn("_lo", F.lit(lo)).withColumn("_hi", F.lit(hi))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    per = per.withColumn("_b", F.floor((F.col("score") - F.col("_lo")) / width * SCORE_BUCKETS))
-    before = Window.partitionBy(*group, F.lit(0)).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)  # SCORE_BUCKETS + 1 rows per group at most
-    starts = per.groupBy(*group, "_b").agg(F.sum("n").alias("_c")).select(
-        *group, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy(*group, "_b").orderBy("score").rowsBetween(
+    parts = by_range(per, group, ["score"])
+    inside = Window.partitionBy(*group, "_part").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1)
     lower = F.col("_below") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    wins = (per.join(F.broadcast(starts), [*group, "_b"])
+    wins = (parts.join(starts(parts, group, F.sum("n"), "_below"), [*group, "_part"])
             .withColumn("_w", F.col("p") * (lower + F.col("n") / 2.0))
             .groupBy(*group).agg(F.sum("_w").alias("_wins"), F.sum("p").alias("_p"),
                                  F.sum("n").alias("_n")))

@@ -21,6 +21,7 @@ from ..functions.text import _col, words
 from ..functions.tokens import HashedVectors, TopRows, split_terms
 from ..functions.vectors import hash_dim
 from ..session import spread, stage
+from .order import numbered
 
 QUERY_BLOCK = 1024
 SCORE_DIGITS = 9  # ties are decided by key, so equal texts must have equal scores
@@ -229,11 +230,11 @@ def match_lexical(queries: DataFrame, passages: DataFrame, keys: list[str], k: i
 def first_ranks(rankings: DataFrame, query: str, system: str, doc: str, score: str,
                 depth: int | None = None) -> DataFrame:
     """Rank per (query, system) from 1; a document listed twice keeps its first rank. With
-    ``depth`` only that many places are looked at, and cut before the shuffle."""
-    w = Window.partitionBy(query, system).orderBy(F.desc(score), doc)
-    ranked = rankings.withColumn("rank", F.row_number().over(w))
-    if depth:
-        ranked = ranked.filter(F.col("rank") <= depth)
+    ``depth`` only that many places are looked at, and cut before the shuffle; whole rankings
+    are numbered range by range."""
+    order = [F.desc(score), F.col(doc)]
+    ranked = (top_per(rankings, [query, system], order, depth) if depth
+              else numbered(rankings, [query, system], order, "rank"))
     return ranked.groupBy(query, system, doc).agg(F.min("rank").alias("rank"))
 
 
