@@ -46,27 +46,31 @@ class HashedVectors:
 class TopRows:
     """Best ``k`` rows per query over the batches of one task, ties by key columns.
 
-    Holds at most a few times k rows per query, whatever the size of the partition."""
-
-    def __init__(self, k: int, keys: list[str]) -> None:
-        self.k, self.keys, self._kept, self._floor = k, keys, [], {}
-        self._held, self._limit = 0, 200_000
-
-    def add(self, query: int, frame: pd.DataFrame, score: np.ndarray, **extra) -> None:
-        """Offer one query's scores for a batch."""
-        keep = np.arange(len(score))
-        if len(score) > self.k:
-            edge = np.partition(score, len(score) - self.k)[len(score) - self.k]
-            keep = keep[score >= edge]
-        floor = self._floor.get(query)
-        if floor is not None:
-            keep = keep[score[keep] >= floor]
-        if not len(keep):
+    Holds a few times k rows per query, whatever the size of the partition. Once a query has k
+    rows, its worst one is a floor that later batches have to reach."""
+
+    def __init__(self, k: int, keys: list[str], queries: int) -> None:
+        self.k, self.keys, self._kept = k, keys, []
+        self._floor = np.full(queries, -np.inf)
+        self._held, self._limit = 0, max(50_000, 3 * k * queries)
+
+    def add(self, keys: pd.DataFrame, scores: np.ndarray, valid: np.ndarray | None = None,
+            **extra: np.ndarray) -> None:
+        """Offer a batch: ``scores`` and the extra matrices are row x query; only entries that
+        are ``valid`` count."""
+        if valid is not None:
+            scores = np.where(valid, scores, -np.inf)
+        edge = self._floor
+        if len(scores) > self.k:
+            at = len(scores) - self.k
+            edge = np.maximum(edge, np.partition(scores, at, axis=0)[at])
+        row, query = np.nonzero((scores >= edge) & (scores > -np.inf))
+        if not len(row):
             return
-        part = frame.iloc[keep].copy()
-        part["_query"], part["_score"] = query, score[keep]
-        for name, values in extra.items():
-            part[name] = values[keep]
+        part = keys.iloc[row].reset_index(drop=True)
+        part["_query"], part["_score"] = query, scores[row, query]
+        for name, matrix in extra.items():
+            part[name] = matrix[row, query]
         self._kept.append(part)
         self._held += len(part)
         if self._held > self._limit:
@@ -81,9 +85,9 @@ class TopRows:
                                 kind="mergesort")
         rows = rows[rows.groupby("_query").cumcount() < self.k]
         full = rows.groupby("_query")["_score"].agg(["size", "min"])
-        self._floor = full[full["size"] >= self.k]["min"].to_dict()
+        full = full[full["size"] >= self.k]["min"]
+        self._floor[full.index.to_numpy()] = full.to_numpy()
         self._kept, self._held = [rows], len(rows)
-        self._limit = max(200_000, 2 * len(rows))
 
     def rows(self) -> pd.DataFrame | None:
         self._trim()

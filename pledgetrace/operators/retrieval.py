@@ -163,7 +163,7 @@ def candidates(queries: DataFrame, passages: DataFrame, keys: list[str], *, pool
     def make(block: _Block):
         def run(batches):
             model = provider() if with_vectors and vector not in p_cols else None
-            best = {s: TopRows(pool, keys) for s in ("dense", "lexical")}
+            best = {s: TopRows(pool, keys, len(block.ids)) for s in ("dense", "lexical")}
             for frame in batches:
                 if not len(frame) or not block.ids:
                     continue
@@ -171,17 +171,13 @@ def candidates(queries: DataFrame, passages: DataFrame, keys: list[str], *, pool
                        if with_vectors else np.zeros((len(frame), len(block.ids))))
                 hit = (block.hits(frame[text].tolist(), need_all) if lexical
                        else np.zeros((len(frame), len(block.ids))))
-                slim = frame[keys]
-                for q in range(len(block.ids)):
-                    if with_vectors and not block.live[q]:
-                        continue
-                    if dense:
-                        best["dense"].add(q, slim, sim[:, q], similarity=sim[:, q],
-                                          hits=hit[:, q])
-                    found = hit[:, q] > 0
-                    if lexical and found.any():
-                        best["lexical"].add(q, slim[found], hit[found, q],
-                                            similarity=sim[found, q], hits=hit[found, q])
+                asked = (np.broadcast_to(block.live, sim.shape) if with_vectors
+                         else np.ones(sim.shape, dtype=bool))
+                if dense:
+                    best["dense"].add(frame[keys], sim, asked, similarity=sim, hits=hit)
+                if lexical:
+                    best["lexical"].add(frame[keys], hit, asked & (hit > 0), similarity=sim,
+                                        hits=hit)
             for signal, top in best.items():
                 rows = top.rows()
                 if rows is not None:
@@ -306,7 +302,7 @@ def fuse_minmax(queries: DataFrame, passages: DataFrame, keys: list[str], k: int
                   .toPandas().set_index(query_key).reindex(block.ids))
 
         def fused(batches, block=block, b=bounds):
-            model, best = provider(), TopRows(k, keys)
+            model, best = provider(), TopRows(k, keys, len(block.ids))
             span_d = np.maximum((b["dmax"] - b["dmin"]).to_numpy(), FLOOR)
             span_l = np.maximum((b["lmax"] - b["lmin"]).to_numpy(), FLOOR)
             for frame in batches:
@@ -316,8 +312,7 @@ def fuse_minmax(queries: DataFrame, passages: DataFrame, keys: list[str], k: int
                 total = np.round(weight * (hit - b["lmin"].to_numpy()) / span_l
                                  + (1 - weight) * (sim - b["dmin"].to_numpy()) / span_d,
                                  SCORE_DIGITS)
-                for q in range(len(block.ids)):
-                    best.add(q, frame[keys], total[:, q])
+                best.add(frame[keys], total)
             rows = best.rows()
             if rows is not None:
                 rows[query_key] = [block.ids[q] for q in rows["_query"]]
