@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .tables import fold, small_batches, with_columns
 
 #: labelled texts per kind: the first so many for the dictionaries, the rest for the curve
@@ -75,9 +76,9 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def fit_quality(labelled: DataFrame, text: str = "text", label: str = "label") -> QualityModel:
-    """Fit on a bounded sample of (text, label 0/1): per kind the DICTIONARY_TEXTS + CURVE_TEXTS
-    rows of least hash, of longer texts SAMPLE_BYTES in evenly spread blocks."""
+def fit_quality(labelled: DataFrame, share: float, text: str = "text", label: str = "label") -> QualityModel:
+    """Fit on a sample of (text, label 0/1), per kind at most DICTIONARY_TEXTS + CURVE_TEXTS rows;
+    of longer texts SAMPLE_BYTES in evenly spread blocks. ``share`` is that of label 1 among all."""
     held = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0))
     raw = F.encode(text, "UTF-8")
     n, take = F.ceil(F.octet_length(text) / BLOCK), SAMPLE_BYTES // BLOCK
@@ -97,7 +98,6 @@ def fit_quality(labelled: DataFrame, text: str = "text", label: str = "label") -
         curve.append(rows[cut:] or rows)
     sizes = Sizes(*made)
     x = [np.array([(*sizes.figures(b"".join(r)), 1.0) for r in rows]) for rows in curve]
-    share = held.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     weights = logistic(np.concatenate(x), np.repeat([1.0, 0.0], [len(x[0]), len(x[1])]))
     # kinds are sampled alike: the offset is moved to the share of good labels among all
     share = min(max(share, 0.01), 0.99)
@@ -133,9 +133,16 @@ def quality_scores(docs: DataFrame, model: QualityModel, keep: list[str], text:
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, learn: F.Column) -> QualityModel:
-    """Fit on the documents that carry a quality label and satisfy ``learn`` (over doc_id)."""
-    marks = labels.select("doc_id", F.col("quality").alias("label")).filter(learn & F.col("label").isNotNull())
-    return fit_quality(docs.select("doc_id", "text").join(marks, "doc_id"))
+    """Fit on a bounded sample of the documents with a quality label that satisfy ``learn`` (over
+    doc_id). Ids are chosen first, so that only sampled texts are read for the fit."""
+    marks = (labels.select("doc_id", F.col("quality").alias("label")).filter(learn & F.col("label").isNotNull())
+             .join(docs.select("doc_id"), "doc_id", "left_semi"))
+    share = marks.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
+    ids = [marks.filter(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(
+        DICTIONARY_TEXTS + CURVE_TEXTS) for kind in (1, 0)]
+    # at most 2 * (DICTIONARY_TEXTS + CURVE_TEXTS) rows
+    chosen = F.broadcast(stage(ids[0].union(ids[1]).dropDuplicates(["doc_id"]), "labelled"))
+    return fit_quality(docs.select("doc_id", "text").join(chosen, "doc_id"), share)
 
 
 def learnable() -> F.Column:

@@ -9,6 +9,8 @@ from .quality import fit_on_labels, learnable, quality_scores
 from .registry import ORACLES, QUERIES, query
 from .simhash import simhash_components
 from .tables import fold, table
+from .toxicity import fit_toxicity, labelled_sample, toxicity_scores
+from .toxicity import learnable as toxic_learnable
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -19,6 +21,14 @@ def judged(scored: DataFrame, mod: int, held: int) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(*labelled_sample(docs, table(spark, sf_dir, "labels"), toxic_learnable()))
+    return judged(toxicity_scores(docs, model, ["doc_id"]), 5, 0)
+
+
 @query("op3_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
