@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import benchmarks
 from .quality import fit_on_labels, learnable, quality_scores
 from .registry import ORACLES, QUERIES, query
 from .simhash import simhash_components
@@ -41,3 +42,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontaminate", benchmarks.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return benchmarks.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
