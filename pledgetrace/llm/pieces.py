@@ -11,7 +11,8 @@ No piece has a blank behind another character, so merges stay within units: a ru
 the characters up to the next one. Units of all texts of a batch are merged side by side.
 
 Defined cases. A null text counts as empty and has no ids. U+2581 itself is encoded as bytes, so
-that it is not taken for a blank. Null keys count as key 0. Repeated rows of one key are encoded
+that it is not taken for a blank. Null keys count as key 0; keys that are no
+integers are hashed. Repeated rows of one key are encoded
 alike, those of other keys differ. An empty table gives no rows."""
 
 from __future__ import annotations
@@ -180,22 +181,14 @@ class Encoder:
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, the n + 1 bounds of the texts)."""
         v, total = self.v, len(texts)
-        joined = "".join(["▁" + t.replace("▁", "\U0010ffff▁").replace(" ", "▁") if t else "" for t in texts])
+        joined = "".join(["▁" + t.replace(" ", "▁") if t else "" for t in texts])
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-        ends = np.cumsum([1 + len(t) + t.count("▁") if t else 0 for t in texts])
+        ends = np.cumsum([1 + len(t) if t else 0 for t in texts])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        # an escaped U+2581 was written behind a marker; where the marker stands in a text by
-        # itself, no U+2581 follows that is not escaped, as blanks come after the escape
+        for i in (i for i, t in enumerate(texts) if "▁" in t):
+            own = np.frombuffer(texts[i].encode("utf-32-le"), np.uint32)
+            chars[starts[i] + 1 + np.flatnonzero(own == BLANK)] = LITERAL
         text_of = np.repeat(np.arange(total), ends - starts)
-        marked = [i for i, t in enumerate(texts) if t and "▁" in t]
-        if marked:
-            drop = np.zeros(len(chars), bool)
-            for i in marked:
-                own = [LITERAL if ch == "▁" else BLANK if ch == " " else ord(ch) for ch in texts[i]]
-                s = starts[i]
-                chars[s + 1:s + 1 + len(own)] = own
-                drop[s + 1 + len(own):ends[i]] = True
-            chars, text_of = chars[~drop], text_of[~drop]
         symbol = self.of_char[chars]
         blank = chars == BLANK
         head = np.ones(len(chars), bool)
@@ -206,7 +199,6 @@ class Encoder:
         first = np.searchsorted(of, np.arange(total))
         with np.errstate(over="ignore"):
             key = mixed(keys.astype(np.uint64)[of] * _K[0] + np.uint64(self.seed) * _K[3] + (np.arange(len(unit)) - first[of]).astype(np.uint64) * _K[1])
-        pieces: list[np.ndarray | None] = [None] * 0
         count = np.ones(len(unit), np.int64)
         unknown = symbol[unit] < 0
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -284,8 +276,8 @@ def encoded(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, key: str =
                 out["lossless"] = pa.array(same)
                 yield pa.RecordBatch.from_pydict(out)
 
-    number = docs.select(*keep, F.hash(F.lit(0), F.col(key)).cast("long").alias("_key") if docs.schema[key].dataType.simpleString() not in
-                         ("bigint", "int") else F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    number = docs.select(*keep, (F.col(key) if docs.schema[key].dataType.typeName() in ("long", "integer")
+                                 else F.xxhash64(key)).cast("long").alias("_key"), F.col(text).alias("_text"))
     return number.mapInArrow(task, f"{schema}, ids array<int>, n_ids bigint, lossless boolean")
 
 

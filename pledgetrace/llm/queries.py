@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmarks
+from . import benchmarks, chats, hosts
+from .licenses import license_spans
+from .pieces import encoded, load_vocabulary
 from .quality import fit_on_labels, learnable, quality_scores
 from .registry import ORACLES, QUERIES, query
 from .simhash import simhash_components
@@ -48,3 +50,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains."""
     return benchmarks.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op6_pieces")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as piece ids under merge-dropout, checked by decoding."""
+    return encoded(table(spark, sf_dir, "documents"), ["doc_id"], load_vocabulary())
+
+
+@query("op8_hosts", hosts.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page; a page's outcome is the quality label of the same id."""
+    good = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return hosts.url_verdicts(table(spark, sf_dir, "pages"), good)
+
+
+@query("op9_chats", chats.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    added = spark.createDataFrame(chats.ADDED, "conv_id long, turn long, role string, text string")
+    out = chats.conversations(chats.chain(rows.union(added)))
+    turns, loss = chats.read_turns(F.col("formatted")), chats.loss_text(F.col("formatted"), F.col("loss_spans"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.expr("try_cast(tree as bigint)").alias("conv_id"), turns.alias("turns"), loss.alias("loss"), "formatted",
+    ).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+             F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+             F.length("formatted").cast("long").alias("formatted_chars"))
