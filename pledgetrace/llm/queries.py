@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmarks, chats, hosts
+from . import benchmarks, chats, hosts, secrets
 from .licenses import license_spans
 from .pieces import encoded, load_vocabulary
 from .quality import fit_on_labels, learnable, quality_scores
@@ -85,3 +85,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
              F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"),
              F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; what the battery adds has no SQL."""
+    return secrets.digest(table(spark, sf_dir, "documents"))
