@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmarks, chats, hosts, secrets
+from . import benchmarks, chats, hosts, keys
 from .licenses import license_spans
 from .pieces import encoded, load_vocabulary
 from .quality import fit_on_labels, learnable, quality_scores
@@ -13,6 +13,7 @@ from .registry import ORACLES, QUERIES, query
 from .simhash import simhash_components
 from .tables import fold, table
 from .toxicity import fit_toxicity, labelled_sample, toxicity_scores
+from .vectors import cosine_links
 from .toxicity import learnable as toxic_learnable
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -90,4 +91,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secrets")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; what the battery adds has no SQL."""
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return keys.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op5_vectors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return cosine_links(table(spark, sf_dir, "embeddings"))
