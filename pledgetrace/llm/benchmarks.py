@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches, text_bytes
+from .tables import filtered, small_batches, text_bytes
 from .words import NOT_ALNUM, Lookup, shingles, words
 
 WORDS = 5
@@ -145,34 +145,34 @@ def candidates(sh: np.ndarray, bounds: np.ndarray, items: Items) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _search(items: Items, ids: list, threshold: float, item_type: pa.DataType):
+def found_items(data: np.ndarray, offsets: np.ndarray, items: Items, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(text, item, shared shingles, shingles of the item) for the items that texts contain."""
+    first, _, _, h = words(data, offsets, NOT_ALNUM)
+    sh, bounds = shingles(first, h, WORDS)
+    rows, exact, last = [], set(), -1
+    for text, item in candidates(sh, bounds, items).tolist():
+        hashes = items.hashes[item]
+        if np.isin(hashes, sh[bounds[text]:bounds[text + 1]]).sum() < threshold * len(hashes):
+            continue
+        if text != last:
+            exact, last = shingle_set(data[offsets[text]:offsets[text + 1]].tobytes()), text
+        wanted = shingle_set(items.texts[item])
+        shared = len(wanted & exact)
+        if shared >= threshold * len(wanted):
+            rows.append((text, item, shared, len(wanted)))
+    return rows
+
+
+def _search(items: Items, ids: pa.Array, threshold: float):
     """Arrow task: (key columns…, text) -> (key columns…, item_id, shared, item_shingles)."""
-    def found(data, offsets):
-        first, starts, ends, h = words(data, offsets, NOT_ALNUM)
-        sh, bounds = shingles(first, h, WORDS)
-        rows, exact, last = [], set(), -1
-        for text, item in candidates(sh, bounds, items).tolist():
-            own = sh[bounds[text]:bounds[text + 1]]
-            total = len(items.hashes[item])
-            if np.isin(items.hashes[item], own).sum() < threshold * total:
-                continue
-            if text != last:
-                exact, last = shingle_set(data[offsets[text]:offsets[text + 1]].tobytes()), text
-            wanted = shingle_set(items.texts[item])
-            shared = len(wanted & exact)
-            if shared >= threshold * len(wanted):
-                rows.append((text, item, shared, len(wanted)))
-        return rows
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
-            rows = found(data, offsets)
-            take = pa.array([r[0] for r in rows], pa.int64())
+            rows = found_items(*text_bytes(batch.column(batch.num_columns - 1)), items, threshold)
+            text, item, shared, total = list(zip(*rows)) or [()] * 4
+            take = pa.array(text, pa.int64())
             out = {batch.schema.names[i]: batch.column(i).take(take) for i in range(batch.num_columns - 1)}
-            out["item_id"] = pa.array([ids[r[1]] for r in rows], item_type)
-            out["shared"] = pa.array([r[2] for r in rows], pa.int64())
-            out["item_shingles"] = pa.array([r[3] for r in rows], pa.int64())
+            out["item_id"] = ids.take(pa.array(item, pa.int64()))
+            out["shared"], out["item_shingles"] = pa.array(shared, pa.int64()), pa.array(total, pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
     return task
@@ -182,23 +182,44 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, keep: list[str], thre
     """(keep…, item_id, shared, item_shingles, containment) for each item in each document that
     holds at least ``threshold`` of the item's shingles."""
     small_batches(docs.sparkSession)
-    n = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = n // PASS_BYTES + 1
-    turn = F.pmod(F.xxhash64("text", "item_id"), F.lit(passes))
     fields = docs.select(*keep).schema.fields
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + \
         f", item_id {kind}, shared bigint, item_shingles bigint"
     out = None
-    for k in range(passes):
-        held = benchmark.filter(turn == k).select("item_id", F.coalesce("text", F.lit("")).alias("text")).toArrow()
-        items = Items([t.encode() for t in held["text"].to_pylist()])
-        part = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
-            _search(items, held["item_id"].to_pylist(), threshold, held.schema.field("item_id").type), schema)
+    for items, ids in item_passes(benchmark):
+        part = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(_search(items, ids, threshold), schema)
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
+def item_passes(benchmark: DataFrame) -> Iterator[tuple[Items, pa.Array]]:
+    """The items in parts of about PASS_BYTES, which is what reaches the driver and each task."""
+    n = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = n // PASS_BYTES + 1
+    turn = F.pmod(F.xxhash64("text", "item_id"), F.lit(passes))
+    for k in range(passes):
+        held = benchmark.filter(turn == k).select("item_id", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+        yield Items([t.encode() for t in held["text"].to_pylist()]), held["item_id"].combine_chunks()
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no item."""
+    small_batches(docs.sparkSession)
+
+    def without(items: Items):
+        def keep(column: pa.Array) -> np.ndarray:
+            out = np.ones(len(column), bool)
+            out[[r[0] for r in found_items(*text_bytes(column), items, threshold)]] = False
+            return out
+
+        return keep
+
+    for items, _ in item_passes(benchmark):
+        docs = filtered(docs, "text", without(items))
+    return docs
+
+
 #: words and shingles as above, in plain SQL
 ORACLE = r"""
 with w as (

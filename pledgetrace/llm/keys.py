@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import unused
+
 #: fixed values: kind, pattern, least length, group whose length counts
 SHAPES = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1),
@@ -179,14 +181,15 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by its kind in brackets; overlapping spans
     become one, named after the first."""
     found = spans(F.col(text), thresholds(docs, text))
+    held, walk = unused(docs, "_spans"), unused(docs, "_walk")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate("_spans", start, lambda acc, s: F.struct(
+    walked = F.aggregate(held, start, lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
             acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).alias("out")))
-    rest = F.concat(F.col("_w.out"), F.substring(F.col(text), F.col("_w.at") + 1, F.length(text)))
-    return docs.withColumn("_spans", found).withColumn("_w", walked).withColumn(
-        text, F.when(F.size("_spans") > 0, rest).otherwise(F.col(text))).drop("_spans", "_w")
+    rest = F.concat(F.col(f"{walk}.out"), F.substring(F.col(text), F.col(f"{walk}.at") + 1, F.length(text)))
+    return docs.withColumn(held, found).withColumn(walk, walked).withColumn(
+        text, F.when(F.size(held) > 0, rest).otherwise(F.col(text))).drop(held, walk)
 
 
 def joined(spans: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .tables import fold, small_batches, with_columns
+from .tables import filtered, fold, small_batches, with_columns
 
 #: labelled texts per kind: the first so many for the dictionaries, the rest for the curve
 DICTIONARY_TEXTS, CURVE_TEXTS = 1500, 1500
@@ -118,18 +118,25 @@ def quality_scores(docs: DataFrame, model: QualityModel, keep: list[str], text:
     """``keep`` columns and ``score`` (0 to 1, higher: good likelier) of each whole text."""
     small_batches(docs.sparkSession)
 
-    def of(column: pa.Array) -> dict[str, pa.Array]:
-        if not model.good:
-            return {"score": pa.array(np.full(len(column), 0.5))}
-        sizes = Sizes(model.good, model.bad)
-        out = np.full(len(column), model.empty)
-        for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
-            if t:
-                z = sum(w * x for w, x in zip(model.weights, (*sizes.figures(t), 1.0)))
-                out[i] = 1 / (1 + math.exp(-min(max(z, -500), 500)))
-        return {"score": pa.array(out)}
-
-    return with_columns(docs, text, of, "score double", keep)
+    return with_columns(docs, text, lambda column: {"score": pa.array(model_scores(column, model))}, "score double", keep)
+
+
+def model_scores(column: pa.Array, model: QualityModel) -> np.ndarray:
+    if not model.good:
+        return np.full(len(column), 0.5)
+    sizes = Sizes(model.good, model.bad)
+    out = np.full(len(column), model.empty)
+    for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
+        if t:
+            z = sum(w * x for w, x in zip(model.weights, (*sizes.figures(t), 1.0)))
+            out[i] = 1 / (1 + math.exp(-min(max(z, -500), 500)))
+    return out
+
+
+def good_documents(docs: DataFrame, model: QualityModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts score at least ``least``."""
+    small_batches(docs.sparkSession)
+    return filtered(docs, text, lambda column: model_scores(column, model) >= least)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, learn: F.Column) -> QualityModel:

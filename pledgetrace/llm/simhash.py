@@ -207,3 +207,14 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
     named = stage(member.join(least, "component").select("fingerprint", "component_id"), "components")
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_per_component(docs: DataFrame, budget: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose doc_id names their component; of
+    repeated rows of such an id one stays. Rows without an id stay, as no decision can name them."""
+    named = stage(simhash_components(docs, budget).filter("doc_id = component_id").groupBy("doc_id").count(), "kept")
+    kept = docs.join(named.filter("count = 1"), "doc_id", "left_semi")
+    repeated = named.filter("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.union(docs.filter("doc_id is null")).select(docs.columns)

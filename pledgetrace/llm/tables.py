@@ -46,7 +46,10 @@ def with_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa
                  keep: list[str]) -> DataFrame:
     """``keep`` columns of ``df`` plus the columns that ``fn`` makes from the batches of ``text``.
 
-    Runs in Arrow batches where the rows are; ``schema`` names the new columns."""
+    Runs in Arrow batches where the rows are; ``schema`` names the new columns, which take the
+    place of kept ones of the same name."""
+    new_names = {part.split()[0] for part in schema.split(", ")}
+    keep = [name for name in keep if name not in new_names]
     fields = [f for f in df.select(*keep).schema.fields]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + schema
 
@@ -57,3 +60,21 @@ def with_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa
             yield pa.RecordBatch.from_pydict(kept | new)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(task, out)
+
+
+def filtered(docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts ``keep`` says so."""
+    at = docs.columns.index(text)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
