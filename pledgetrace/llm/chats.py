@@ -27,7 +27,6 @@ from ..session import stage
 #: fixed values: the n-th control string is written \n inside texts
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
 TURN = r"(?s)\[INST\] .*?\[/INST\]|<<SYS>>.*?<</SYS>>|\[ROLE\].*?</s>| .*?</s>"
-MOST_ROUNDS = 40
 
 
 def escaped(text: Column) -> Column:
@@ -57,10 +56,11 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     known = messages.select("tree", F.col("node").alias("parent"))
     up = (messages.join(known.withColumn("_found", F.lit(True)), ["tree", "parent"], "left")
           .select("tree", "node", F.when(F.col("_found"), F.col("parent")).alias("up"),
-                  F.when(F.col("_found"), 1).otherwise(0).alias("depth"),
+                  F.when(F.col("_found"), 1).otherwise(0).cast("long").alias("depth"),
                   F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")))
     steps = [stage(up, "reach")]
-    for _ in range(MOST_ROUNDS):
+    # a path has no more messages than there are; what still has a way up then is on a cycle
+    for _ in range(steps[0].count().bit_length()):
         now = steps[-1]
         if now.filter("up is not null").isEmpty():
             break

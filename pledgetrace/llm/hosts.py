@@ -106,7 +106,7 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFram
         F.coalesce(verdict, F.when(F.col("bound") >= LEAST, "allow").otherwise("block")).alias("verdict"))
 
 
-def _level_sql(name: str, of: str, by: str, above: str) -> str:
+def _level_sql(name: str, of: str) -> str:
     return f"""
 {name}_p as ({of}),
 {name}_s as (select case when coalesce(sum(prior * (1 - prior) * (n - 1)), 0) = 0 then 1000.0
@@ -125,9 +125,9 @@ h0 as (select host, count(good)::double as n, coalesce(sum(good), 0)::double as
 h as (select *, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain from h0),
 d as (select domain, min(suffix) as suffix, sum(n) as n, sum(good) as good from h group by 1),
 x as (select suffix, sum(n) as n, sum(good) as good from d group by 1),""" + ",".join((
-    _level_sql("suffixes", "select x.*, (select (1 + sum(good)) / (2 + sum(n)) from h) as prior from x", "suffix", ""),
-    _level_sql("domains", "select d.*, u.a / (u.a + u.b) as prior from d join suffixes as u using (suffix)", "domain", "suffix"),
-    _level_sql("hosts", "select h.*, u.a / (u.a + u.b) as prior from h join domains as u using (domain)", "host", "domain"))) + """,
+    _level_sql("suffixes", "select x.*, (select (1 + sum(good)) / (2 + sum(n)) from h) as prior from x"),
+    _level_sql("domains", "select d.*, u.a / (u.a + u.b) as prior from d join suffixes as u using (suffix)"),
+    _level_sql("hosts", "select h.*, u.a / (u.a + u.b) as prior from h join domains as u using (domain)"))) + """,
 r as (select host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bound from hosts),
 j as (select page_id, host, path, bound, case
   when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'

@@ -137,9 +137,11 @@ def aligned(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple
         step, sb = best[:-1] + 1, np.where(begin[:-1] < 0, place, begin[:-1])
         take = same & ((step > n) | ((step == n) & (place - sb < e - b)))
         n, b, e = np.where(take, step, n), np.where(take, sb, b), np.where(take, place, e)
-        for d in range(1, width):  # a document word without a partner
-            if n[d - 1] > n[d] or (n[d - 1] == n[d] and n[d] and e[d - 1] - b[d - 1] < e[d] - b[d]):
-                n[d], b[d], e[d] = n[d - 1], b[d - 1], e[d - 1]
+        # document words without a partner: a cell may take the best one before it in its row
+        rank = n * (len(doc) + 1) - (e - b)
+        top = np.maximum.accumulate(rank)
+        of = np.maximum.accumulate(np.where(rank == top, np.arange(width), 0))
+        n, b, e = n[of], b[of], e[of]
         best, begin, end = np.append(n, 0), np.append(b, -1), np.append(e, -1)
     top = int(best.max())
     if not top:
@@ -154,12 +156,17 @@ def matches(texts: list[bytes], templates: Templates, coverage: float) -> list[t
     found = defaultdict(list)
     for text, t, low, high in templates.candidates(sh, bounds):
         doc, template = h[first[text]:first[text + 1]], templates.words[t]
-        # only the stretch that the band can reach
+        # only the stretch that the band can reach; beside a match there may be another
         left = max(0, low - BAND)
-        stretch = doc[left:max(left, high + BAND + len(template))]
-        n, a, b = aligned(stretch, template, low - left, high - left)
-        if n and n >= coverage * len(template):
-            found[text].append((-n, -n / len(template), templates.names[t], a + left, b + left, len(template)))
+        stretches = [(left, min(len(doc), high + BAND + len(template)))]
+        while stretches:
+            left, right = stretches.pop()
+            if right - left < coverage * len(template):
+                continue
+            n, a, b = aligned(doc[left:right], template, max(low - left, -len(template)), high - left)
+            if n and n >= coverage * len(template):
+                found[text].append((-n, -n / len(template), templates.names[t], a + left, b + left, len(template)))
+                stretches += [(left, left + a), (left + b + 1, right)]
     out = []
     for text, rows in found.items():
         kept: list[tuple] = []

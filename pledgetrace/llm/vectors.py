@@ -1,15 +1,19 @@
 """Near-duplicate embeddings by product quantisation.
 
 Unit vectors are dealt to inverted lists by their nearest coarse centre; the residual is coded in
-PARTS subspaces. A vector searches the lists that can hold a partner: two vectors at a cosine of
-at least t are at a distance of at most r = sqrt(2 - 2 t), so a list is searched if the vector is
-no further than r from the plane between that list's centre and its own. In a list, distances to
-the codes are summed from a table per subspace; a code whose distance exceeds r by more than the
-coding error of its vector cannot be a partner. The others are compared exactly. So centres and
-codes decide about speed only, and no partner is lost.
-
-Equal vectors are one vector with a count. Each pair of lists is searched from one side. Lists and
-their searches are cut into blocks, so that no list, however full, is one task, and of the links
+PARTS subspaces. Two vectors at a cosine of at least t are at a distance of at most
+r = sqrt(2 - 2 t). A vector searches the lists whose planes to its own list are within reach: r
+itself would never lose a partner, but a partner lies in a direction of its own, of which only a
+share of about 1 / sqrt(D) crosses a given plane. So the reach is DEVIATIONS * r / sqrt(D), at most
+r, with D the effective dimension of the sample, and a link is found if either of its vectors
+reaches the other's list. In a list, distances to the codes are summed from a table per subspace;
+a code whose distance exceeds r by more than the coding error of its vector cannot be a partner.
+The others are compared exactly.
+
+Recall against brute force is 1 on the tables at hand; without ``deviations`` it is 1 on any.
+
+Equal vectors are one vector with a count. A link that is found from both sides counts once, on
+the side of the smaller list. Lists and their searches are cut into blocks, so that no list, however full, is one task, and of the links
 found in a block only counts and a spanning forest leave the task.
 
 Defined cases. Null vectors, vectors of zero length or of norm zero, and those with null, infinite
@@ -31,7 +35,8 @@ from ..session import stage
 from .components import components
 
 #: vectors of least hash that centres and codes are fitted on, vectors per list, most lists
-SAMPLE, PER_LIST, LISTS = 16_384, 128, 1024
+SAMPLE, PER_LIST, LISTS = 16_384, 512, 1024
+DEVIATIONS = 2.5
 PARTS, CODES, ROUNDS = 8, 256, 8
 #: vectors of a list and searches of it that meet in one task
 BLOCK, SEARCHES = 256, 1024
@@ -73,12 +78,18 @@ class Coder:
         return codes, np.sqrt(far)
 
     def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists behind the own one, by number, that can hold a partner."""
+        """(row, list) of the other lists within reach."""
         c = self.centres
         gap = np.sqrt(np.maximum(((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T), 0))
         far = (c * c).sum(1) - 2 * x @ c.T
         beyond = far - far[np.arange(len(x)), own][:, None]  # twice the gap times the way to the plane
-        return np.nonzero((beyond <= 2 * reach * gap[own] + 1e-9) & (np.arange(len(c)) > own[:, None]))
+        return np.nonzero((beyond <= 2 * reach * gap[own] + 1e-9) & (np.arange(len(c)) != own[:, None]))
+
+    def reaches(self, x: np.ndarray, own: int, other: np.ndarray, reach: float) -> np.ndarray:
+        """Does each row of ``x``, of list ``own``, search the list beside it?"""
+        c, o = self.centres[own], self.centres[other]
+        beyond = (o * o).sum(1) - (c * c).sum() - 2 * np.einsum("ij,ij->i", x, o - c)
+        return beyond <= 2 * reach * np.sqrt(((o - c) ** 2).sum(1)) + 1e-9
 
     def table(self, x: np.ndarray, own: int) -> np.ndarray:
         """Squared distances (row, part, code) from the residuals of ``x`` in list ``own``."""
@@ -103,35 +114,44 @@ def _deal(coder: Coder, width: int, reach: float):
             # scaled first, so that squares of tiny or huge components keep their digits
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own = nearest(x, coder.centres)
-            codes, error = coder.encode(x, own)
-            row, lists = coder.probes(x, own, reach)
-            every = np.concatenate([np.arange(n), row])
-            role = np.repeat([0, 1], [n, len(row)])
-            raw = [v.tobytes() for v in x]
-            yield pa.RecordBatch.from_pydict({
-                "list": pa.array(np.concatenate([own, lists]).astype(np.int32)), "size": size.take(pa.array(every)),
-                "role": pa.array(role.astype(np.int32)), "rid": rid.take(pa.array(every)), "copies": copies.take(pa.array(every)),
-                "codes": pa.array([codes[i].tobytes() if r == 0 else None for i, r in zip(every, role)], pa.binary()),
-                "error": pa.array(np.where(role == 0, error[every], 0.0)), "unit": pa.array([raw[i] for i in every], pa.binary())})
+            for i in range(0, n, 512):
+                yield dealt(rid.slice(i, 512), size.slice(i, 512), copies.slice(i, 512), x[i:i + 512])
+
+    def dealt(rid, size, copies, x):
+        own = nearest(x, coder.centres)
+        codes, error = coder.encode(x, own)
+        row, lists = coder.probes(x, own, reach)
+        every = np.concatenate([np.arange(len(x)), row])
+        role = np.repeat([0, 1], [len(x), len(row)])
+        raw = [v.tobytes() for v in x]
+        return pa.RecordBatch.from_pydict({
+            "list": pa.array(np.concatenate([own, lists]).astype(np.int32)), "size": size.take(pa.array(every)),
+            "role": pa.array(role.astype(np.int32)), "home": pa.array(own[every].astype(np.int32)),
+            "rid": rid.take(pa.array(every)), "copies": copies.take(pa.array(every)),
+            "codes": pa.array([codes[i].tobytes() if r == 0 else None for i, r in zip(every, role)], pa.binary()),
+            "error": pa.array(np.where(role == 0, error[every], 0.0)), "unit": pa.array([raw[i] for i in every], pa.binary())})
 
     return task
 
 
-def _meet(coder: Coder, width: int, cosine: float, reach: float):
+def _meet(coder: Coder, width: int, cosine: float, radius: float, reach: float):
     """Arrow task: blocks (list, size, block, turn; role, own) sorted by block -> (rid, links, root)."""
     def linked(members, units, codes, error, number, searches):
         """Index pairs (search, member) at the cosine."""
-        rid, unit, inside = searches
+        rid, unit, inside, home = searches
         table = coder.table(unit, number)
         far = np.zeros((len(rid), len(members)))
         for part in range(PARTS):
             far += table[:, part, :][:, codes[:, part]]
-        a, b = np.nonzero((np.sqrt(np.maximum(far, 0)) <= reach + error + 1e-9) & (~inside[:, None] | (rid[:, None] > members)))
+        a, b = np.nonzero((np.sqrt(np.maximum(far, 0)) <= radius + error + 1e-9) & (~inside[:, None] | (rid[:, None] > members)))
         close = np.empty(len(a), bool)
         for i in range(0, len(a), 1 << 16):
             close[i:i + (1 << 16)] = np.einsum("ij,ij->i", unit[a[i:i + (1 << 16)]], units[b[i:i + (1 << 16)]]) >= cosine
-        return a[close], b[close]
+        a, b = a[close], b[close]
+        # a link between lists counts where the list is the larger one, unless only this side finds it
+        late = np.flatnonzero(home[a] > number)
+        twice = late[coder.reaches(units[b[late]], number, home[a[late]], reach)]
+        return np.delete(a, twice), np.delete(b, twice)
 
     def solve(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
@@ -142,7 +162,8 @@ def _meet(coder: Coder, width: int, cosine: float, reach: float):
             return None
         units = _matrix(t["unit"], width)
         codes = np.frombuffer(b"".join(t["codes"].take(pa.array(member)).to_pylist()), np.uint8).reshape(-1, PARTS)
-        error, own, number = np.asarray(t["error"])[member], np.asarray(t["own"]), t["list"][0].as_py()
+        error, own, home = np.asarray(t["error"])[member], np.asarray(t["own"]), np.asarray(t["home"])
+        number = t["list"][0].as_py()
         sums: dict[int, int] = {}
         root: dict[int, int] = {}
 
@@ -154,7 +175,7 @@ def _meet(coder: Coder, width: int, cosine: float, reach: float):
 
         for i in range(0, len(search), 256):
             s = search[i:i + 256]
-            a, b = linked(rid[member], units[member], codes, error, number, (rid[s], units[s], own[s]))
+            a, b = linked(rid[member], units[member], codes, error, number, (rid[s], units[s], own[s], home[s]))
             if not len(a):
                 continue
             left, right = s[a], member[b]
@@ -204,10 +225,12 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0)
 
 
-def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding)."""
+def cosine_links(vectors: DataFrame, cosine: float = 0.9, deviations: float | None = DEVIATIONS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding).
+
+    Without ``deviations`` every list that can hold a partner is searched."""
     spark = vectors.sparkSession
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+    radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     values = F.transform("embedding", lambda x: x.cast("double") + 0.0)  # -0.0 becomes 0.0
     rows = vectors.select("vec_id", F.when(F.coalesce(usable(F.col("embedding")), F.lit(False)), values).alias("values"))
     # equal vectors once; ids stay put because the table is written
@@ -228,8 +251,12 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     coder = Coder(x, min(LISTS, max(1, count // PER_LIST)))
 
+    spread = np.linalg.eigvalsh(np.cov(x.T)) if len(x) > 1 else np.zeros(1)
+    dimension = max(1.0, spread.sum() ** 2 / max((spread**2).sum(), 1e-300))
+    reach = radius if deviations is None else min(radius, deviations * radius / math.sqrt(dimension))
+
     dealt = stage(units.select("rid", "size", "copies", "values").mapInArrow(
-        _deal(coder, width, reach), "list int, size int, role int, rid long, copies long, codes binary, error double, unit binary"), "lists")
+        _deal(coder, width, reach), "list int, size int, role int, home int, rid long, copies long, codes binary, error double, unit binary"), "lists")
     # at most LISTS * lengths * 2 rows
     load = dealt.groupBy("list", "size").agg(F.sum(1 - F.col("role")).alias("m"), F.count("*").alias("s")).select(
         "list", "size", F.ceil(F.greatest("m", F.lit(1)) / BLOCK).cast("int").alias("blocks"),
@@ -238,18 +265,18 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         "own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn(
         "turn", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("turns")).cast("int"))
     place = ["list", "size", "block", "turn", "role"]
-    rest = ["rid", "copies", "codes", "error", "unit"]
+    rest = ["home", "rid", "copies", "codes", "error", "unit"]
     members = held.filter("role = 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(
         "list", "size", F.col("own").alias("block"), "turn", "role", F.lit(False).alias("own"), *rest)
     # members search the blocks from their own on, others all blocks
     first = F.when(F.col("role") == 0, F.col("own")).otherwise(0)
     searches = held.withColumn("block", F.explode(F.sequence(first, F.col("blocks") - 1))).select(
         "list", "size", "block", "turn", F.lit(1).alias("role"),
-        ((F.col("role") == 0) & (F.col("block") == F.col("own"))).alias("own"), "rid", "copies",
+        ((F.col("role") == 0) & (F.col("block") == F.col("own"))).alias("own"), "home", "rid", "copies",
         F.lit(None).cast("binary").alias("codes"), "error", "unit")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = members.select(*place, "own", *rest).union(searches).repartition(n, "list", "size", "block", "turn").sortWithinPartitions(*place)
-    found = stage(met.mapInArrow(_meet(coder, width, cosine, reach), "rid long, links long, root long"), "links")
+    found = stage(met.mapInArrow(_meet(coder, width, cosine, radius, reach), "rid long, links long, root long"), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     stars = components(found.filter("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     member = units.select("rid", "values", "copies", "first").join(links, "rid", "left").join(
