@@ -58,23 +58,32 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
           .select("tree", "node", F.when(F.col("_found"), F.col("parent")).alias("up"),
                   F.when(F.col("_found"), 1).otherwise(0).cast("long").alias("depth"),
                   F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")))
-    steps = [stage(up, "reach")]
-    # a path has no more messages than there are; what still has a way up then is on a cycle
-    for _ in range(steps[0].count().bit_length()):
-        now = steps[-1]
-        if now.filter("up is not null").isEmpty():
+    first = stage(up, "reach")
+    done, active, steps = [first.filter("up is null")], first.filter("up is not null"), []
+    # a path has no more messages than there are; what is not done then is on or below a cycle
+    for _ in range(first.count().bit_length()):
+        if active.isEmpty():
             break
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"),
-                           F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        steps.append(stage(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "reach"))
-    reach = steps[-1].filter("up is null")
-    leaves = reach.join(steps[0].select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+        above = active
+        for part in done:
+            above = above.union(part)
+        above = above.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"),
+                             F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        steps.append(active)
+        # only messages that have not met their root go on
+        moved = stage(active.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            (F.col("total") + F.col("_total")).alias("total")), "reach")
+        done.append(moved.filter("up is null"))
+        active = moved.filter("up is not null")
+    reach = done[0]
+    for part in done[1:]:
+        reach = reach.union(part)
+    leaves = reach.join(first.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     path = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best).select(
         "tree", F.col("node").alias("leaf"), "rank", "node")
-    for step in steps[:-1]:
+    for step in steps:
         # each round adds the messages 1, 2, 4, … above those already there
         path = stage(path, "path")
         path = path.union(path.join(step.select("tree", "node", "up"), ["tree", "node"]).filter("up is not null").select(
