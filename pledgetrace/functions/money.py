@@ -121,7 +121,7 @@ def money_mentions(text: Column | str, profile: Profile) -> Column:
         return let(parts, lambda p: F.struct(
             squash(p["hit"]).alias("amount_raw"), p["code"].alias("currency"),
             p["native"].alias("amount_native"), p["value"].alias("amount"),
-            F.when(p["code"] == "HUF", p["value"].cast("bigint")).alias("amount_huf"),
+            F.when(p["code"] == "HUF", p["value"].try_cast("bigint")).alias("amount_huf"),
             budget_kind(p["sentence"], profile).alias("kind"),
             first_year(p["sentence"]).alias("year"), p["sentence"].alias("sentence")))
 

@@ -72,20 +72,40 @@ def with_effective_flags(evidence: DataFrame, bridge: DataFrame, artifacts: Data
 
 
 def accepted_pairs(links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Accepted links with their evidence; a link without evidence is left out."""
+    """Accepted links with their evidence; a link without evidence is left out. The suggested
+    relationship holds where the reviewer set none."""
+    relationship = F.col("relationship")
+    if "suggested_relationship" in links.columns:
+        relationship = F.coalesce(F.nullif(relationship, F.lit("")), "suggested_relationship")
     l = links.filter(F.col("review_status") == "accepted").select(
-        F.col("id").alias("link_id"), "commitment_id", "evidence_id", "score", "relationship")
+        F.col("id").alias("link_id"), "commitment_id", "evidence_id", "score",
+        relationship.alias("relationship"))
     return l.join(evidence.withColumnRenamed("id", "evidence_id").drop("commitment_id", "score"),
                   "evidence_id")
 
 
+def figure(budgets: DataFrame) -> tuple[Column, Column]:
+    """(amount, its decimals): as the page wrote it where that is stored as ``amount_native``, else
+    without trailing zeros; the forint amount where no other is stored."""
+    amount = F.col("amount")
+    if "amount_huf" in budgets.columns:
+        amount = F.coalesce(amount.cast("decimal(38,6)"), F.col("amount_huf").cast("decimal(38,6)"))
+    decimals = lambda text: F.length(F.regexp_extract(text, r"\.(\d+)\z", 1))
+    plain = decimals(F.regexp_replace(amount.cast("decimal(38,6)").cast("string"), r"\.?0+\z", ""))
+    if "amount_native" in budgets.columns:
+        return amount, F.coalesce(decimals(F.col("amount_native")), plain)
+    return amount, plain
+
+
 def deduped_budgets(pairs: DataFrame, budgets: DataFrame) -> DataFrame:
     """A2: per commitment one figure per (wording, currency, kind, source): the one that comes
     first going down the accepted links by score."""
     place = F.struct((-F.col("score")).alias("s"), "link_id", F.col("id").alias("budget_id"))
     rows = pairs.select("commitment_id", "evidence_id", "link_id", "score").join(
         budgets, "evidence_id")
-    kept = F.struct("id", "evidence_id", "amount", "fiscal_year")
+    amount, scale = figure(budgets)
+    rows = rows.withColumn("amount", amount).withColumn("scale", scale)
+    kept = F.struct("id", "evidence_id", "amount", "scale", "fiscal_year")
     return (rows.groupBy("commitment_id", "amount_raw", "currency", "kind", "source_url")
             .agg(F.min_by(kept, place).alias("b"))
             .select("commitment_id", "amount_raw", "currency", "kind", "source_url", "b.*"))
@@ -105,31 +125,36 @@ def spaced(value: Column, scale: Column | int) -> Column:
         F.concat(whole, F.lit("."), F.left(F.substring_index(text, ".", -1), scale)))
 
 
-def unspent(budgets: DataFrame, decimals: int = 2) -> DataFrame:
+def unspent(budgets: DataFrame) -> DataFrame:
     """A5: (commitment_id, fiscal_year, currency, planned, spent, line): the newest appropriation
-    against the final accounts of the same year and currency."""
-    top = {k: F.greatest(F.max(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0))
-           for k in (*APPROPRIATIONS, "actual_expenditure")}
-    seen = {k: F.max(F.when(F.col("kind") == k, F.col("amount"))).isNotNull() for k in top}
+    against the final accounts of the same year and currency, in the decimals of the figures."""
+    if "scale" not in budgets.columns:
+        amount, scale = figure(budgets)
+        budgets = budgets.withColumn("amount", amount).withColumn("scale", scale)
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.struct(
+        F.greatest(F.col("amount"), F.lit(0)).alias("amount"), "scale")))
     per = (budgets.filter(F.col("amount").isNotNull() & F.col("fiscal_year").isNotNull())
            .groupBy("commitment_id", "fiscal_year", "currency")
-           .agg(F.coalesce(*[F.when(seen[k], top[k]) for k in APPROPRIATIONS]).alias("planned"),
-                F.when(seen["actual_expenditure"], top["actual_expenditure"]).alias("spent")))
+           .agg(F.coalesce(*[of(k) for k in APPROPRIATIONS]).alias("p"),
+                of("actual_expenditure").alias("s")))
+    planned, spent = F.col("p.amount"), F.col("s.amount")
     line = F.concat(
         F.col("fiscal_year").cast("string"), F.lit(": "),
-        spaced(F.col("planned") - F.col("spent"), decimals), F.lit(" "), F.col("currency"),
-        F.lit(" of the appropriation was not spent ("), spaced(F.col("spent"), decimals),
-        F.lit(" of "), spaced(F.col("planned"), decimals), F.lit(")."))
-    return per.filter("planned > 0 and spent < planned").withColumn("line", line)
+        spaced(planned - spent, F.greatest("p.scale", "s.scale")), F.lit(" "), F.col("currency"),
+        F.lit(" of the appropriation was not spent ("), spaced(spent, F.col("s.scale")),
+        F.lit(" of "), spaced(planned, F.col("p.scale")), F.lit(")."))
+    return per.filter((planned > 0) & (spent < planned)).select(
+        "commitment_id", "fiscal_year", "currency", planned.alias("planned"), spent.alias("spent"),
+        line.alias("line"))
 
 
-def money_rollup(budgets: DataFrame, decimals: int = 2) -> DataFrame:
+def money_rollup(budgets: DataFrame) -> DataFrame:
     """A3-A6 per commitment from its deduped figures. Unspent lines are at most one per year
     and currency."""
     has = {k: F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)) for k in BUDGET_KINDS}
     kinds = budgets.groupBy("commitment_id").agg(
         F.count("*").alias("n_budgets"), states_of(has).alias("financial_states"))
-    lines = unspent(budgets, decimals).groupBy("commitment_id").agg(
+    lines = unspent(budgets).groupBy("commitment_id").agg(
         F.array_sort(F.collect_list(F.struct("fiscal_year", "currency", "line"))).alias("u"))
     return kinds.join(lines, "commitment_id", "left").select(
         "commitment_id", "n_budgets", "financial_states",

@@ -22,15 +22,16 @@ ART_SQL = """aj as (select b.procurement_id, b.evidence_id, case e.polarity when
 art as (select procurement_id, case r when 2 then 'terminated' when 1 then 'amended' else 'active' end as status, case when r > 0 then evidence_id end as status_evidence_id
  from aj qualify row_number() over (partition by procurement_id order by r desc, evidence_id) = 1),
 chg as (select distinct b.evidence_id from artifact_evidence b join art a using (procurement_id) where a.status <> 'active' and a.status_evidence_id <> b.evidence_id),
-pairs as (select l.id as link_id, l.commitment_id, l.evidence_id, l.score, l.relationship, e.title, e.snippet, e.status_hint, e.status_excerpt, c.evidence_id is not null as regressed
+pairs as (select l.id as link_id, l.commitment_id, l.evidence_id, l.score, coalesce(l.relationship, l.suggested_relationship) as relationship, e.title, e.snippet, e.status_hint, e.status_excerpt, c.evidence_id is not null as regressed
  from links l join ev e on e.id = l.evidence_id left join chg c on c.evidence_id = e.id where l.review_status = 'accepted'),
-ded as (select p.commitment_id, b.kind, b.currency, b.amount, b.fiscal_year, b.amount_raw, b.source_url, b.id, b.evidence_id from pairs p join bu b using (evidence_id)
+ded as (select p.commitment_id, b.kind, b.currency, b.amount, case when b.amount_native is null then 0 else 2 end as scale, b.fiscal_year, b.amount_raw, b.source_url, b.id, b.evidence_id from pairs p join bu b using (evidence_id)
  qualify row_number() over (partition by p.commitment_id, b.amount_raw, b.currency, b.kind, b.source_url order by p.score desc, p.link_id, b.id) = 1)"""
 AUDIT = cte("commitments", "evidence", "links", "budgets", "artifact_evidence") + ", " + EV_SQL + ", " + BUDGET_SQL + ", " + ART_SQL
-UNSPENT_SQL = """, un as (select commitment_id, fiscal_year, currency, coalesce(max(amount) filter (kind = 'amended_appropriation'), max(amount) filter (kind = 'initial_appropriation')) as planned, max(amount) filter (kind = 'actual_expenditure') as spent from ded group by all having planned > 0 and spent < planned),
+UNSPENT_SQL = """, un0 as (select commitment_id, fiscal_year, currency, coalesce(max(struct_pack(a := amount, s := scale)) filter (kind = 'amended_appropriation'), max(struct_pack(a := amount, s := scale)) filter (kind = 'initial_appropriation')) as p, max(struct_pack(a := amount, s := scale)) filter (kind = 'actual_expenditure') as q from ded group by all),
+un as (select *, p.a as planned, q.a as spent from un0 where p.a > 0 and q.a < p.a),
 ul as (select *, fiscal_year || ': ' || {d} || ' ' || currency || ' of the appropriation was not spent (' || {s} || ' of ' || {p} || ').' as line from un)""".format(
-    **{k: f"replace(format('{{:,}}', cast(floor({e}) as bigint)), ',', ' ') || '.' || right(cast(cast({e} as decimal(18,2)) as varchar), 2)"
-       for k, e in (("d", "(planned - spent)"), ("s", "spent"), ("p", "planned"))})
+    **{k: f"replace(format('{{:,}}', cast(floor({e}) as bigint)), ',', ' ') || case when {n} = 0 then '' else '.' || right(cast(cast({e} as decimal(18,2)) as varchar), 2) end"
+       for k, e, n in (("d", "(planned - spent)", "greatest(p.s, q.s)"), ("s", "spent", "q.s"), ("p", "planned", "p.s"))})
 KINDS = ("estimated_cost", "initial_appropriation", "amended_appropriation", "contracted_price",
          "actual_expenditure", "reported_expenditure")
 MONEY_SQL = UNSPENT_SQL + """, st as (select commitment_id, count(*) as n_budgets, concat_ws(',', """ + ", ".join(

@@ -485,9 +485,9 @@ def m10(spark, sf):
 
 
 @query("M11_decisions", cte("links", "decisions") + """, d as (select link_id, decision from decisions qualify row_number() over (partition by link_id order by ts desc, event_id desc) = 1)
-select id, coalesce(d.decision, l.review_status) as review_status, case when d.decision = 'accepted' then relationship when d.decision is null then relationship end as relationship from links l left join d on d.link_id = l.id""")
+select id, coalesce(d.decision, l.review_status) as review_status, case when d.decision = 'accepted' then suggested_relationship when d.decision is null then relationship end as relationship from links l left join d on d.link_id = l.id""")
 def m11(spark, sf):
-    l = view(spark, sf, "links").withColumn("suggested_relationship", F.col("relationship"))
+    l = view(spark, sf, "links")
     d = view(spark, sf, "decisions").withColumn("relationship", F.lit(None).cast("string"))
     d = d.withColumn("o", F.struct("ts", "event_id"))
     return mg.decide_links(l, d, "o").select("id", "review_status", "relationship")

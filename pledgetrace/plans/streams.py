@@ -138,22 +138,37 @@ def f5(spark, sf):
 
 # -- quotes ----------------------------------------------------------------------------------
 
-QUOTES = """select document_id, page_number, n, case n when 1 then left(text, 80) when 2 then substring(text, 20, 50) when 3 then concat(left(text, 60), ' in 2030') else 'Plant trees' end as quote
- from {document_pages} lateral view explode(array(1, 2, 3, 4)) x as n"""
-
-
-@query("J14_same_passage")
+# quotes from anywhere in a page: a piece, a piece of that piece, the piece with another end, and a short one
+QUOTES = """select document_id, page_number, n, case n when 1 then piece when 2 then substring(piece, 15, 50) when 3 then concat(substring(piece, 1, 60), ' in 2030') else 'Plant trees' end as quote
+ from (select document_id, page_number, substring(text, 1 + cast((document_id * 131 + page_number * 977) % greatest(length(text) - 80, 1) as int), 80) as piece from {document_pages} where text is not null) as p {each}"""
+QUOTES_SPARK = QUOTES.replace("{each}", "lateral view explode(array(1, 2, 3, 4)) x as n")
+QUOTES_SQL = QUOTES.replace("{each}", "cross join (select unnest([1, 2, 3, 4]) as n) as x").replace("{document_pages}", "document_pages")
+
+# two quotes as in J14: numbers of the shorter among the longer's, and a common run of half of it
+SAME_SQL = cte("document_pages") + ", q as (" + QUOTES_SQL + r"""),
+normed as (select *, trim(regexp_replace(replace(lower(quote), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) as t from q),
+pr as (select a.document_id, a.page_number, a.n as m, b.n, case when length(a.t) <= length(b.t) then a.t else b.t end as s, case when length(a.t) <= length(b.t) then b.t else a.t end as l
+ from normed a join normed b using (document_id, page_number) where a.n < b.n),
+same as (select *, len(list_filter(regexp_extract_all(s, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(l, '[0-9]+'), x))) = 0
+  and (len(regexp_extract_all(s, '[0-9]+')) > 0 or len(regexp_extract_all(l, '[0-9]+')) = 0)
+  and len(list_filter(range(1, length(s) - greatest(20, (length(s) + 1) // 2) + 2), lambda i: contains(l, substring(s, i, greatest(20, (length(s) + 1) // 2))))) > 0 as same from pr)"""
+
+
+@query("J14_same_passage", SAME_SQL + " select document_id, page_number, n, same from same where m = 1")
 def j14(spark, sf):
-    q = frame(spark, sf, QUOTES)
+    q = frame(spark, sf, QUOTES_SPARK)
     a = q.filter("n = 1").select("document_id", "page_number", F.col("quote").alias("a"))
     b = q.filter("n > 1").select("document_id", "page_number", "n", F.col("quote").alias("b"))
     return qt.same_passage(a.join(b, ["document_id", "page_number"]), "a", "b").select(
         "document_id", "page_number", "n", "same")
 
 
-@query("W4_dedupe_quotes")
+@query("W4_dedupe_quotes", SAME_SQL + """,
+w as (select document_id, page_number, bool_or(same) filter (m = 1 and n = 2) as s12, bool_or(same) filter (m = 1 and n = 3) as s13, bool_or(same) filter (m = 2 and n = 3) as s23 from same group by all)
+select q.document_id, q.page_number, q.n, q.quote from q join w using (document_id, page_number)
+where n in (1, 4) or (n = 2 and not s12) or (n = 3 and not s13 and (s12 or not s23))""")
 def w4(spark, sf):
-    return qt.dedupe_quotes(frame(spark, sf, QUOTES), ["document_id", "page_number"], "n", "quote")
+    return qt.dedupe_quotes(frame(spark, sf, QUOTES_SPARK), ["document_id", "page_number"], "n", "quote")
 
 
 def gold_and_found(spark, sf):

@@ -42,13 +42,15 @@ select o_orderkey as id, o_custkey as commitment_id, cast(year(o_orderdate) as i
     "links": """
 select o_orderkey as id, o_custkey as commitment_id, o_orderkey as evidence_id, o_totalprice as score,
  case when o_orderkey % 3 = 0 then 'accepted' when o_orderkey % 3 = 1 then 'unreviewed' else 'rejected' end as review_status,
- case when o_orderkey % 5 = 0 then 'direct_implementation' when o_orderkey % 5 = 1 then 'supporting' when o_orderkey % 5 = 2 then 'budget' when o_orderkey % 5 = 3 then 'related_but_indirect' else 'probably_unrelated' end as relationship
+ case when o_orderkey % 7 = 2 then null else case when o_orderkey % 5 = 0 then 'direct_implementation' when o_orderkey % 5 = 1 then 'supporting' when o_orderkey % 5 = 2 then 'budget' when o_orderkey % 5 = 3 then 'related_but_indirect' else 'probably_unrelated' end end as relationship,
+ case when o_orderkey % 5 = 0 then 'direct_implementation' when o_orderkey % 5 = 1 then 'supporting' when o_orderkey % 5 = 2 then 'budget' when o_orderkey % 5 = 3 then 'related_but_indirect' else 'probably_unrelated' end as suggested_relationship
  from {orders}""",
     "budgets": """
 select l_orderkey as evidence_id, l_linenumber as id,
  case l_linenumber when 1 then 'estimated_cost' when 2 then 'initial_appropriation' when 3 then 'amended_appropriation' when 4 then 'contracted_price' when 5 then 'actual_expenditure' else 'reported_expenditure' end as kind,
  case min(l_returnflag) when 'A' then 'GBP' when 'N' then 'EUR' else 'HUF' end as currency,
- max(cast(l_extendedprice as decimal(18,2))) as amount,
+ case min(l_returnflag) when 'R' then cast(floor(max(cast(l_extendedprice as decimal(18,2)))) as decimal(18,2)) else max(cast(l_extendedprice as decimal(18,2))) end as amount,
+ case min(l_returnflag) when 'R' then null else cast(max(cast(l_extendedprice as decimal(18,2))) as string) end as amount_native,
  cast(min(year(l_shipdate)) as int) as fiscal_year
  from {lineitem} group by l_orderkey, l_linenumber""",
     "artifact_evidence": """

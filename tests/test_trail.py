@@ -46,8 +46,8 @@ def test_appropriation_is_not_spending(spark):
     r = row(spark, ev, ln, bu)
     assert r["financially_executed"] and r["financial_states"] == [
         "initial_appropriation", "amended_appropriation", "actual_expenditure"]
-    assert r["findings"] == ["2024: 10 000 000.00 HUF of the appropriation was not spent "
-                             "(60 000 000.00 of 70 000 000.00)."]
+    assert r["findings"] == ["2024: 10 000 000 HUF of the appropriation was not spent "
+                             "(60 000 000 of 70 000 000)."]
     signed = evidence(spark, (1, "Completion certificate signed.", "planned", "affirmative"))
     assert row(spark, signed, ln, budgets(spark))["financially_executed"]
 
