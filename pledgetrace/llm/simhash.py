@@ -213,7 +213,8 @@ def one_per_component(docs: DataFrame, budget: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose doc_id names their component; of
     repeated rows of such an id one stays. Rows without an id stay, as no decision can name them."""
     named = stage(simhash_components(docs, budget).filter("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    kept = docs.join(named.filter("count = 1"), "doc_id", "left_semi")
+    # the ids grow with the documents, so the join is the same at every size: by hash, unsorted
+    kept = docs.join(named.filter("count = 1").hint("shuffle_hash"), "doc_id", "left_semi")
     repeated = named.filter("count > 1")
     if not repeated.isEmpty():
         kept = kept.union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
