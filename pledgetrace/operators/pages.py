@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-PART_PAGES = 500
-
 
 def positions(df: DataFrame, group: list[str], order: str, out: str = "position",
               width: int = 10_000) -> DataFrame:
@@ -47,19 +45,13 @@ def page_prompt(pages: DataFrame, width: int, intro: str, language: str) -> Data
             .agg(F.concat(F.lit(intro.format(language=language)), body).alias("prompt")))
 
 
-def page_markdown(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Pages in order, each led by its marker, joined by a blank line.
-
-    (document_id, part, text): a document of more than ``part_pages`` page numbers comes in
-    several parts, so no task ever builds an unbounded text; parts joined by a blank line are
-    the document, and every page marker is a hard border for chunking anyway."""
-    block = F.struct("page_number", F.concat(
+def page_markdown(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, text): each page led by its marker. A document is its pages
+    in order, joined by a blank line; every marker is a hard border for chunking anyway, so no
+    task has to build a whole document."""
+    return pages.select("document_id", "page_number", F.concat(
         F.lit("<!-- page "), F.col("page_number").cast("string"), F.lit(" -->\n"),
-        F.col("text")).alias("block"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]),
-                        "\n\n")
-    part = F.floor((F.col("page_number") - 1) / part_pages).cast("int").alias("part")
-    return pages.groupBy("document_id", part).agg(text.alias("text"))
+        F.col("text")).alias("text"))
 
 
 def halved(pages: DataFrame) -> DataFrame:

@@ -237,17 +237,20 @@ def s10(spark, sf):
                                      "line"))
 
 
-MAPS = """select concat('https://', s_suppkey % 10, '.example.org/sitemap', case when s_suppkey < 10 then '' else cast(s_suppkey as string) end, '.xml') as url,
- case when s_suppkey < 10 then concat('<?xml version="1.0"?><sitemapindex xmlns="x">', repeat(concat('<sitemap><loc>https://', s_suppkey, '.example.org/sitemap', s_suppkey + 10, '.xml</loc></sitemap>'), 2), '</sitemapindex>')
- else concat('<urlset><url><loc> /files/', s_name, '.PDF </loc></url><url><loc>https://evil.test/a.pdf</loc></url><url><loc>https://', s_suppkey % 10, '.example.org/page</loc></url></urlset>') end as xml, s_suppkey from {supplier}"""
+# every supplier a domain: an index that names a second file twice, which lists one document
+MAPS = """select concat('https://', s_suppkey, '.example.org/', case n when 1 then 'sitemap.xml' else 'more.xml' end) as url,
+ case n when 1 then concat('<?xml version="1.0"?><sitemapindex xmlns="x">', repeat(concat('<sitemap><loc>https://', s_suppkey, '.example.org/more.xml</loc></sitemap>'), 2), '</sitemapindex>')
+ else concat('<urlset><url><loc> /files/', s_name, '.PDF </loc></url><url><loc>https://evil.test/a.pdf</loc></url><url><loc>https://', s_suppkey, '.example.org/page</loc></url></urlset>') end as xml
+ from {supplier} lateral view explode(array(1, 2)) x as n"""
 
 
-@query("S8_discover_documents", "select 'https://' || (s_suppkey % 10) || '.example.org/files/' || s_name || '.PDF' as url, s_name || '.PDF' as title, (s_suppkey % 10) || '.example.org' as publisher from supplier where s_suppkey between 10 and 19".replace("s_name", "replace(s_name, '#', '-')"))
+@query("S8_discover_documents", "select 'https://' || s_suppkey || '.example.org/files/' || s_name || '.PDF' as url, s_name || '.PDF' as title, s_suppkey || '.example.org' as publisher from supplier".replace("s_name", "replace(s_name, '#', '-')"))
 def s8(spark, sf):
     maps = frame(spark, sf, MAPS.replace("s_name", "replace(s_name, '#', '-')"))
-    domains = maps.filter("s_suppkey < 10").select(F.concat(
+    domains = table(spark, sf, "supplier").select(F.concat(
         F.col("s_suppkey").cast("string"), F.lit(".example.org")).alias("domain"))
-    return web.discover_documents(maps.select("url", "xml"), domains, max_maps=40)
+    n = domains.count()
+    return web.discover_documents(maps, domains, max_maps=2 * n, max_urls=n)
 
 
 # -- exports ---------------------------------------------------------------------------------
@@ -313,12 +316,14 @@ def t5(spark, sf):
     return ex.export_calibration(table(spark, sf, "documents"), 100, 300)
 
 
-@query("S15_write_rankings", "with r as (select source as query, doc_id as doc, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents) select 'length' as system, query, doc, cast(rank as int) as rank from r where rank <= 20")
+@query("S15_write_rankings", """with s as (select 'length' as system, source as query, doc_id as doc, n_chars as score from documents union all select 'hybrid', source, doc_id, doc_id from documents)
+select system, query, doc, cast(row_number() over (partition by system, query order by score desc, doc) as int) as rank from s""")
 def s15(spark, sf):
-    from .grading import ranked
+    from ..operators.order import numbered
+    from .grading import scores
     path = shared_dir(spark, "rankings")
-    ex.write_rankings(ranked(spark, sf).filter(F.col("system") == "length").select(
-        "system", "query", "doc", "rank"), path)
+    full = numbered(scores(spark, sf), ["system", "query"], [F.desc("score"), F.col("doc")], "rank")
+    ex.write_rankings(full.select("system", "query", "doc", "rank"), path)
     return spark.read.schema("query string, doc bigint, rank int, system string").json(path)
 
 

@@ -273,6 +273,6 @@ def p30(spark, sf):
 
 
 @query("S7_page_markdown", cte("document_pages") + """
-select document_id, cast(0 as int) as part, string_agg('<!-- page ' || page_number || ' -->' || chr(10) || text, chr(10) || chr(10) order by page_number) as text from document_pages group by all""")
+select document_id, page_number, '<!-- page ' || page_number || ' -->' || chr(10) || text as text from document_pages""")
 def s7(spark, sf):
     return pg.page_markdown(view(spark, sf, "document_pages"))

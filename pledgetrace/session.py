@@ -46,10 +46,18 @@ def local_session(app: str = "pledgetrace", cpus: str | int = 8) -> SparkSession
     return spark
 
 
+_STAGED: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a private one is set only where none is."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share. Where none is set, a
+    private one serves a session of one process; on a cluster that is an error, as every executor
+    would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -61,10 +69,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     branches that follow neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    _STAGED.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far, once the results that read them are written."""
+    n, hadoop = len(_STAGED), spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, used to choose between strategies."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stage
 
 # fixed values: parts of a page that are not its text
 BOILERPLATE = ("script", "style", "noscript", "template", "svg", "nav", "header", "footer",
@@ -79,32 +80,38 @@ def listed_links(maps: DataFrame) -> DataFrame:
 
 
 def discover_documents(maps: DataFrame, domains: DataFrame, max_maps: int = 20,
-                       max_urls: int = 200, levels: int = 3) -> DataFrame:
+                       max_urls: int = 200) -> DataFrame:
     """PDF links on allowed domains found in fetched maps(url, xml), starting from each
     domain's sitemap.xml and feed/ and following index files: (url, title, publisher).
 
-    At most ``max_maps`` files are read, in the order they are met, and ``max_urls`` documents
-    kept: both are limits of the search itself."""
+    Index files are followed until a level meets no new file, or ``max_maps`` are met. At most
+    ``max_maps`` files are read, in the order they are met, and ``max_urls`` documents kept: both
+    are limits of the search itself."""
     from ..operators.pages import allowed
     links = allowed(listed_links(maps), domains)
+    known = maps.select(F.col("url").alias("map_url")).distinct()
     seeds = domains.select("domain", F.posexplode(F.array(F.lit("sitemap.xml"), F.lit("feed/")))
                            .alias("n", "file"))
     level = seeds.select(
         F.concat(F.lit("https://"), "domain", F.lit("/"), "file").alias("map_url"),
         F.array(F.struct(F.col("domain").alias("m"), F.col("n").cast("bigint").alias("i")))
         .alias("path"))
-    met = level
-    for _ in range(levels):
-        children = links.filter("is_index and tag = 'loc'").join(level, "map_url").select(
+    # files are met level by level; a file met twice is read once, where it came first
+    first = lambda df: df.join(known, "map_url", "left_semi").groupBy("map_url").agg(F.min("path").alias("path"))
+    level = stage(first(level), "maps")
+    met, n = level, level.count()
+    index = links.filter("is_index and tag = 'loc'")
+    while n < max_maps:
+        children = index.join(level, "map_url").select(
             F.col("url"), F.array_append("path", F.struct(
                 F.col("map_url").alias("m"), F.col("pos").cast("bigint").alias("i"))).alias("path"))
-        level = children.select(F.col("url").alias("map_url"), "path")
-        met = met.unionByName(level)
-    # files are met level by level; a file met twice is read once
+        level = stage(first(children.withColumnRenamed("url", "map_url").join(met, "map_url", "left_anti")), "maps")
+        new = level.count()
+        if not new:
+            break
+        met, n = met.unionByName(level), n + new
     order = F.struct(F.size("path").alias("depth"), "path")
-    known = maps.select(F.col("url").alias("map_url")).distinct()
-    read = (met.groupBy("map_url").agg(F.min(order).alias("o")).join(known, "map_url", "left_semi")
-            .orderBy("o").limit(max_maps))
+    read = met.select("map_url", order.alias("o")).orderBy("o").limit(max_maps)
     path = F.lower(F.try_parse_url("url", F.lit("PATH")))
     pdfs = (links.join(read, "map_url").filter(
         ~(F.col("is_index") & (F.col("tag") == "loc")) & path.endswith(".pdf"))

@@ -101,6 +101,16 @@ def test_sitemaps(spark):
     assert web.discover_documents(m, d, max_urls=1).count() == 1
 
 
+def test_sitemaps_are_followed_all_the_way_down(spark):
+    name = lambda i: "https://a.hu/sitemap.xml" if i == 0 else f"https://a.hu/{i}.xml"
+    maps = [(name(i), f"<sitemapindex><sitemap><loc>{name(i + 1)}</loc></sitemap><sitemap><loc>{name(0)}</loc></sitemap></sitemapindex>")
+            for i in range(6)] + [(name(6), "<urlset><url><loc>https://a.hu/deep.pdf</loc></url></urlset>")]
+    m = spark.createDataFrame(maps, "url string, xml string")
+    d = spark.createDataFrame([("a.hu",)], "domain string")
+    assert [r["url"] for r in web.discover_documents(m, d).collect()] == ["https://a.hu/deep.pdf"]
+    assert web.discover_documents(m, d, max_maps=6).collect() == []
+
+
 def test_allowlist(spark):
     urls = ["https://a.hu/x", "http://sub.A.hu:8443/x", "https://user@a.hu/", "https://evila.hu/", "ftp://a.hu/", "https://a.hu.evil.test/", "nonsense"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
