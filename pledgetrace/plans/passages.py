@@ -35,26 +35,26 @@ w as (
     select *, least(case when ln2 is null then f when ln2.l > st then ln2.l else ln2.r end, en) as st2
     from (select *, list_filter(spans, lambda x: x.l < f and f < x.r)[1] as ln2 from (select *, greatest(st + 1, en - 400) as f from w where en < length(s))))))
 ),
-chunks as (select page_id, row_number() over (partition by page_id order by sec, part, st) - 1 as chunk_index, substring(s, st + 1, en - st) as chunk
+chunks as materialized (select page_id, row_number() over (partition by page_id order by sec, part, st) - 1 as chunk_index, substring(s, st + 1, en - st) as chunk
   from w where regexp_matches(substring(s, st + 1, en - st), '\S'))"""
 
 QUERY_SQL = CHUNK_SQL + """,
 cmt as (select item_id as id, text as summary, 'M' || (1 + item_id % 3) || '.' || item_id as code from benchmark),
 q as (select id as query_id, array_to_string(list_slice(list_filter(string_split_regex(summary, '\\s+'), lambda x: x <> ''), 1, 10), ' ') || ' ' || summary || ' ' || code as text from cmt),
-ctok as (select page_id, chunk_index, unnest(list_filter(string_split_regex(lower(chunk), '\\s+'), lambda x: x <> '')) as t from chunks),
+ctok as materialized (select page_id, chunk_index, unnest(list_filter(string_split_regex(lower(chunk), '\\s+'), lambda x: x <> '')) as t from chunks),
 qtok as (select query_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) as t from q),
-toks as (select t, ((((('0x' || substr(md5(t), 1, 8))::bigint % 384) * 256 + ('0x' || substr(md5(t), 9, 8))::bigint) % 384 * 256 + ('0x' || substr(md5(t), 17, 8))::bigint) % 384 * 256 + ('0x' || substr(md5(t), 25, 8))::bigint) % 384 as dim
+toks as materialized (select t, ((((('0x' || substr(md5(t), 1, 8))::bigint % 384) * 256 + ('0x' || substr(md5(t), 9, 8))::bigint) % 384 * 256 + ('0x' || substr(md5(t), 17, 8))::bigint) % 384 * 256 + ('0x' || substr(md5(t), 25, 8))::bigint) % 384 as dim
   from (select t from ctok union select t from qtok)),
-cvec as (select page_id, chunk_index, dim, count(*)::double as x from ctok join toks using (t) group by all),
-qvec as (select query_id, dim, count(*)::double as x from qtok join toks using (t) group by all),
+cvec as materialized (select page_id, chunk_index, dim, count(*)::double as x from ctok join toks using (t) group by all),
+qvec as materialized (select query_id, dim, count(*)::double as x from qtok join toks using (t) group by all),
 cnorm as (select page_id, chunk_index, sqrt(sum(x * x)) as n from cvec group by all),
 qnorm as (select query_id, sqrt(sum(x * x)) as n from qvec group by all),
-dots as (select query_id, page_id, chunk_index, sum(a.x * b.x) as d from cvec a join qvec b using (dim) group by all),
-sims as (select q.query_id, c.page_id, c.chunk_index, round(coalesce(d, 0) / (c.n * q.n), 9) as similarity
+dots as materialized (select query_id, page_id, chunk_index, sum(a.x * b.x) as d from cvec a join qvec b using (dim) group by all),
+sims as materialized (select q.query_id, c.page_id, c.chunk_index, round(coalesce(d, 0) / (c.n * q.n), 9) as similarity
   from qnorm q cross join cnorm c left join dots using (query_id, page_id, chunk_index)),
-cterm as (select page_id, chunk_index, t, count(*) as tf from (select page_id, chunk_index, unnest(string_split_regex(lower(chunk), '[^\\p{L}\\p{N}_]+')) as t from chunks) where t <> '' group by all),
-qterm as (select distinct query_id, t from (select query_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) as t from q) where t <> ''),
-lex as (select query_id, page_id, chunk_index, sum(tf)::bigint as hits, count(*) as n_terms from cterm join qterm using (t) group by all)"""
+cterm as materialized (select page_id, chunk_index, t, count(*) as tf from (select page_id, chunk_index, unnest(string_split_regex(lower(chunk), '[^\\p{L}\\p{N}_]+')) as t from chunks) where t <> '' group by all),
+qterm as materialized (select distinct query_id, t from (select query_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) as t from q) where t <> ''),
+lex as materialized (select query_id, page_id, chunk_index, sum(tf)::bigint as hits, count(*) as n_terms from cterm join qterm using (t) group by all)"""
 
 
 def hybrid_sql(k: int) -> str:
