@@ -3,7 +3,8 @@
 Decisions and contract states are stateful aggregations: each micro-batch writes only the keys
 it changed, into a folder of its own, and a reader folds the folders. Evidence runs are merged
 into a versioned table. A batch that is run again after a failure overwrites its own folder or
-version, so nothing is counted twice."""
+version, so nothing is counted twice. A stream's checkpoint lies beside its output, so that a
+second start on the same root goes on where the first one ended."""
 
 from __future__ import annotations
 
@@ -15,7 +16,24 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.merge import merge_evidence
 from ..operators.trail import SEVERITY, _choose
-from ..session import shared_dir
+
+#: folders of changes from which on they are folded into one
+COMPACT_FROM = 16
+
+
+def _numbers(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Numbers n of the complete folders ``root/<prefix>n``, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith(prefix) and name[len(prefix):].isdigit() and fs.exists(done):
+            found.append(int(name[len(prefix):]))
+    return sorted(found)
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, name: str = "*.parquet",
@@ -32,8 +50,6 @@ def _version(root: str, n: int) -> str:
 def keep_latest(stream: DataFrame, root: str, schema: str,
                 step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataStreamWriter:
     """``step(stored, batch)`` per micro-batch; version n is what batch n - 1 left behind."""
-    spark = stream.sparkSession
-
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         stored = (session.read.schema(schema).parquet(_version(root, batch_id)) if batch_id
@@ -41,20 +57,17 @@ def keep_latest(stream: DataFrame, root: str, schema: str,
         step(stored, batch).select(*stored.columns).write.mode("overwrite").parquet(
             _version(root, batch_id + 1))
 
-    return stream.writeStream.foreachBatch(apply).option(
-        "checkpointLocation", shared_dir(spark, "stream"))
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_checkpoint")
 
 
 def run_available(writer: DataStreamWriter, root: str, schema: str,
                   spark: SparkSession) -> DataFrame:
-    """Work off what is there and return the last version."""
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    done = last + 1
-    if done == 0:
+    """Work off what is there and return the newest complete version."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+    versions = _numbers(spark, root, "v")
+    if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(root, done))
+    return spark.read.schema(schema).parquet(_version(root, versions[-1]))
 
 
 def append_changes(changed: DataFrame, root: str) -> DataStreamWriter:
@@ -63,14 +76,27 @@ def append_changes(changed: DataFrame, root: str) -> DataStreamWriter:
         batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return changed.writeStream.outputMode("update").foreachBatch(apply).option(
-        "checkpointLocation", shared_dir(changed.sparkSession, "stream"))
+        "checkpointLocation", f"{root}/_checkpoint")
+
 
+def read_changes(writer: DataStreamWriter, root: str, schema: str, spark: SparkSession,
+                 fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Work off what is there and return all changes written so far.
 
-def read_changes(writer: DataStreamWriter, root: str, schema: str, spark: SparkSession
-                 ) -> DataFrame:
-    """Work off what is there and return all changes written so far."""
+    With ``fold``, which must give the same result on its own output, changes of many batches
+    are folded into one base; a reader takes the newest base and the batches behind it."""
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/batch=*")
+    base = max(_numbers(spark, root, "base="), default=-1)
+    later = [n for n in _numbers(spark, root, "batch=") if n > base]
+    parts = [f"{root}/base={base}"] * (base >= 0) + [f"{root}/batch={n}" for n in later]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    changes = spark.read.schema(schema).parquet(*parts)
+    if fold is None or len(later) < COMPACT_FROM:
+        return changes
+    columns = changes.columns
+    fold(changes).select(*columns).write.mode("overwrite").parquet(f"{root}/base={later[-1]}")
+    return spark.read.schema(schema).parquet(f"{root}/base={later[-1]}")
 
 
 DECISIONS = ("link_id bigint, decision string, ts timestamp, event_id bigint")

@@ -47,3 +47,29 @@ def test_runs_respect_reviews(spark):
     got = {r["url"]: (r["title"], r["snippet"]) for r in out.collect()}
     assert got == {"a": ("t1", "s3"), "b": ("t1", "s1")}
     assert sorted(r["id"] for r in out.collect()) == [1, 2]
+
+
+def test_a_second_start_goes_on(spark):
+    run = "commitment_id bigint, url string, title string, snippet string, seq int"
+    stored = "id bigint, commitment_id bigint, url string, title string, snippet string"
+    links = spark.createDataFrame([], "evidence_id bigint, review_status string")
+    path = files(spark, "r2", [spark.createDataFrame([(1, "a", "t", "s", 1)], run)])
+    root = shared_dir(spark, "ev2")
+    start = lambda: st.run_available(st.evidence_runs(st.read_files(spark, path, run), root, stored, links, "seq"), root, stored, spark)
+    assert [r["url"] for r in start().collect()] == ["a"]
+    assert [r["url"] for r in start().collect()] == ["a"]  # nothing new
+    spark.createDataFrame([(1, "b", "t", "s", 1)], run).coalesce(1).write.mode("append").parquet(path)
+    assert sorted((r["id"], r["url"]) for r in start().collect()) == [(1, "a"), (2, "b")]
+    assert st.run_available(st.evidence_runs(st.read_files(spark, files(spark, "none", [spark.createDataFrame([], run)]), run),
+                                             shared_dir(spark, "ev3"), stored, links, "seq"), "/tmp/none", stored, spark).collect() == []
+
+
+def test_changes_are_compacted(spark, monkeypatch):
+    monkeypatch.setattr(st, "COMPACT_FROM", 2)
+    schema = "procurement_id string, evidence_id bigint, polarity string"
+    path = files(spark, "b2", [spark.createDataFrame([r], schema) for r in [("P", 3, "amendment"), ("P", 2, "termination")]])
+    root = shared_dir(spark, "states2")
+    start = lambda: st.read_changes(st.artifact_states(st.read_files(spark, path, schema), root), root, st.STATES, spark, st.worst_states)
+    assert start().count() == 1 and st._numbers(spark, root, "base=") == [1]
+    spark.createDataFrame([("P", 1, "termination"), ("Q", 5, "affirmative")], schema).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(map(tuple, st.worst_states(start()).collect())) == [("P", 2, 1), ("Q", 0, 5)]
