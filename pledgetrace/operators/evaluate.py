@@ -191,7 +191,7 @@ def gold_counts(checked: DataFrame) -> DataFrame:
 
 def spot_check(checked: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
     """Up to n kept rows per document, picked by a hash of their key."""
-    kept = checked.filter("kept").withColumn("_h", F.xxhash64(*key))
+    kept = checked.filter("kept").withColumn("_h", F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), 256))
     return top_per(kept, ["doc"], [F.col("_h"), *[F.col(k) for k in key]], n, "pick").drop("_h")
 
 

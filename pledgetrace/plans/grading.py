@@ -206,7 +206,8 @@ def l9(spark, sf):
     return ev.gold_counts(ev.check_gold(*gold(spark, sf)))
 
 
-@query("T6_spot_check")
+@query("T6_spot_check", GOLD + """ select doc, page, empty, cast(r as int) as pick from (
+ select *, row_number() over (partition by doc order by sha256(pdf || '|' || page), pdf, page) as r from k where kept) where r <= 2""")
 def t6(spark, sf):
     return ev.spot_check(ev.check_gold(*gold(spark, sf)), 2, ["pdf", "page"]).select(
         "doc", "page", "empty", "pick")

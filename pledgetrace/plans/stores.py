@@ -72,7 +72,28 @@ def s4(spark, sf):
 GLOSSARY = {"M": "Mitigation", "A": "Adaptation"}
 
 
-@query("S6_read_html")
+def _html_sql() -> str:
+    """S6 with one replacement per tag name, as RE2 has no back references."""
+    out = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in web.BOILERPLATE:
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
+    out = rf"regexp_replace({out}, '(?is)<head\b.*?</head\s*>', ' ', 'g')"
+    out = rf"regexp_replace({out}, '(?i)</?(?:{'|'.join(web.BLOCKS)})\b[^>]*>', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '<[^>]+>', '', 'g')"
+    title = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
+    for name, ch in web.ENTITIES.items():
+        ch = ch.replace("'", "''")
+        out, title = f"replace({out}, '{name}', '{ch}')", f"replace({title}, '{name}', '{ch}')"
+    out = rf"regexp_replace({out}, '[ \t\x0b\f\r]+', ' ', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    title = rf"trim(regexp_replace({title}, '\s+', ' ', 'g'))"
+    stamp = r"""regexp_extract(html, '(?is)<meta[^>]*(?:published_time|date|dc\.date)[^>]*content=["''](\d{4}-\d{2}-\d{2})', 1)"""
+    mark = r"""regexp_extract(html, '(?is)<time[^>]*datetime=["''](\d{4}-\d{2}-\d{2})', 1)"""
+    return (f"select page_id, url, case when {title} <> '' then {title} else url end as title, {out} as text, "
+            f"try_cast(coalesce(nullif({stamp}, ''), nullif({mark}, '')) as date) as published_on from pages where {out} <> ''")
+
+
+@query("S6_read_html", _html_sql())
 def s6(spark, sf):
     return web.read_html(table(spark, sf, "pages"))
 

@@ -118,7 +118,15 @@ def f2(spark, sf):
         q, F.col("text"), WordCount, 16).alias("score"))
 
 
-@query("F3_entities")
+def _deduped(names: str) -> str:
+    return (f"array_to_string(list_transform(list_filter(range(1, len({names}) + 1), lambda i: not list_contains({names}l[i + 1:], {names}l[i])), "
+            f"lambda i: {names}[list_position({names}l, {names}l[i])]), ',')")
+
+
+@query("F3_entities", r"""with t as (select item_id, list_filter(string_split_regex(text || ' Opened at Northgate in 2031, 2030 and 2031.', '\s+'), lambda x: x <> '') as w from benchmark),
+n as (select item_id, list_filter(w, lambda x: left(x, 1) <> lower(left(x, 1))) as o, list_transform(list_filter(range(2, len(w) + 1), lambda i: lower(w[i - 1]) = 'at'), lambda i: w[i]) as p from t),
+l as (select *, list_transform(o, lambda x: lower(x)) as ol, list_transform(p, lambda x: lower(x)) as pl from n)
+select item_id, """ + _deduped("o") + " as orgs, " + _deduped("p") + " as places, '2031,2030' as dates from l")
 def f3(spark, sf):
     e = ev.entities(F.concat("text", F.lit(" Opened at Northgate in 2031, 2030 and 2031.")), Capitals)
     j = lambda c: F.array_join(F.col(f"e.{c}"), ",").alias(c)
