@@ -79,7 +79,10 @@ def search_hits(queries: DataFrame, results: DataFrame, limit: int) -> DataFrame
 
     A substring of a query starts at one of its characters, so each query offers its pieces of
     the lengths that occur among the substrings, and pieces meet substrings by equality."""
-    subs = results.withColumn("_sub", F.lower("query_substring"))
+    # no query can use more than the first few results of one substring
+    subs = results.withColumn("_sub", F.lower("query_substring")).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("_sub").orderBy("pos"))).filter(
+        F.col("_rn") <= limit).drop("_rn")
     lengths = [r[0] for r in subs.select(F.length("_sub").alias("n")).distinct().collect()]
     if not lengths:
         return queries.filter(F.lit(False)).select(
