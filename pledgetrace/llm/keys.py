@@ -29,21 +29,21 @@ SHAPES = (
 )
 #: the same found faster: shorter matches of these two would be dropped anyway, and none hides a longer one
 FAST = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
-TOKEN, LEAST_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}", 20
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KIND = "random"
 
 _LOW, _UP, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: encodings from the smallest alphabet to the largest
 ALPHABETS = (
     ("decimal", _DIGIT), ("hex", _DIGIT + "abcdef"), ("HEX", _DIGIT + "ABCDEF"), ("lower", _LOW), ("upper", _UP),
-    ("base32", _UP + "234567"), ("lower36", _LOW + _DIGIT), ("upper36", _UP + _DIGIT), ("letters", _UP + _LOW),
+    ("words", _LOW + "-_"), ("base32", _UP + "234567"), ("lower36", _LOW + _DIGIT), ("upper36", _UP + _DIGIT), ("letters", _UP + _LOW),
     ("base62", _UP + _LOW + _DIGIT), ("base64", _UP + _LOW + _DIGIT + "+/"), ("base64url", _UP + _LOW + _DIGIT + "-_"),
     ("mixed", _UP + _LOW + _DIGIT + "+/-_"),
 )
 #: how much more often than under uniform use two characters of written text are equal, per size of
 #: the alphabet: equal letters have a chance of about 0.066
 TEXT_MATCH = 0.066
-STRUCTURE, RATE = 0.01, 0.05
+STRUCTURE, RATE = 0.01, 0.01
 #: p values are counted in bins of a tenth of a decade; lengths in doublings
 BINS, BANDS = 300, 24
 
@@ -99,16 +99,21 @@ def battery(token: Column) -> Column:
             c == "", 0.0).otherwise(F.pow(F.length(s["b"]) - F.length(F.replace(s["b"], c, F.lit(""))), 2)))
         places = F.transform(F.filter(F.split(s["b"], ""), lambda c: c != ""), lambda c: (F.position(c, s["a"]) - 1).cast("double"))
         return F.transform(F.array(F.struct(s["e"].alias("e"), n.alias("n"), k.alias("k"), (squares * k / n - n).alias("chi2"),
-                                            places.alias("x"))), tested)[0]
+                                            places.alias("x"))), centred)[0]
+
+    def centred(s: Column) -> Column:
+        # bound here, as lambdas would work these out anew for every character
+        mean = F.aggregate(s["x"], F.lit(0.0), lambda acc, v: acc + v) / s["n"]
+        high = F.transform(s["x"], lambda v: (v >= s["k"] / 2).cast("int"))
+        return F.transform(F.array(F.struct(*[s[c].alias(c) for c in ("e", "n", "k", "chi2", "x")], mean.alias("mean"),
+                                            high.alias("high"))), tested)[0]
 
     def tested(s: Column) -> Column:
-        n, k, x = s["n"], s["k"], s["x"]
-        high = F.transform(x, lambda v: (v >= k / 2).cast("int"))
+        n, k, x, mean, high = s["n"], s["k"], s["x"], s["mean"], s["high"]
         ones = F.aggregate(high, F.lit(0.0), lambda acc, v: acc + v)
         pairs = F.arrays_zip(F.slice(high, F.lit(1), F.size(x) - 1).alias("u"), F.slice(high, F.lit(2), F.size(x) - 1).alias("v"),
                              F.slice(x, F.lit(1), F.size(x) - 1).alias("p"), F.slice(x, F.lit(2), F.size(x) - 1).alias("q"))
         runs = F.aggregate(pairs, F.lit(1.0), lambda acc, t: acc + F.when(t["u"] != t["v"], 1.0).otherwise(0.0))
-        mean = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / n
         spread = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
         together = F.aggregate(pairs, F.lit(0.0), lambda acc, t: acc + (t["p"] - mean) * (t["q"] - mean))
         due = 2 * ones * (n - ones) / n + 1
