@@ -141,3 +141,20 @@ def test_reset_keeps_what_a_person_decided(spark):
     # P loses its termination, falls back to the amendment; Q loses its only passage
     assert got == {"budgets": 1, "links": 1, "artifact_evidence": 2, "implementation_artifacts": 3,
                    "evidence": 2, "candidates": 1, "notes": 2}
+
+
+def test_a_suggested_relationship_holds_where_none_was_set(spark):
+    ln = spark.createDataFrame([(10, 1, 1, 1.0, None, "accepted", "direct_implementation"), (11, 1, 2, 0.5, "budget", "accepted", "direct_implementation")],
+                               LINK + ", suggested_relationship string")
+    r = row(spark, evidence(spark, (1, "", "completed", "affirmative"), (2, "", "planned", "affirmative")), ln, budgets(spark))
+    assert r["status"] == "completed" and tr.NO_EVIDENCE not in r["gaps"]
+
+
+def test_lines_show_the_decimals_of_the_page(spark):
+    bud = BUD + ", amount_native string, amount_huf bigint"
+    rows = [("initial_appropriation", "EUR", "100.50", "100.50", None), ("actual_expenditure", "EUR", "60", "60", None),
+            ("initial_appropriation", "HUF", None, None, 3_000_000), ("actual_expenditure", "HUF", "1000000", "1000000", 1_000_000)]
+    bu = spark.createDataFrame([(n, 1, k, c, None if a is None else Decimal(a), f"{n}", "u", 2024, t, h) for n, (k, c, a, t, h) in enumerate(rows)], bud)
+    r = row(spark, evidence(spark, (1, "", "planned", "affirmative")), links(spark, 1), bu)
+    assert r["findings"] == ["2024: 40.50 EUR of the appropriation was not spent (60 of 100.50).",
+                             "2024: 2 000 000 HUF of the appropriation was not spent (1 000 000 of 3 000 000)."]
