@@ -1,11 +1,14 @@
-"""License notices: winnowed fingerprints pick candidates, banded alignment measures them.
+"""License notices: an index of the templates' words picks candidates, alignment measures them.
 
 Templates and documents are read as words (runs of letters, digits and non-ASCII characters, A-Z
-lower-cased). Of every WINDOW successive hashes of SHINGLE words the least is a fingerprint, so
-that WINDOW + SHINGLE - 1 common words always share one. An inverted index of the templates'
-fingerprints gives (template, diagonal) candidates; those within BAND diagonals of each other form
-one. A candidate is aligned word by word within its band; it is reported if the matched words
-cover enough of the template, with the place in the text.
+lower-cased). An alignment matches words of a template in their order; from one matched word to
+the next the diagonal (place in the document - place in the template) may rise by REACH, so that
+up to REACH words may be put in at any place. It is reported if the matched words cover enough of
+the template, with the place in the text.
+
+No shared run of words is asked for: words put in or changed can part any two. A candidate is a
+stretch that has enough words of the template, each counted as often as the template has it, which
+every alignment that covers enough must have. All candidates are aligned.
 
 Defined cases. A null text counts as empty. A template without words matches nothing. Repeated
 rows are reported each. Of templates that match overlapping places the one with more matched
@@ -23,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import small_batches, text_bytes
-from .words import NOT_ALNUM, Lookup, shingles, words
+from .words import NOT_ALNUM, Lookup, words
 
-SHINGLE, WINDOW, BAND = 3, 2, 8
+BAND = 8
+REACH = 2 * BAND
 COVERAGE = 0.8
 
 #: fixed values: notices of public licenses, by identifier
@@ -63,119 +67,151 @@ TEMPLATES = {
 }
 
 
-def winnowed(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Places of the fingerprints: the least (leftmost) of each WINDOW hashes of one text, and of
-    all its hashes where it has fewer."""
-    if not len(sh):
-        return np.zeros(0, np.int64)
-    count = np.diff(bounds)
-    text = np.repeat(np.arange(len(count)), count)
-    at = np.flatnonzero(np.arange(len(sh)) + WINDOW <= bounds[text + 1])
-    picked = at.copy()
-    for k in range(1, WINDOW):
-        picked = np.where(sh[at + k] < sh[picked], at + k, picked)
-    few = [bounds[i] + int(np.argmin(sh[bounds[i]:bounds[i + 1]])) for i in np.flatnonzero((count > 0) & (count < WINDOW))]
-    return np.unique(np.concatenate([picked, np.array(few, np.int64)]))
-
-
 def _read(texts: list[bytes]):
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    first, starts, ends, h = words(np.frombuffer(b"".join(texts), np.uint8), offsets, NOT_ALNUM)
-    return offsets, first, starts, ends, h, *shingles(first, h, SHINGLE)
+    return offsets, *words(np.frombuffer(b"".join(texts), np.uint8), offsets, NOT_ALNUM)
 
 
 class Templates:
-    """Word hashes of each template and the inverted index of their fingerprints."""
+    """Word hashes of each template and how often it has each word of all templates."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.names = sorted(texts)
-        _, first, _, _, h, sh, bounds = _read([texts[n].encode() for n in self.names])
+        _, first, _, _, h = _read([texts[n].encode() for n in self.names])
         self.words = [h[first[i]:first[i + 1]] for i in range(len(self.names))]
-        at = winnowed(sh, bounds)
-        of = np.searchsorted(bounds, at, "right") - 1
-        keys, place = np.unique(sh[at], return_inverse=True)
-        order = np.argsort(place, kind="stable")
+        keys, place = np.unique(h, return_inverse=True)
         self.lookup = Lookup(keys)
-        self.starts = np.searchsorted(place[order], np.arange(len(keys) + 1))
-        self.postings = np.stack([of, at - bounds[of]], 1)[order]  # (template, place in it)
-
-    def candidates(self, sh: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, template, least diagonal, greatest diagonal), diagonals within BAND joined."""
-        at = winnowed(sh, bounds)
-        hit, key = self.lookup.hits(sh[at])
-        n = self.starts[key + 1] - self.starts[key]
-        if not n.sum():
-            return []
-        into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        template, place = self.postings[np.repeat(self.starts[key], n) + into].T
-        where = np.repeat(at[hit], n)
-        text = np.searchsorted(bounds, where, "right") - 1
-        rows = np.unique(np.stack([text, template, where - bounds[text] - place], 1), axis=0)
-        new = np.concatenate([[True], (np.diff(rows[:, :2], axis=0) != 0).any(axis=1) | (np.diff(rows[:, 2]) > BAND)])
-        start = np.flatnonzero(new)
-        last = np.append(start[1:], len(rows)) - 1
-        return [(*rows[a].tolist(), int(rows[b, 2])) for a, b in zip(start, last)]
+        self.counts = np.zeros((len(self.names), len(keys)), np.int64)
+        np.add.at(self.counts, (np.repeat(np.arange(len(self.names)), np.diff(first)), place), 1)
+
+    def need(self, t: int, coverage: float) -> int:
+        """The least number of matched words, one at least, that covers enough of the template."""
+        m = len(self.words[t])
+        return next((n for n in range(1, m + 1) if n >= coverage * m), m + 1)
+
+    def candidates(self, first: np.ndarray, h: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text, template, begin, end) of the stretches of words that may hold an alignment."""
+        at, key = self.lookup.hits(h)
+        text = np.searchsorted(first, at, "right") - 1
+        width = self.counts.shape[1]
+        pairs, often = np.unique(text * width + key, return_counts=True)
+        of, word = np.divmod(pairs, max(width, 1))
+        for t, counts in enumerate(self.counts):
+            need = self.need(t, coverage)
+            enough = np.bincount(of, np.minimum(often, counts[word]), len(first) - 1) >= need
+            mine = enough[text] & (counts[key] > 0)
+            if len(self.words[t]) and mine.any():
+                for a, b in self._stretches(at[mine], text[mine], key[mine], t, need):
+                    yield int(np.searchsorted(first, a, "right")) - 1, t, a, b
+
+    def _stretches(self, at: np.ndarray, text: np.ndarray, key: np.ndarray, t: int, need: int) -> Iterator[tuple[int, int]]:
+        m = len(self.words[t])
+        longest = m + REACH * (m - 1)
+        # no alignment goes over a text's end or a gap wider than REACH and the words it may leave out
+        part = np.cumsum(np.append(0, (np.diff(text) > 0) | (np.diff(at) > REACH + m - need + 1)))
+        place = at + part * longest
+        # a word counts from those begins on at which it is among the first so many of its kind
+        order = np.argsort(key, kind="stable")
+        earlier = np.arange(len(order)) - self.counts[t][key[order]]
+        known = (earlier >= 0) & (key[order][earlier] == key[order])
+        since = place - longest
+        since[order[known]] = np.maximum(since[order[known]], place[order[earlier[known]]])
+        change = np.zeros(len(at) + 1, np.int64)
+        np.add.at(change, np.searchsorted(place, since, "right"), 1)
+        change[1:] -= 1
+        begin = np.flatnonzero(np.cumsum(change)[:-1] >= need)
+        if not len(begin):
+            return
+        last = np.searchsorted(place, place[begin] + longest) - 1
+        new = np.flatnonzero(np.append(True, begin[1:] > last[:-1]))
+        for a, b in zip(begin[new], last[np.append(new[1:], len(begin)) - 1]):
+            yield int(at[a]), int(at[b]) + 1
+
+
+def chains(doc: np.ndarray, template: np.ndarray, reach: int, low: int | None = None,
+           high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(matched words, begin) of the best alignment that ends at each place of doc; most matches
+    win, of equals the last begin. Diagonals rise by at most ``reach`` from one matched word to the
+    next, and stay in low..high if given."""
+    size, m = len(doc), len(template)
+    base = size + 1
+    best = np.zeros(size, np.int64)
+    # per diagonal, behind a margin of reach: the best value matches * base + begin that can go on from it
+    open_ = np.zeros(reach + size + m, np.int64)
+    back = np.arange(reach + 1)
+    where = {w: np.flatnonzero(doc == w) for w in set(template.tolist())}
+    for i, w in enumerate(template.tolist()):
+        at = where[w]
+        if low is not None:
+            at = at[(at - i >= low) & (at - i <= high)]
+        slot = at - i + m - 1 + reach
+        before = open_[slot[:, None] - back].max(axis=1)
+        value = np.where(before > 0, before, at) + base
+        # a template word without a partner: the diagonal falls by one
+        open_[:-1] = np.maximum(open_[:-1], open_[1:])
+        open_[slot] = np.maximum(open_[slot], value)
+        best[at] = np.maximum(best[at], value)
+    return best // base, best % base
 
 
 def aligned(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """(matched words, first and last matched place in doc) of the best alignment whose diagonals
-    (place in doc - place in template) stay in low - BAND .. high + BAND. Most matches win; of
-    equals the shortest stretch of doc."""
+    stay in low - BAND .. high + BAND. Most matches win; of equals the shortest stretch of doc."""
     low, high = low - BAND, high + BAND
-    width, m = high - low + 1, len(template)
-    # cell d of row i: template[:i] against doc up to place i + low + d; value (matches, begin)
-    best = np.zeros(width + 1, np.int64)
-    begin = np.full(width + 1, -1, np.int64)
-    end = np.full(width + 1, -1, np.int64)
-    for i in range(m):
-        place = i + low + np.arange(width)
-        ok = (place >= 0) & (place < len(doc))
-        same = np.zeros(width, bool)
-        same[ok] = doc[place[ok]] == template[i]
-        # a template word without a partner: the cell one diagonal up in the row above
-        n, b, e = best[1:].copy(), begin[1:].copy(), end[1:].copy()
-        step, sb = best[:-1] + 1, np.where(begin[:-1] < 0, place, begin[:-1])
-        take = same & ((step > n) | ((step == n) & (place - sb < e - b)))
-        n, b, e = np.where(take, step, n), np.where(take, sb, b), np.where(take, place, e)
-        # document words without a partner: a cell may take the best one before it in its row
-        rank = n * (len(doc) + 1) - (e - b)
-        top = np.maximum.accumulate(rank)
-        of = np.maximum.accumulate(np.where(rank == top, np.arange(width), 0))
-        n, b, e = n[of], b[of], e[of]
-        best, begin, end = np.append(n, 0), np.append(b, -1), np.append(e, -1)
-    top = int(best.max())
-    if not top:
+    n, begin = chains(doc, template, high - low, low, high)
+    if not n.any():
         return 0, -1, -1
-    d = min((int(end[k] - begin[k]), k) for k in np.flatnonzero(best == top))[1]
-    return top, int(begin[d]), int(end[d])
+    end = min(np.flatnonzero(n == n.max()).tolist(), key=lambda e: (e - begin[e], e))
+    return int(n[end]), int(begin[end]), end
+
+
+def alignments(doc: np.ndarray, template: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(matched words, first, last matched place) of alignments with at least ``need`` words that
+    do not overlap: the best one, then the best of what is left beside it, and so on."""
+    out, stretches = [], [(0, len(doc))]
+    while stretches:
+        left, right = stretches.pop()
+        if right - left < need:
+            continue
+        n, begin = chains(doc[left:right], template, REACH)
+        ends = np.flatnonzero(n >= need)
+        used, again = np.zeros(right - left, bool), np.zeros(right - left, bool)
+        for e in ends[np.lexsort((ends, ends - begin[ends], -n[ends]))].tolist():
+            b = int(begin[e])
+            if used[e] or again[e]:
+                continue
+            if not used[b:e + 1].any():
+                used[b:e + 1] = True
+                out.append((int(n[e]), b + left, e + left))
+                continue
+            # the best one that ends here is cut by another: what is left around it is read anew
+            a = e - int(np.argmax(used[e::-1])) + 1
+            z = e + int(np.argmax(used[e:])) if used[e:].any() else right - left
+            again[a:z] = True
+            stretches.append((left + a, left + z))
+    return out
 
 
 def matches(texts: list[bytes], templates: Templates, coverage: float) -> list[tuple]:
     """(text, name, matched, template words, begin, end) with character places, end exclusive."""
-    offsets, first, starts, ends, h, sh, bounds = _read(texts)
+    offsets, first, starts, ends, h = _read(texts)
     found = defaultdict(list)
-    for text, t, low, high in templates.candidates(sh, bounds):
-        doc, template = h[first[text]:first[text + 1]], templates.words[t]
-        # only the stretch that the band can reach; beside a match there may be another
-        left = max(0, low - BAND)
-        stretches = [(left, min(len(doc), high + BAND + len(template)))]
-        while stretches:
-            left, right = stretches.pop()
-            if right - left < coverage * len(template):
-                continue
-            n, a, b = aligned(doc[left:right], template, max(low - left, -len(template)), high - left)
-            if n and n >= coverage * len(template):
-                found[text].append((-n, -n / len(template), templates.names[t], a + left, b + left, len(template)))
-                stretches += [(left, left + a), (left + b + 1, right)]
+    for text, t, left, right in templates.candidates(first, h, coverage):
+        template = templates.words[t]
+        for n, a, b in alignments(h[left:right], template, templates.need(t, coverage)):
+            found[text].append((-n, -n / len(template), templates.names[t], a + left, b + left, len(template)))
     out = []
-    for text, rows in found.items():
+    for text in sorted(found):
         kept: list[tuple] = []
-        for row in sorted(rows):
-            if all(row[4] < k[3] or row[3] > k[4] for k in kept):
+        used = np.zeros(first[text + 1] - first[text], bool)
+        for row in sorted(found[text]):
+            place = used[row[3] - first[text]:row[4] - first[text] + 1]
+            if not place.any():
+                place[:] = True
                 kept.append(row)
         raw = texts[text]
         for n, _, name, a, b, size in sorted(kept, key=lambda r: r[3]):
-            a, b = int(starts[first[text] + a] - offsets[text]), int(ends[first[text] + b] - offsets[text])
+            a, b = int(starts[a] - offsets[text]), int(ends[b] - offsets[text])
             begin = len(raw[:a].decode("utf-8"))
             out.append((text, name, -n, size, begin, begin + len(raw[a:b].decode("utf-8"))))
     return out

@@ -58,3 +58,46 @@ def test_alignment_against_plain_dynamic_programming():
         n, a, b = l.aligned(np.array(doc, np.uint64), np.array(template, np.uint64), -14, 14)
         assert n == brute(doc, template)
         assert n == 0 or brute(doc[a:b + 1], template) == n
+
+
+SHORT = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.",
+         "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc": "Licensed under CC BY-NC 4.0.",
+         "public": "This is free and unencumbered software released into the public domain."}
+
+
+def test_spans_against_plain_search_over_whole_documents(spark, docs_of):
+    import random
+    rng = random.Random(4)
+    read = lambda text: l._read([text.encode()])[4].tolist()
+    texts = ["Released under MIT License.", "Released under an MIT License.", "released by us under the new MIT license"]
+    for _ in range(300):
+        words = rng.choice(list(SHORT.values())).split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at:at + rng.randint(0, 1)] = rng.choice([[], ["zzz"], ["an", "the"], [words[at], words[at]]])
+            words = words or ["zzz"]
+        texts.append(" ".join(["pre"] * rng.randint(0, 2) + words))
+    best = {}
+    for r in l.license_spans(docs_of(list(enumerate(texts))), ["doc_id"], SHORT).collect():
+        best[r["doc_id"]] = max(best.get(r["doc_id"], 0), r["matched_words"])
+    want = {}
+    for i, text in enumerate(texts):
+        for template in map(read, SHORT.values()):
+            n = brute(read(text), template)
+            if n >= l.COVERAGE * len(template):
+                want[i] = max(want.get(i, 0), n)
+    assert {0, 1, 2} <= set(want) and 100 < len(want) < len(texts)
+    assert best == want
+
+
+def test_words_put_in_between_all_words_of_a_long_notice(spark, docs_of):
+    changed = " ".join(w + " zzz" * (1 + i % 3) for i, w in enumerate(MIT.split()))
+    (row,) = found(spark, docs_of([(1, changed)]))
+    assert row[1] == "MIT" and row[4] == len(l._read([MIT.encode()])[4])
+
+
+def test_alignments_that_cut_each_other():
+    import numpy as np
+    doc = np.array([1, 2, 3, 4, 5, 1, 2, 3, 9, 4, 5, 2, 3, 4, 5], np.uint64)
+    rows = l.alignments(doc, np.arange(1, 6, dtype=np.uint64), 4)
+    assert sorted(rows, key=lambda r: r[1]) == [(5, 0, 4), (5, 5, 10), (4, 11, 14)]
