@@ -10,6 +10,9 @@ No shared run of words is asked for: words put in or changed can part any two. A
 stretch that has enough words of the template, each counted as often as the template has it, which
 every alignment that covers enough must have. All candidates are aligned.
 
+Licenses of one family differ by a word or a number. A template may name words of its own that an
+alignment must match, and words that end a stretch where the template does not have them itself.
+
 Defined cases. A null text counts as empty. A template without words matches nothing. Repeated
 rows are reported each. Of templates that match overlapping places the one with more matched
 words stands, of equals the one that covers more of itself, then the first by name. An empty table
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .notices import BARRED, REQUIRED, TEMPLATES
 from .tables import small_batches, text_bytes
 from .words import NOT_ALNUM, Lookup, words
 
@@ -32,40 +36,6 @@ BAND = 8
 REACH = 2 * BAND
 COVERAGE = 0.8
 
-#: fixed values: notices of public licenses, by identifier
-TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-           "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-           "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-           "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-           "subject to the following conditions: The above copyright notice and this permission notice shall be "
-           "included in all copies or substantial portions of the Software.",
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
-                  "in compliance with the License. You may obtain a copy of the License at "
-                  "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-                  "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
-                  "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                    "provided that the following conditions are met: Redistributions of source code must retain the "
-                    "above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
-                    "binary form must reproduce the above copyright notice, this list of conditions and the following "
-                    "disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-           "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-               "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-               "or (at your option) any later version.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
-               "MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-
 
 def _read(texts: list[bytes]):
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -73,13 +43,31 @@ def _read(texts: list[bytes]):
 
 
 class Templates:
-    """Word hashes of each template and how often it has each word of all templates."""
+    """Word hashes of each template and how often it has each word of all templates.
 
-    def __init__(self, texts: dict[str, str]) -> None:
+    ``required``: words, as a text, of a template that an alignment must match, each at its first
+    place behind the one before. ``barred``: words over which it must not go; those that the
+    template has are not meant."""
+
+    def __init__(self, texts: dict[str, str], required: dict[str, str] | None = None,
+                 barred: dict[str, str] | None = None) -> None:
         self.names = sorted(texts)
         _, first, _, _, h = _read([texts[n].encode() for n in self.names])
         self.words = [h[first[i]:first[i + 1]] for i in range(len(self.names))]
-        keys, place = np.unique(h, return_inverse=True)
+        self.must, bars = [], []
+        for words_, name in zip(self.words, self.names):
+            must = np.zeros(len(words_), bool)
+            at = 0
+            for w in _read([(required or {}).get(name, "").encode()])[4]:
+                at += int(np.flatnonzero(words_[at:] == w)[0])
+                must[at] = True
+                at += 1
+            self.must.append(must)
+            bars.append(np.setdiff1d(_read([(barred or {}).get(name, "").encode()])[4], words_))
+        keys, place = np.unique(np.concatenate([h, *bars]), return_inverse=True)
+        place = place[:len(h)]
+        self.bars = [np.searchsorted(keys, bar) for bar in bars]
+        self.needed = [np.unique(np.searchsorted(keys, w[must])) for w, must in zip(self.words, self.must)]
         self.lookup = Lookup(keys)
         self.counts = np.zeros((len(self.names), len(keys)), np.int64)
         np.add.at(self.counts, (np.repeat(np.arange(len(self.names)), np.diff(first)), place), 1)
@@ -97,18 +85,23 @@ class Templates:
         pairs, often = np.unique(text * width + key, return_counts=True)
         of, word = np.divmod(pairs, max(width, 1))
         for t, counts in enumerate(self.counts):
+            if not np.isin(self.needed[t], word).all():
+                continue
             need = self.need(t, coverage)
             enough = np.bincount(of, np.minimum(often, counts[word]), len(first) - 1) >= need
             mine = enough[text] & (counts[key] > 0)
             if len(self.words[t]) and mine.any():
-                for a, b in self._stretches(at[mine], text[mine], key[mine], t, need):
+                barred = at[np.isin(key, self.bars[t])]
+                for a, b in self._stretches(at[mine], text[mine], key[mine], barred, t, need):
                     yield int(np.searchsorted(first, a, "right")) - 1, t, a, b
 
-    def _stretches(self, at: np.ndarray, text: np.ndarray, key: np.ndarray, t: int, need: int) -> Iterator[tuple[int, int]]:
+    def _stretches(self, at: np.ndarray, text: np.ndarray, key: np.ndarray, barred: np.ndarray, t: int,
+                   need: int) -> Iterator[tuple[int, int]]:
         m = len(self.words[t])
         longest = m + REACH * (m - 1)
-        # no alignment goes over a text's end or a gap wider than REACH and the words it may leave out
-        part = np.cumsum(np.append(0, (np.diff(text) > 0) | (np.diff(at) > REACH + m - need + 1)))
+        # no alignment goes over a text's end, a barred word or a gap wider than REACH and the words it may leave out
+        cut = (np.diff(text) > 0) | (np.diff(at) > REACH + m - need + 1) | (np.diff(np.searchsorted(barred, at)) > 0)
+        part = np.cumsum(np.append(0, cut))
         place = at + part * longest
         # a word counts from those begins on at which it is among the first so many of its kind
         order = np.argsort(key, kind="stable")
@@ -129,16 +122,17 @@ class Templates:
 
 
 def chains(doc: np.ndarray, template: np.ndarray, reach: int, low: int | None = None,
-           high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+           high: int | None = None, must: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(matched words, begin) of the best alignment that ends at each place of doc; most matches
     win, of equals the last begin. Diagonals rise by at most ``reach`` from one matched word to the
-    next, and stay in low..high if given."""
+    next, and stay in low..high if given. The places of the template that ``must`` says are matched."""
     size, m = len(doc), len(template)
     base = size + 1
     best = np.zeros(size, np.int64)
     # per diagonal, behind a margin of reach: the best value matches * base + begin that can go on from it
     open_ = np.zeros(reach + size + m, np.int64)
     back = np.arange(reach + 1)
+    fixed = np.flatnonzero(must) if must is not None and must.any() else np.array([m, 0])
     where = {w: np.flatnonzero(doc == w) for w in set(template.tolist())}
     for i, w in enumerate(template.tolist()):
         at = where[w]
@@ -146,11 +140,15 @@ def chains(doc: np.ndarray, template: np.ndarray, reach: int, low: int | None =
             at = at[(at - i >= low) & (at - i <= high)]
         slot = at - i + m - 1 + reach
         before = open_[slot[:, None] - back].max(axis=1)
-        value = np.where(before > 0, before, at) + base
+        value = np.where(before > 0, before + base, at + base if i <= fixed[0] else 0)
         # a template word without a partner: the diagonal falls by one
-        open_[:-1] = np.maximum(open_[:-1], open_[1:])
+        if i in fixed:
+            open_[:] = 0
+        else:
+            open_[:-1] = np.maximum(open_[:-1], open_[1:])
         open_[slot] = np.maximum(open_[slot], value)
-        best[at] = np.maximum(best[at], value)
+        if i >= fixed[-1]:
+            best[at] = np.maximum(best[at], value)
     return best // base, best % base
 
 
@@ -165,7 +163,7 @@ def aligned(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple
     return int(n[end]), int(begin[end]), end
 
 
-def alignments(doc: np.ndarray, template: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+def alignments(doc: np.ndarray, template: np.ndarray, need: int, must: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(matched words, first, last matched place) of alignments with at least ``need`` words that
     do not overlap: the best one, then the best of what is left beside it, and so on."""
     out, stretches = [], [(0, len(doc))]
@@ -173,7 +171,7 @@ def alignments(doc: np.ndarray, template: np.ndarray, need: int) -> list[tuple[i
         left, right = stretches.pop()
         if right - left < need:
             continue
-        n, begin = chains(doc[left:right], template, REACH)
+        n, begin = chains(doc[left:right], template, REACH, must=must)
         ends = np.flatnonzero(n >= need)
         used, again = np.zeros(right - left, bool), np.zeros(right - left, bool)
         for e in ends[np.lexsort((ends, ends - begin[ends], -n[ends]))].tolist():
@@ -198,7 +196,7 @@ def matches(texts: list[bytes], templates: Templates, coverage: float) -> list[t
     found = defaultdict(list)
     for text, t, left, right in templates.candidates(first, h, coverage):
         template = templates.words[t]
-        for n, a, b in alignments(h[left:right], template, templates.need(t, coverage)):
+        for n, a, b in alignments(h[left:right], template, templates.need(t, coverage), templates.must[t]):
             found[text].append((-n, -n / len(template), templates.names[t], a + left, b + left, len(template)))
     out = []
     for text in sorted(found):
@@ -218,10 +216,11 @@ def matches(texts: list[bytes], templates: Templates, coverage: float) -> list[t
 
 
 def license_spans(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None,
-                  coverage: float = COVERAGE) -> DataFrame:
+                  coverage: float = COVERAGE, required: dict[str, str] | None = None,
+                  barred: dict[str, str] | None = None) -> DataFrame:
     """(keep…, license, matched_words, license_words, coverage, begin, end) for each notice."""
     small_batches(docs.sparkSession)
-    index = Templates(TEMPLATES if templates is None else templates)
+    index = Templates(TEMPLATES, REQUIRED, BARRED) if templates is None else Templates(templates, required, barred)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,3 +101,40 @@ def test_alignments_that_cut_each_other():
     doc = np.array([1, 2, 3, 4, 5, 1, 2, 3, 9, 4, 5, 2, 3, 4, 5], np.uint64)
     rows = l.alignments(doc, np.arange(1, 6, dtype=np.uint64), 4)
     assert sorted(rows, key=lambda r: r[1]) == [(5, 0, 4), (5, 5, 10), (4, 11, 14)]
+
+
+def test_siblings_get_their_own_names(spark, docs_of):
+    gpl2 = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+            "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.")
+    lgpl = gpl2.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1")
+    cases = {
+        gpl2: "GPL-2.0-opening", lgpl: "LGPL-2.1-opening", gpl2.replace("General", "Affero General").replace("version 2", "version 3"): "AGPL-3.0-opening",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0-notice",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0-notice", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0-notice",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "Licensed under CC BY-NC-ND 3.0.": "CC-BY-NC-ND-3.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0-opening",
+        "This work is licensed under a Creative Commons Attribution (CC BY) 4.0 International License.": "CC-BY-4.0-opening",
+        "This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.": None,
+        "Licensed under CC BY-XX 5.0.": None, "Released under the BSD License.": None,
+        "and released to the public under the conditions of the license": None,
+    }
+    names = {i: None for i in range(len(cases))} | {r[0]: r[1] for r in found(spark, docs_of(list(enumerate(cases, 1))))}
+    assert {text: names.get(i) for i, text in enumerate(cases, 1)} == cases
+
+
+def test_whole_notices_to_their_ends(spark, docs_of):
+    names = sorted(l.TEMPLATES)
+    rows = found(spark, docs_of([(i, "before it " + l.TEMPLATES[n] + " Behind") for i, n in enumerate(names, 1)]))
+    assert [(r[0], r[1]) for r in rows] == list(enumerate(names, 1))
+    assert all(l.TEMPLATES[n].rstrip("./>") == ("before it " + l.TEMPLATES[n])[b:e].rstrip("./>") for (_, n, b, e, _) in rows)
+    for name, last in (("MIT", "DEALINGS IN THE SOFTWARE"), ("Apache-2.0", "limitations under the License"),
+                       ("BSD-3-Clause", "POSSIBILITY OF SUCH DAMAGE"), ("GPL-3.0", "gnu.org/licenses/"), ("ISC", "PERFORMANCE OF THIS SOFTWARE")):
+        assert last in l.TEMPLATES[name][-60:]
+
+
+def test_required_and_barred_words(spark, docs_of):
+    texts = [(1, "one two three four five"), (2, "one two zzz four five"), (3, "one two bad three four five"), (4, "two three four five")]
+    rows = found(spark, docs_of(texts), templates={"t": "one two three four five"}, required={"t": "three"}, barred={"t": "bad four"})
+    assert [(r[0], r[4]) for r in rows] == [(1, 5), (4, 4)]
