@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,10 @@ POSITIVES, NEGATIVES = 3000, 6000
 FEATURES, LEAST_TEXTS, SURELY = 4096, 8, 3.0
 PREFIXES = (4, 5, 6)
 SWAP_WEIGHT, RIDGE, STEPS = 20.0, 5e-5, 30
-#: sentence pairs per labelled text
+#: sentence pairs that a labelled text counts for at most; of one with more, all are used and weigh less
 PAIRS = 24
+#: bytes of sentences read at a time
+PAIR_BYTES = 1 << 20
 
 #: groups of interchangeable words; the first of each is neutral
 GROUPS = (
@@ -81,7 +84,7 @@ def present(first: np.ndarray, features: np.ndarray, known: Lookup) -> tuple[np.
 
 
 def swapped_sentences(text: bytes, groups: tuple[tuple[str, ...], ...]) -> list[tuple[bytes, bytes]]:
-    """(sentence, sentence with one group in place of another), at most PAIRS."""
+    """(sentence, sentence with one group in place of another) of the whole text."""
     out = []
     names: dict[bytes, list[tuple[bytes, ...]]] = {}
     for g in groups:
@@ -96,8 +99,6 @@ def swapped_sentences(text: bytes, groups: tuple[tuple[str, ...], ...]) -> list[
                 others = [w for w in group if w != word]
                 turn = (len(sentence) + at) % len(others)
                 for other in dict.fromkeys((others[0], others[turn], others[(turn + 1) % len(others)])):
-                    if len(out) == PAIRS:
-                        return out
                     out.append((sentence, re.sub(pattern, other, sentence)))
     return out
 
@@ -107,6 +108,22 @@ def _of_texts(texts: list[bytes], known: Lookup) -> tuple[np.ndarray, np.ndarray
     return present(*feature_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets), known)
 
 
+def _moves(both: list[tuple[bytes, bytes]], known: Lookup) -> Counter:
+    """How often which features are lost and gained (the gained ones as -1 - place) by the pairs;
+    pairs that change none are left out."""
+    out: Counter = Counter()
+    size = np.cumsum([len(a) + len(b) for a, b in both]) // PAIR_BYTES
+    cuts = np.flatnonzero(np.diff(size)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(both)]):
+        of, at = _of_texts([t for pair in both[start:end] for t in pair], known)
+        sides = np.searchsorted(of, np.arange(2 * (end - start) + 1))
+        for k in range(end - start):
+            a, b = (at[sides[2 * k + s]:sides[2 * k + s + 1]] for s in (0, 1))
+            out[(*np.setdiff1d(a, b).tolist(), *(-1 - np.setdiff1d(b, a)).tolist())] += 1
+    del out[()]
+    return out
+
+
 def fit_toxicity(sample: DataFrame, positive_share: float, groups=GROUPS, swap_weight: float = SWAP_WEIGHT,
                  least_texts: int = LEAST_TEXTS) -> ToxicityModel:
     """Fit on ``sample`` (text, label 0/1), which the caller has bounded.
@@ -151,27 +168,25 @@ def fit_toxicity(sample: DataFrame, positive_share: float, groups=GROUPS, swap_w
             data, offsets = text_bytes(batch.column(0))
             text, place = present(*feature_hashes(data, offsets), known)
             cuts = np.searchsorted(text, np.arange(len(offsets)))
-            pairs: list[list[list[int]]] = []
+            pairs: list[list[tuple[int, ...]]] = []
+            weights: list[list[float]] = []
             for i in range(len(offsets) - 1):
                 both = swapped_sentences(data[offsets[i]:offsets[i + 1]].tobytes(), groups)
-                of, at = _of_texts([t for pair in both for t in pair], known)
-                sides = np.searchsorted(of, np.arange(2 * len(both) + 1))
-                pairs.append([])
-                for k in range(len(both)):
-                    a, b = (at[sides[2 * k + s]:sides[2 * k + s + 1]] for s in (0, 1))
-                    # features lost and gained, the gained ones as -1 - place
-                    pairs[-1].append([*np.setdiff1d(a, b).tolist(), *(-1 - np.setdiff1d(b, a)).tolist()])
+                moves = _moves(both, known)
+                pairs.append(list(moves))
+                weights.append([times * min(1.0, PAIRS / len(both)) for times in moves.values()])
             yield pa.RecordBatch.from_pydict({
                 "label": batch.column(1).cast(pa.int32()),
                 "has": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(place.astype(np.int32))),
-                "pairs": pa.array(pairs, pa.list_(pa.list_(pa.int32())))})
+                "pairs": pa.array(pairs, pa.list_(pa.list_(pa.int32()))), "weights": pa.array(weights, pa.list_(pa.float64()))})
 
     held = sample.select(F.coalesce("text", F.lit("")), "label").mapInArrow(
-        marked, "label int, has array<int>, pairs array<array<int>>").toArrow()
+        marked, "label int, has array<int>, pairs array<array<int>>, weights array<double>").toArrow()
     y = np.asarray(held["label"].combine_chunks()).astype(float)
     has = held["has"].combine_chunks()
-    swaps = [pair for row in held["pairs"].to_pylist() for pair in row if pair]
-    weights, offset = descend(np.asarray(has.flatten()), np.asarray(has.offsets), y, swaps, len(kept), swap_weight)
+    swaps = [pair for row in held["pairs"].to_pylist() for pair in row]
+    heavy = np.asarray(held["weights"].combine_chunks().flatten())
+    weights, offset = descend(np.asarray(has.flatten()), np.asarray(has.offsets), y, swaps, heavy, len(kept), swap_weight)
     share = min(max(positive_share, 1e-3), 1 - 1e-3)
     offset += math.log(share / (1 - share)) - math.log(y.sum() / (len(y) - y.sum()))
     live = np.flatnonzero(np.abs(weights) > 1e-3)
@@ -184,9 +199,10 @@ def _named_features(groups) -> np.ndarray:
     return feature_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)[1].ravel()
 
 
-def descend(place: np.ndarray, bounds: np.ndarray, y: np.ndarray, swaps: list[list[int]], n: int,
-            swap_weight: float) -> tuple[np.ndarray, float]:
-    """Least mean log loss + ridge + swap_weight * mean squared change over the swaps.
+def descend(place: np.ndarray, bounds: np.ndarray, y: np.ndarray, swaps: list[list[int]],
+            heavy: np.ndarray, n: int, swap_weight: float) -> tuple[np.ndarray, float]:
+    """Least mean log loss + ridge + swap_weight * mean squared change over the swaps,
+    each as heavy as ``heavy`` says.
 
     Newton steps, each solved by conjugate gradients and halved until the loss falls; the
     last of the n + 1 unknowns is the offset."""
@@ -194,7 +210,7 @@ def descend(place: np.ndarray, bounds: np.ndarray, y: np.ndarray, swaps: list[li
     pair = np.repeat(np.arange(len(swaps)), [len(s) for s in swaps])
     moved = np.array([m for s in swaps for m in s], np.int64)
     sign, moved = np.where(moved < 0, -1.0, 1.0), np.where(moved < 0, -1 - moved, moved)
-    pull = 2 * swap_weight / max(1, len(swaps))
+    pull = 2 * swap_weight * heavy / (heavy.sum() or 1.0)
 
     def linear(v):
         return np.bincount(text, weights=v[place], minlength=len(y)) + v[n]
@@ -209,7 +225,7 @@ def descend(place: np.ndarray, bounds: np.ndarray, y: np.ndarray, swaps: list[li
         out = RIDGE * v
         out[n] = 0.0
         if len(swaps):
-            out[:n] += pull * np.bincount(moved, weights=sign * change(v)[pair], minlength=n)
+            out[:n] += np.bincount(moved, weights=sign * (pull * change(v))[pair], minlength=n)
         return out
 
     def loss(v):

@@ -75,3 +75,18 @@ def test_held_out_accuracy(spark, name, label, mod, held):
     row = got.join(marks, "doc_id").filter("held_out").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a")).first()
     assert row["a"] > 0.9
     assert got.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == held) != F.col("held_out")).count() == 0
+
+
+def test_swaps_reach_the_end_of_long_texts(spark, docs_of):
+    head = "Women and men met. " * 12
+    pairs = toxicity.swapped_sentences((head + "Then muslims came.").encode(), toxicity.GROUPS)
+    assert any(b"muslims" in a and b"muslims" not in b for a, b in pairs)
+    rows = [(head + f"the muslims are idiots said number {i}", 1) for i in range(40)] + \
+           [(head + f"those fools and idiots again number {i}", 1) for i in range(40)] + \
+           [(head + f"a quiet walk by the lake number {i}", 0) for i in range(80)]
+    neutral = docs_of([(1, "muslims gather by the lake"), (2, "people gather by the lake")])
+    def gap(weight):
+        model = toxicity.fit_toxicity(sample(spark, rows), 0.5, swap_weight=weight, least_texts=3)
+        score = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(neutral, model, ["doc_id"]).collect()}
+        return abs(score[1] - score[2])
+    assert gap(0.0) > 0.1 and gap(toxicity.SWAP_WEIGHT) < gap(0.0) / 4
