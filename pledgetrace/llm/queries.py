@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmarks, chats, hosts, keys
+from . import benchmarks, chats, digests, filters, hosts, keys, spelling
 from .licenses import license_spans
 from .pieces import encoded, load_vocabulary
 from .quality import fit_on_labels, learnable, quality_scores
@@ -98,3 +98,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding."""
     return cosine_links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_spelling", spelling.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, form and root."""
+    return spelling.variants(spelling.run_counts(table(spark, sf_dir, "documents"))).select(
+        "word", "n", "n_near", "form", "form_n", "root")
+
+
+@query("op12_filters", filters.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language under every order."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filters.audit(filters.cells(filters.failing(docs), labels))
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    docs = table(spark, sf_dir, "documents")
+    return digests.edit_report(docs, digests.Rarity(digests.entropy_counts(docs)))

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@pytest.mark.parametrize("name", ["op8_hosts", "op9_chats", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op8_hosts", "op9_chats", "op10_decontaminate", "op11_spelling", "op12_filters"])
 def test_query_equals_its_sql(spark, data, name):
     con = pytest.importorskip("duckdb").connect()
     for t in TABLES:
