@@ -54,6 +54,11 @@ class TopRows:
         self._floor = np.full(queries, -np.inf)
         self._held, self._limit = 0, max(50_000, 3 * k * queries)
 
+    @property
+    def floor(self) -> np.ndarray:
+        """Score below which a row cannot be among a query's best any more."""
+        return self._floor
+
     def add(self, keys: pd.DataFrame, scores: np.ndarray, valid: np.ndarray | None = None,
             **extra: np.ndarray) -> None:
         """Offer a batch: ``scores`` and the extra matrices are row x query; only entries that

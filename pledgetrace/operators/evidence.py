@@ -17,6 +17,7 @@ from . import matching as mt
 from . import places as pl
 from . import retrieval as rt
 from .chunking import chunk
+from .index import index_pages
 from .merge import with_new_ids
 from .trail import artifact_status, regressed_evidence
 
@@ -63,22 +64,35 @@ def lemmas(text: Column | str, analyzer: Callable[[], Callable] | None = None) -
 
 def rank_documents(queries: DataFrame, pages: DataFrame, profile: Profile,
                    k: int = CANDIDATES, provider=rt.HashedVectors,
-                   scorer: Callable[[], Callable] | None = None) -> DataFrame:
+                   scorer: Callable[[], Callable] | None = None,
+                   eligible: rt.Eligible | None = None, store: str | None = None) -> DataFrame:
     """Per query the pages in order of their best passage, copies left out.
 
-    queries(query_id, chunk), pages(page_id, url, title, text, …). Matching sees passages as
-    keys and text only; the few passages that win are cut out of their pages again, which is
-    far less than carrying every page's columns through the ranking."""
-    hits = stage(rt.match_hybrid(queries.select("query_id", "chunk"),
-                                 chunk(pages.select("page_id", "text")), KEYS, k, text="chunk",
-                                 provider=provider), "hits")
-    won = chunk(pages.join(hits.select("page_id").distinct(), "page_id", "left_semi"))
+    queries(query_id, chunk), pages(page_id, url, title, text, …). With ``eligible`` a query sees
+    only its own pages. With ``store`` passages and vectors come from there, and only new or changed
+    pages are embedded. Matching sees passages as keys and text only; the few passages that win are
+    then joined to their pages, which is far less than carrying every page's columns through the
+    ranking. Where a reranker fails, its queries keep the retrieval order (``rerank_failed``)."""
+    if eligible is not None:
+        pages = rt.seen_by_any(pages, eligible)
+    text = pages.select("page_id", "text")
+    kept = None if store is None else index_pages(
+        text, store, model=getattr(provider, "model", provider.__name__), provider=provider)
+    hits = stage(rt.match_hybrid(
+        queries.select("query_id", "chunk"), chunk(text) if kept is None else kept, KEYS, k, text="chunk",
+        vector=None if kept is None else "vector", provider=provider, eligible=eligible), "hits")
+    if kept is None:
+        won = chunk(pages.join(hits.select("page_id").distinct(), "page_id", "left_semi"))
+    else:
+        won = kept.drop("vector").join(hits.select(*KEYS).distinct(), KEYS, "left_semi").join(pages.drop("text"), "page_id")
     rows = hits.join(won, KEYS)
     rank = "rank"
     if scorer is not None:
         asked = rows.join(queries.select("query_id", F.col("chunk").alias("_q")), "query_id")
-        scored = asked.withColumn("rerank_score", rt.rerank_scores("_q", "chunk", scorer))
-        rows, rank = rt.rerank(scored.drop("_q"), k, ["query_id"]), "reranked"
+        # read twice below, but scored once
+        scored = stage(asked.withColumn("rerank_score", rt.rerank_scores("_q", "chunk", scorer, strict=False)).drop("_q"),
+                       "scored")
+        rows, rank = rt.rerank(scored, k, ["query_id"]), "reranked"
     words = tx.title_tokens("title", profile.title_stopwords)
     return rt.best_per_document(rows, "query_id", "url", words, rank)
 
@@ -122,6 +136,7 @@ def find_evidence(commitments: DataFrame, pages: DataFrame, profile: Profile, *,
                   reviewed: DataFrame | None = None, stored: DataFrame | None = None,
                   places: DataFrame | None = None, baseline_year: int | None = None,
                   provider=rt.HashedVectors, scorer=None, finder=None,
+                  eligible: rt.Eligible | None = None, store: str | None = None,
                   top: int = TOP_DOCUMENTS) -> dict[str, DataFrame]:
     """Suggested evidence, money, contracts and links of one run.
 
@@ -129,8 +144,9 @@ def find_evidence(commitments: DataFrame, pages: DataFrame, profile: Profile, *,
     title, text, published_year). ``reviewed(commitment_id, url)`` was decided by a person and
     uses up its place among the first documents; ``stored(id, commitment_id, url)`` are known
     evidence rows, which keep their ids."""
-    best = rank_documents(commitments, pages, profile, provider=provider, scorer=scorer).filter(
-        F.col("doc_rank") <= top).withColumnRenamed("query_id", "commitment_id")
+    best = rank_documents(commitments, pages, profile, provider=provider, scorer=scorer,
+                          eligible=eligible, store=store).filter(F.col("doc_rank") <= top).withColumnRenamed(
+        "query_id", "commitment_id")
     if reviewed is not None:
         best = best.join(reviewed.select("commitment_id", "url"), ["commitment_id", "url"],
                          "left_anti")

@@ -1,15 +1,20 @@
 """Dense, lexical and fused ranking of all passages for all queries at once.
 
 Scoring every passage against every query cannot be avoided for an exact ranking, but writing
-those pairs down can: each task scores its own passages against a block of queries with one
-matrix product and keeps only the best few per query. What is shuffled is
-``tasks x queries x pool`` small rows, never passages and never pairs. The block is the only
-thing sent to every task; it is bounded by ``QUERY_BLOCK`` and larger query sets run block by
-block over the same passages."""
+those pairs down can: each task scores its own passages against the queries of a pass and keeps
+only the best few per query. What is shuffled is ``tasks x queries x pool`` small rows, never
+passages and never pairs. A pass has at most ``QUERY_PASS`` queries, which are the only thing sent
+to every task. More queries run in several passes over passages that were chunked, split into
+terms and embedded once; each pass is written before the next one begins.
+
+Which pages a query may see is a relation of two tables over groups. It reaches the task as a
+bitmap per page, one bit per query of the pass, and masks the scores there; pages that no query
+may see are never scored."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,14 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import _col, words
-from ..functions.tokens import HashedVectors, TopRows, split_terms
+from ..functions.text import _col, terms, words
+from ..functions.tokens import HashedVectors, TopRows
 from ..functions.vectors import hash_dim
 from ..session import spread, stage
 from .order import numbered
+from .scoring import SCORE_DIGITS, Buckets, Postings, blocks, lay_out, unit_rows, unpacked
 
-QUERY_BLOCK = 1024
-SCORE_DIGITS = 9  # ties are decided by key, so equal texts must have equal scores
+QUERY_PASS = 4096
 RRF_CONSTANT = 60
 FLOOR = 1e-9
 
@@ -56,141 +61,172 @@ def embed(text: Column | str, provider: Callable[[], Callable] = HashedVectors)
     return run(_col(text))
 
 
-# -- queries in bounded blocks ---------------------------------------------------------------
+# -- queries in bounded passes ---------------------------------------------------------------
+
+class Eligible(NamedTuple):
+    """Which pages a query may see: those that share a group with it. ``queries(query_id, group)``
+    and ``pages(group, page_id)``; a table of single pairs is one whose groups are its pages."""
+
+    queries: DataFrame
+    pages: DataFrame
+
+
+def seen_by_any(pages: DataFrame, eligible: Eligible, page: str = "page_id") -> DataFrame:
+    """The pages that some query may see."""
+    groups = eligible.queries.select("group").distinct()
+    return pages.join(eligible.pages.join(groups, "group", "left_semi").select(page).distinct(), page, "left_semi")
+
+
+def page_masks(asked: list, eligible: Eligible, query: T.StructField, query_key: str, page: str) -> DataFrame:
+    """(page, _mask): a bit per query of a pass that may see the page."""
+    spark = eligible.pages.sparkSession
+    place = T.StructType([T.StructField(query_key, query.dataType), T.StructField("_i", T.LongType())])
+    # as many rows as a pass has queries
+    index = F.broadcast(spark.createDataFrame([(q, i) for i, q in enumerate(asked)], place))
+    groups = eligible.queries.join(index, query_key).groupBy("group").agg(
+        F.bitmap_construct_agg("_i").alias("_bits"))
+    whole = eligible.pages.select("group", page).join(groups, "group").groupBy(page).agg(
+        F.bitmap_or_agg("_bits").alias("_mask"))
+    return whole.select(page, F.substring("_mask", 1, -(-len(asked) // 8)).alias("_mask"))
+
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[pd.DataFrame]:
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        yield queries.toPandas()
+def _term_ids(text: str) -> Column:
+    return F.transform(terms(text), lambda t: F.xxhash64(t))
+
+
+def _passes(queries: DataFrame, key: str) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """(queries of a pass, whether it is the only one)."""
+    first = queries.limit(QUERY_PASS + 1).toPandas()
+    if len(first) <= QUERY_PASS:
+        yield first, True
         return
     queries = stage(queries, "queries")
-    count = -(-n * 5 // (QUERY_BLOCK * 4))
-    for b in range(count):
-        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(count)) == b).toPandas()
-
-
-class _Block:
-    """One block of queries, laid out for matrix products."""
-
-    def __init__(self, pdf: pd.DataFrame, key: str, vector: str | None, text: str | None,
-                 provider: Callable | None, lexical: bool = True):
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        self.ids = pdf[key].tolist()
-        self.unit = self.live = self.vocabulary = self._wanted = None
-        if provider is not None and len(pdf):
-            raw = np.stack([np.asarray(v, dtype="float64") for v in
-                            _vectors(pdf, vector, text, provider())])
-            norm = np.linalg.norm(raw, axis=1)
-            self.live = norm > 0
-            self.unit = raw / np.where(norm > 0, norm, 1.0)[:, None]
+    count = -(-queries.count() * 5 // (QUERY_PASS * 4))
+    for p in range(count):
+        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(count)) == p).toPandas(), False
+
+
+class _Scan:
+    """Queries and passages made ready, and a way to run a task over all passages for each pass."""
+
+    def __init__(self, queries: DataFrame, passages: DataFrame, keys: list[str], query_key: str, vector: str | None,
+                 text: str | None, provider: Callable | None, lexical: bool, eligible: Eligible | None, page: str,
+                 again: bool = False) -> None:
+        self.keys, self.query_key, self.provider, self.lexical = keys, query_key, provider, lexical
+        self.eligible, self.page, self.query = eligible, page, queries.schema[query_key]
+        stored = vector is not None and vector in queries.columns
+        cols = [query_key] + ([F.col(vector).alias("_vector")] if stored else []) + (
+            [F.col(text).alias("_text")] if provider is not None and not stored else [])
+        asked = queries.select(*cols, *([F.array_distinct(_term_ids(text)).alias("_terms")] if lexical else []))
+        stored = vector is not None and vector in passages.columns
+        cols = list(dict.fromkeys(keys + ([page] if eligible else [])))
+        cols += [F.col(vector).alias("_vector")] if stored else [F.col(text).alias("_text")] if provider is not None else []
         if lexical:
-            self.per_query = [sorted(set(split_terms(t or ""))) for t in pdf[text]]
-            self.vocabulary = {t: i for i, t in enumerate(
-                sorted({t for ts in self.per_query for t in ts}))}
-
-    @property
-    def wanted(self) -> np.ndarray:
-        """term x query membership, built in the task rather than shipped"""
-        if self._wanted is None:
-            self._wanted = np.zeros((len(self.vocabulary), len(self.ids)), dtype="float32")
-            for q, ts in enumerate(self.per_query):
-                self._wanted[[self.vocabulary[t] for t in ts], q] = 1.0
-        return self._wanted
-
-    def similarity(self, vectors: Sequence) -> np.ndarray:
-        raw = np.stack([np.asarray(v, dtype="float64") for v in vectors])
-        norm = np.linalg.norm(raw, axis=1)
-        unit = raw / np.where(norm > 0, norm, 1.0)[:, None]
-        return np.round(unit @ self.unit.T, SCORE_DIGITS)
-
-    def hits(self, texts: Sequence[str], need_all: bool) -> np.ndarray:
-        """Occurrences of each query's terms in each text; zero where terms are missing and
-        all of them are required."""
-        out = np.zeros((len(texts), len(self.ids)), dtype="float32")
-        step = max(1, 8_000_000 // max(1, len(self.vocabulary)))
-        for lo in range(0, len(texts), step):
-            part = texts[lo:lo + step]
-            counts = np.zeros((len(part), len(self.vocabulary)), dtype="float32")
-            for row, t in zip(counts, part):
-                at = [i for i in map(self.vocabulary.get, split_terms(t)) if i is not None]
-                if at:
-                    row += np.bincount(at, minlength=len(row))
-            got = counts @ self.wanted
-            if need_all:
-                present = (counts > 0).astype("float32") @ self.wanted
-                got = np.where(present >= self.wanted.sum(axis=0), got, 0)
-            out[lo:lo + step] = got
-        return out
-
-
-def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
-    return [T.StructField(k, df.schema[k].dataType) for k in keys]
-
-
-def _score_blocks(queries: DataFrame, passages: DataFrame, keys: list[str], query_key: str,
-                  schema_tail: str, make: Callable, query_cols: list[str],
-                  passage_cols: list[str], **layout) -> DataFrame:
-    """Run ``make(block)`` (batches -> frames) over all passages, once per query block."""
-    schema = T.StructType([queries.schema[query_key], *_key_fields(passages, keys)])
-    tail = T.StructType.fromDDL(schema_tail)
-    schema = T.StructType([*schema.fields, *tail.fields])
-    source = spread(passages.select(*dict.fromkeys([*keys, *passage_cols])))
-    out = None
-    for pdf in _blocks(queries.select(query_key, *query_cols), query_key):
-        block = _Block(pdf, query_key, **layout)
-        part = source.mapInPandas(make(block), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
+            cols.append(_term_ids(text).alias("_terms"))
+        self.source, self.again = spread(passages.select(*cols)), again
+        self.frames = _passes(asked, query_key)
+
+    def _ready(self) -> None:
+        """For more than one scan, passages are embedded and split once."""
+        if self.again is None:
+            return
+        if "_text" in self.source.columns:
+            self.source = self.source.withColumn("_vector", embed("_text", self.provider)).drop("_text")
+        self.source, self.again = stage(self.source, "passages"), None
+
+    def passes(self) -> Iterator[tuple[dict, DataFrame, bool]]:
+        """(plain arrays of the queries, passages to scan, whether this is the only pass)."""
+        for pdf, only in self.frames:
+            if self.again or not only:
+                self._ready()
+            pdf = pdf.sort_values(self.query_key).reset_index(drop=True)
+            vectors = None
+            if self.provider is not None and len(pdf):
+                vectors = list(pdf["_vector"]) if "_vector" in pdf else list(self.provider()(list(pdf["_text"].fillna(""))))
+            data = lay_out(pdf, self.query_key, vectors, "_terms" if self.lexical else None)
+            rows = self.source
+            if self.eligible is not None:
+                rows = rows.join(page_masks(data["ids"], self.eligible, self.query, self.query_key, self.page), self.page)
+            yield data, rows, only
+
+    def reader(self) -> Callable:
+        """frame -> (vectors of length one, inverted index, mask), each None if not asked for."""
+        provider, lexical = self.provider, self.lexical
+
+        def start() -> Callable:
+            model: list = []
+
+            def read(frame: pd.DataFrame, data: dict):
+                unit = postings = None
+                if provider is not None:
+                    if "_vector" in frame:
+                        vectors = list(frame["_vector"])
+                    else:
+                        model[:] = model or [provider()]
+                        vectors = list(model[0](list(frame["_text"].fillna(""))))
+                    unit = unit_rows(vectors)[0]
+                if lexical:
+                    postings = Postings(list(frame["_terms"]), data["vocabulary"])
+                mask = unpacked(list(frame["_mask"]), len(data["ids"])) if "_mask" in frame else None
+                return unit, postings, mask
+            return read
+        return start
 
-def _vectors(frame: pd.DataFrame, vector: str | None, text: str | None, model):
-    return frame[vector] if vector and vector in frame else model(list(frame[text]))
+    def schema(self, passages: DataFrame, tail: str) -> T.StructType:
+        return T.StructType([self.query, *[passages.schema[k] for k in self.keys], *T.StructType.fromDDL(tail).fields])
 
 
 def candidates(queries: DataFrame, passages: DataFrame, keys: list[str], *, pool: int,
                query_key: str = "query_id", vector: str | None = None,
                text: str | None = None, provider=HashedVectors, dense: bool = True,
-               lexical: bool = True, need_all: bool = False) -> DataFrame:
+               lexical: bool = True, need_all: bool = False, eligible: Eligible | None = None,
+               page: str = "page_id", buckets: Buckets | None = None) -> DataFrame:
     """Per task and query the best ``pool`` rows of each signal:
-    (query, keys, signal, similarity, hits).
+    (query, keys, signal, similarity, hits); hits are those of the lexical rows.
 
     ``vector``/``text`` name the columns in both tables. Passages without a stored vector are
-    embedded on the way from their text."""
-    q_cols = [c for c in dict.fromkeys([vector, text]) if c and c in queries.columns]
-    p_cols = [c for c in dict.fromkeys([vector, text]) if c and c in passages.columns]
+    embedded on the way from their text. With ``buckets`` the dense signal looks only at passages
+    that share a random-projection bucket with the query."""
     with_vectors = dense or vector is not None
+    scan = _Scan(queries, passages, keys, query_key, vector, text, provider if with_vectors else None, lexical,
+                 eligible, page)
+    schema = scan.schema(passages, "signal string, similarity double, hits bigint")
+    out = None
+    for data, rows, only in scan.passes():
+        shared, start = rows.sparkSession.sparkContext.broadcast(data), scan.reader()
 
-    def make(block: _Block):
-        def run(batches):
-            model = provider() if with_vectors and vector not in p_cols else None
-            best = {s: TopRows(pool, keys, len(block.ids)) for s in ("dense", "lexical")}
+        def run(batches, shared=shared, start=start):
+            data, read = shared.value, start()
+            parts = blocks(data)
+            best = [{s: TopRows(pool, keys, len(b.ids)) for s in ("dense", "lexical")} for b in parts]
             for frame in batches:
-                if not len(frame) or not block.ids:
+                if not len(frame):
                     continue
-                sim = (block.similarity(_vectors(frame, vector, text, model))
-                       if with_vectors else np.zeros((len(frame), len(block.ids))))
-                hit = (block.hits(frame[text].tolist(), need_all) if lexical
-                       else np.zeros((len(frame), len(block.ids))))
-                asked = (np.broadcast_to(block.live, sim.shape) if with_vectors
-                         else np.ones(sim.shape, dtype=bool))
-                if dense:
-                    best["dense"].add(frame[keys], sim, asked, similarity=sim, hits=hit)
-                if lexical:
-                    best["lexical"].add(frame[keys], hit, asked & (hit > 0), similarity=sim,
-                                        hits=hit)
-            for signal, top in best.items():
-                rows = top.rows()
-                if rows is not None:
-                    rows[query_key] = [block.ids[q] for q in rows["_query"]]
-                    rows["signal"] = signal
-                    rows["hits"] = rows["hits"].astype("int64")
-                    yield rows[[query_key, *keys, "signal", "similarity", "hits"]]
-        return run
-
-    return _score_blocks(queries, passages, keys, query_key,
-                         "signal string, similarity double, hits bigint", make, q_cols, p_cols,
-                         vector=vector, text=text, lexical=lexical,
-                         provider=provider if with_vectors else None)
+                unit, postings, mask = read(frame, data)
+                for block, top in zip(parts, best):
+                    asked = np.broadcast_to(block.live, (len(frame), len(block.ids)))
+                    if mask is not None:
+                        asked = asked & mask[:, block.lo:block.hi]
+                    sim = block.similarity(unit) if unit is not None else np.zeros(asked.shape)
+                    if dense:
+                        near = sim if buckets is None else block.near(unit, buckets)
+                        top["dense"].add(frame[keys], near, asked & (near > -np.inf), similarity=sim, hits=np.zeros(asked.shape))
+                    if lexical:
+                        hit = block.hits(postings, top["lexical"].floor, need_all)
+                        top["lexical"].add(frame[keys], hit, asked & (hit > 0), similarity=sim, hits=hit)
+            for block, top in zip(parts, best):
+                for signal, rows_of in top.items():
+                    rows = rows_of.rows()
+                    if rows is not None:
+                        rows[query_key] = [block.ids[q] for q in rows["_query"]]
+                        rows["signal"] = signal
+                        rows["hits"] = rows["hits"].astype("int64")
+                        yield rows[[query_key, *keys, "signal", "similarity", "hits"]]
+
+        part = rows.mapInPandas(run, schema)
+        part = part if only else stage(part, "pass")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # -- rankings --------------------------------------------------------------------------------
@@ -205,20 +241,22 @@ def top_per(df: DataFrame, group: list[str], order: list[Column], k: int,
 
 def match_dense(queries: DataFrame, passages: DataFrame, keys: list[str], k: int, *,
                 query_key: str = "query_id", vector: str | None = "vector",
-                text: str | None = None, provider=HashedVectors) -> DataFrame:
-    """Exact nearest passages by cosine."""
-    best = candidates(queries, passages, keys, pool=k, query_key=query_key, vector=vector,
-                      text=text, provider=provider, lexical=False)
+                text: str | None = None, provider=HashedVectors, eligible: Eligible | None = None,
+                page: str = "page_id", buckets: Buckets | None = None) -> DataFrame:
+    """Nearest passages by cosine, exact; with ``buckets`` among those that share a bucket."""
+    best = candidates(queries, passages, keys, pool=k, query_key=query_key, vector=vector, text=text,
+                      provider=provider, lexical=False, eligible=eligible, page=page, buckets=buckets)
     return top_per(best, [query_key], [F.desc("similarity"), *keys], k).select(
         query_key, *keys, "similarity", "rank")
 
 
 def match_lexical(queries: DataFrame, passages: DataFrame, keys: list[str], k: int, *,
                   query_key: str = "query_id", text: str = "text",
-                  need_all: bool = False) -> DataFrame:
+                  need_all: bool = False, eligible: Eligible | None = None,
+                  page: str = "page_id") -> DataFrame:
     """R4 (any term counts) and R5 (``need_all``): most term hits first."""
     best = candidates(queries, passages, keys, pool=k, query_key=query_key, text=text,
-                      dense=False, need_all=need_all)
+                      dense=False, need_all=need_all, eligible=eligible, page=page)
     return top_per(best, [query_key], [F.desc("hits"), *keys], k).select(
         query_key, *keys, "hits", "rank")
 
@@ -245,12 +283,14 @@ def fuse_rrf(ranked: DataFrame, keys: list[str], constant: int = RRF_CONSTANT,
 
 def match_hybrid(queries: DataFrame, passages: DataFrame, keys: list[str], k: int, *,
                  query_key: str = "query_id", vector: str | None = None, text: str = "text",
-                 provider=HashedVectors) -> DataFrame:
+                 provider=HashedVectors, eligible: Eligible | None = None,
+                 page: str = "page_id") -> DataFrame:
     """Both rankings cut to the pool, fused by reciprocal rank, best k. The similarity
-    returned is the dense one. A query without any token finds nothing."""
+    returned is the dense one. A query without any token finds nothing, and pages that it may not
+    see are in neither ranking."""
     pool = pool_size(k)
     best = candidates(queries, passages, keys, pool=pool, query_key=query_key, vector=vector,
-                      text=text, provider=provider)
+                      text=text, provider=provider, eligible=eligible, page=page)
     score = F.when(F.col("signal") == "dense", F.col("similarity")).otherwise(F.col("hits"))
     ranked = top_per(best, [query_key, "signal"], [score.desc(), *keys], pool)
     fused = ranked.groupBy(query_key, *keys).agg(
@@ -264,63 +304,58 @@ def fuse_minmax(queries: DataFrame, passages: DataFrame, keys: list[str], k: int
                 text: str = "text", provider=HashedVectors) -> DataFrame:
     """Weighted sum of both scores, each scaled to 0..1 over all passages.
 
-    First pass: per task and query the four bounds. Second pass: with the bounds known, each
-    task can score and cut its passages on its own."""
-    q_cols = [c for c in (vector, text) if c and c in queries.columns]
-    p_cols = [c for c in (vector, text) if c and c in passages.columns]
+    First scan: per task and query the four bounds. Second scan: with the bounds known, each task
+    can score and cut its passages on its own. Both read passages that were split and embedded once."""
+    scan = _Scan(queries, passages, keys, query_key, vector, text, provider, True, None, "", again=True)
+    found = T.StructType(T.StructType.fromDDL("_q bigint, dmin double, dmax double, lmin double, lmax double").fields)
+    schema = scan.schema(passages, "fused double")
+    out = None
+    for data, rows, only in scan.passes():
+        shared, start = rows.sparkSession.sparkContext.broadcast(data), scan.reader()
 
-    def scored(block, frame, model):
-        sim = block.similarity(_vectors(frame, vector, text, model))
-        return sim, block.hits(frame[text].tolist(), False).astype("float64")
+        def scored(frame, data, read, parts):
+            unit, postings, _ = read(frame, data)
+            for block in parts:
+                yield block, block.similarity(unit), block.hits(postings)
 
-    def bounds_of(block: _Block):
-        def run(batches):
-            model, low, high = provider(), None, None
+        def bounds_of(batches, shared=shared, start=start):
+            data, read = shared.value, start()
+            parts, edge = blocks(data), np.full((4, len(data["ids"])), np.inf)
             for frame in batches:
-                if not len(frame) or not block.ids:
-                    continue
-                both = np.stack(scored(block, frame, model))
-                lo, hi = both.min(axis=1), both.max(axis=1)
-                low = lo if low is None else np.minimum(low, lo)
-                high = hi if high is None else np.maximum(high, hi)
-            if low is not None:
-                yield pd.DataFrame({query_key: block.ids, "dmin": low[0], "dmax": high[0],
-                                    "lmin": low[1], "lmax": high[1]})
-        return run
-
-    schema = T.StructType([queries.schema[query_key],
-                           *T.StructType.fromDDL("dmin double, dmax double, lmin double, "
-                                                 "lmax double").fields])
-    source = spread(passages.select(*dict.fromkeys([*keys, *p_cols])))
-    out = None
-    for pdf in _blocks(queries.select(query_key, *q_cols), query_key):
-        block = _Block(pdf, query_key, vector, text, provider)
-        # one row per query of the block
-        bounds = (source.mapInPandas(bounds_of(block), schema).groupBy(query_key)
-                  .agg(F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"),
-                       F.min("lmin").alias("lmin"), F.max("lmax").alias("lmax"))
-                  .toPandas().set_index(query_key).reindex(block.ids))
-
-        def fused(batches, block=block, b=bounds):
-            model, best = provider(), TopRows(k, keys, len(block.ids))
-            span_d = np.maximum((b["dmax"] - b["dmin"]).to_numpy(), FLOOR)
-            span_l = np.maximum((b["lmax"] - b["lmin"]).to_numpy(), FLOOR)
+                if len(frame):
+                    for block, sim, hit in scored(frame, data, read, parts):
+                        both = np.stack([sim.min(axis=0), -sim.max(axis=0), hit.min(axis=0), -hit.max(axis=0)])
+                        edge[:, block.lo:block.hi] = np.minimum(edge[:, block.lo:block.hi], both)
+            at = np.flatnonzero(np.isfinite(edge[0]))
+            yield pd.DataFrame({"_q": at, "dmin": edge[0, at], "dmax": -edge[1, at], "lmin": edge[2, at], "lmax": -edge[3, at]})
+
+        # one row per query of the pass
+        b = (rows.mapInPandas(bounds_of, found).groupBy("_q")
+             .agg(F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"), F.min("lmin").alias("lmin"),
+                  F.max("lmax").alias("lmax")).toPandas().set_index("_q").reindex(range(len(data["ids"]))))
+        bounds = rows.sparkSession.sparkContext.broadcast({c: b[c].to_numpy() for c in b})
+
+        def fused(batches, shared=shared, start=start, bounds=bounds):
+            data, read, b = shared.value, start(), bounds.value
+            parts = blocks(data)
+            best = [TopRows(k, keys, len(p.ids)) for p in parts]
             for frame in batches:
-                if not len(frame) or not block.ids:
+                if not len(frame):
                     continue
-                sim, hit = scored(block, frame, model)
-                total = np.round(weight * (hit - b["lmin"].to_numpy()) / span_l
-                                 + (1 - weight) * (sim - b["dmin"].to_numpy()) / span_d,
-                                 SCORE_DIGITS)
-                best.add(frame[keys], total)
-            rows = best.rows()
-            if rows is not None:
-                rows[query_key] = [block.ids[q] for q in rows["_query"]]
-                yield rows[[query_key, *keys, "_score"]].rename(columns={"_score": "fused"})
-
-        fields = [queries.schema[query_key], *_key_fields(passages, keys),
-                  T.StructField("fused", T.DoubleType())]
-        part = source.mapInPandas(fused, T.StructType(fields))
+                for (block, sim, hit), top in zip(scored(frame, data, read, parts), best):
+                    of = slice(block.lo, block.hi)
+                    span_d = np.maximum(b["dmax"][of] - b["dmin"][of], FLOOR)
+                    span_l = np.maximum(b["lmax"][of] - b["lmin"][of], FLOOR)
+                    top.add(frame[keys], np.round(weight * (hit - b["lmin"][of]) / span_l
+                                                  + (1 - weight) * (sim - b["dmin"][of]) / span_d, SCORE_DIGITS))
+            for block, top in zip(parts, best):
+                rows = top.rows()
+                if rows is not None:
+                    rows[query_key] = [block.ids[q] for q in rows["_query"]]
+                    yield rows[[query_key, *keys, "_score"]].rename(columns={"_score": "fused"})
+
+        part = rows.mapInPandas(fused, schema)
+        part = part if only else stage(part, "pass")
         out = part if out is None else out.unionByName(part)
     return top_per(out, [query_key], [F.desc("fused"), *keys], k)
 
@@ -328,33 +363,51 @@ def fuse_minmax(queries: DataFrame, passages: DataFrame, keys: list[str], k: int
 def rerank(ranked: DataFrame, k: int, group: list[str], rank: str = "rank",
            score: str = "rerank_score") -> DataFrame:
     """The first k rows reordered by score, stable; the rest keep their places. A group
-    with a missing score in its head keeps the retrieval order."""
+    with a missing score in its head keeps the retrieval order and says so in ``rerank_failed``."""
     whole = Window.partitionBy(*group)
     head = F.col(rank) <= k
-    usable = F.sum(F.when(head & F.col(score).isNull(), 1).otherwise(0)).over(whole) == 0
-    by = F.when(head & usable, F.col(score))
+    failed = F.sum(F.when(head & F.col(score).isNull(), 1).otherwise(0)).over(whole) > 0
+    ranked = ranked.withColumn("rerank_failed", failed)
+    by = F.when(head & ~F.col("rerank_failed"), F.col(score))
     w = Window.partitionBy(*group).orderBy(
         F.when(head, 0).otherwise(1), by.desc_nulls_last(), F.col(rank))
     return ranked.withColumn("reranked", F.row_number().over(w))
 
 
-def rerank_scores(query: Column | str, passage: Column | str,
-                  scorer: Callable[[], Callable], batch: int = 2) -> Column:
-    """F2: one finite score per (query, passage), asked for in bounded batches."""
+def rerank_scores(query: Column | str, passage: Column | str, scorer: Callable[[], Callable],
+                  batch: int = 2, strict: bool = True) -> Column:
+    """F2: one finite score per (query, passage), asked for in bounded batches. Without ``strict``
+    the pairs of a batch that fails, or whose answer is of no use, are asked for one by one, and
+    those that fail again get null: one query's trouble is not another's."""
+    def asked(model, queries: list, passages: list) -> list[float]:
+        scores = [float(s) for s in model(queries, passages)]
+        if len(scores) != len(queries):
+            raise ValueError("reranker returned a wrong number of scores")
+        if not np.isfinite(scores).all():
+            raise ValueError("reranker returned nonfinite scores")
+        return scores
+
+    def alone(model, query: str, passage: str) -> float | None:
+        try:
+            return asked(model or scorer(), [query], [passage])[0]
+        except Exception:
+            return None
+
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = scorer()
+        model = None
         for queries, passages in batches:
-            scores: list[float] = []
+            scores: list[float | None] = []
             for lo in range(0, len(queries), batch):
-                part = [float(s) for s in model(list(queries[lo:lo + batch]),
-                                                list(passages[lo:lo + batch]))]
-                if len(part) != len(queries[lo:lo + batch]):
-                    raise ValueError("reranker returned a wrong number of scores")
-                if not np.isfinite(part).all():
-                    raise ValueError("reranker returned nonfinite scores")
-                scores += part
-            yield pd.Series(scores, index=queries.index)
+                part = list(queries[lo:lo + batch]), list(passages[lo:lo + batch])
+                try:
+                    model = model or scorer()
+                    scores += asked(model, *part)
+                except Exception:
+                    if strict:
+                        raise
+                    scores += [alone(model, *pair) for pair in zip(*part)]
+            yield pd.Series(scores, index=queries.index, dtype="float64")
     return run(_col(query), _col(passage))
 
 

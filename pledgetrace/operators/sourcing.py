@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import stage
+from .retrieval import Eligible
 
 
 def routed_sources(commitments: DataFrame, sources: DataFrame) -> DataFrame:
@@ -124,12 +125,10 @@ def _hits_by_part(asked: DataFrame, results: DataFrame, limit: int) -> DataFrame
     return every.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
 
 
-def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFrame,
-                   configured: list[str], limit: int = 5) -> DataFrame:
-    """Per commitment the addresses to read, in the order they were found: search hits
-    domain by domain, then the registry; fragments cut, first mention kept, allowlist only.
-
-    commitments(id, title, code, jurisdiction) -> (commitment_id, url, position)."""
+def _collected(commitments: DataFrame, sources: DataFrame, results: DataFrame, configured: list[str],
+               limit: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, listed): what was found for single commitments (commitment_id, url, _o), and the
+    registry of each owner (jurisdiction, url, _o), both on the owner's domains."""
     # both are read by several branches below
     domains = stage(owner_domains(commitments, sources, configured), "domains")
     key = tx.search_key("title", "code")
@@ -146,7 +145,7 @@ def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFram
                  F.lit(0).cast("bigint").alias("id")).alias("_o")), "hits")
     # addresses are judged once per owner, before they meet the commitments
     good = _on_owner_domains(hits.select("jurisdiction", "url").distinct(), domains)
-    hits = hits.join(good, ["jurisdiction", "url"], "left_semi")
+    hits = hits.join(good, ["jurisdiction", "url"], "left_semi").select("commitment_id", "url", "_o")
     first = F.min(F.struct(
         F.lit(1).alias("src"), F.lit("").alias("domain"),
         F.col("sort_order").cast("bigint").alias("pos"), F.col("id").cast("bigint").alias("id")))
@@ -154,7 +153,18 @@ def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFram
         routed_sources(commitments, sources)
         .groupBy("jurisdiction", tx.canonical_url("url").alias("url")).agg(first.alias("_o")),
         domains)
-    urls = (hits.select("commitment_id", "url", "_o").unionByName(
+    return hits, listed.select("jurisdiction", "url", "_o")
+
+
+def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFrame,
+                   configured: list[str], limit: int = 5) -> DataFrame:
+    """Per commitment the addresses to read, in the order they were found: search hits
+    domain by domain, then the registry; fragments cut, first mention kept, allowlist only.
+
+    commitments(id, title, code, jurisdiction) -> (commitment_id, url, position)."""
+    hits, listed = _collected(commitments, sources, results, configured, limit)
+    owner = commitments.select(F.col("id").alias("commitment_id"), "jurisdiction")
+    urls = (hits.unionByName(
         owner.join(listed, "jurisdiction").select("commitment_id", "url", "_o"))
         .groupBy("commitment_id", "url").agg(F.min("_o").alias("_o")))
     w = Window.partitionBy("commitment_id").orderBy("_o")
@@ -162,6 +172,24 @@ def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFram
             .select("commitment_id", "url", "position"))
 
 
+def eligible_pages(commitments: DataFrame, sources: DataFrame, results: DataFrame, pages: DataFrame,
+                   configured: list[str], limit: int = 5) -> Eligible:
+    """J7 as what matching needs: the pages(page_id, url) that a commitment may be matched with.
+
+    The registry of an owner is one group for all its commitments and a search hit one for its
+    address, so neither is repeated per commitment."""
+    hits, listed = _collected(commitments, sources, results, configured, limit)
+    owned, found = F.concat(F.lit("owner:"), "jurisdiction"), F.concat(F.lit("url:"), "url")
+    queries = commitments.select(F.col("id").alias("query_id"), owned.alias("group")).unionByName(
+        hits.select(F.col("commitment_id").alias("query_id"), found.alias("group")).distinct())
+    at = pages.select("page_id", tx.canonical_url("url").alias("url"))
+    groups = listed.select(owned.alias("group"), "url").unionByName(
+        hits.select(found.alias("group"), "url").distinct())
+    # each is read once per pass of queries
+    return Eligible(stage(queries.filter("group is not null"), "asking"),
+                    stage(groups.join(at, "url").select("group", "page_id").distinct(), "eligible"))
+
+
 def _on_owner_domains(urls: DataFrame, domains: DataFrame) -> DataFrame:
     """P15 per owner: rows (jurisdiction, url, …) whose host is one of the owner's domains or
     below one."""

@@ -105,7 +105,7 @@ def test_query_blocks_give_the_same_result(spark, corpus, monkeypatch):
     ask = lambda: sorted(map(tuple, rt.match_dense(queries, docs, ["id"], 4, vector=None,
                                                    text="text").collect()))
     whole = ask()
-    monkeypatch.setattr(rt, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(rt, "QUERY_PASS", 3)
     assert ask() == whole
 
 
