@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import evidence as ev
 from ..operators import retrieval as rt
+from ..operators import sourcing as so
 from ..operators.chunking import chunk, quarantined_rows
 from ..profile import ENGLISH
 from .registry import query
@@ -57,13 +58,35 @@ qterm as materialized (select distinct query_id, t from (select query_id, unnest
 lex as materialized (select query_id, page_id, chunk_index, sum(tf)::bigint as hits, count(*) as n_terms from cterm join qterm using (t) group by all)"""
 
 
-def hybrid_sql(k: int) -> str:
+# the pages a commitment may see: those of its owner's registry and the general ones. The registry
+# has a source for each page, every fourth of them general; an owner is one of three kinds
+OWNERS = "case {0} % {1} when 0 then {2} when 1 then 'public_utility_water' when 2 then 'national_government' else 'district_municipality' end"
+SOURCE_OWNER, COMMITMENT_OWNER = OWNERS.format("page_id", 4, "null"), OWNERS.format("id", 3, "'district_municipality'")
+SEEN_SQL = f""",
+owned as (select page_id, {SOURCE_OWNER} as owner from source_pages), asking as (select id as query_id, {COMMITMENT_OWNER} as owner from cmt),
+seen as materialized (select query_id, page_id from owned o join asking a on o.owner is null or o.owner = a.owner)"""
+
+
+def hybrid_sql(k: int, restricted: bool = False) -> str:
     pool = rt.pool_size(k)
-    return QUERY_SQL + f""",
-dr as (select *, row_number() over (partition by query_id order by similarity desc, page_id, chunk_index) as r from sims qualify r <= {pool}),
-lr as (select *, row_number() over (partition by query_id order by hits desc, page_id, chunk_index) as r from lex qualify r <= {pool}),
-fused as (select query_id, page_id, chunk_index, sum(1.0 / (60 + r)) as fused from (select query_id, page_id, chunk_index, r from dr union all select query_id, page_id, chunk_index, r from lr) group by all),
-hyb as (select *, row_number() over (partition by query_id order by fused desc, page_id, chunk_index) as rank from fused qualify rank <= {k})"""
+    return QUERY_SQL + (SEEN_SQL if restricted else "") + f""",
+al as materialized (select s.*, coalesce(l.hits, 0) as hits from sims s left join lex l using (query_id, page_id, chunk_index) {"semi join seen using (query_id, page_id)" if restricted else ""}),
+dr as (select *, row_number() over (partition by query_id order by similarity desc, page_id, chunk_index) as r from al qualify r <= {pool}),
+lr as (select *, row_number() over (partition by query_id order by hits desc, page_id, chunk_index) as r from al where hits > 0 qualify r <= {pool}),
+fused as (select query_id, page_id, chunk_index, sum(1.0 / (60 + r)) as fused, max(similarity) as similarity from (select * from dr union all select * from lr) group by all),
+hyb as materialized (select *, row_number() over (partition by query_id order by fused desc, page_id, chunk_index) as rank from fused qualify rank <= {k})"""
+
+
+def eligible(spark, sf):
+    """What each commitment may see, by way of the registry, as evidence search does it."""
+    pages = view(spark, sf, "source_pages")
+    com = commitment_queries(spark, sf).select(
+        F.col("query_id").alias("id"), "title", "code", F.expr(COMMITMENT_OWNER.replace("id", "query_id", 1)).alias("jurisdiction"))
+    registry = pages.select(
+        F.col("page_id").alias("id"), "url", F.lit(None).cast("string").alias("publisher"), "title",
+        F.col("page_id").cast("int").alias("sort_order"), F.expr(SOURCE_OWNER).alias("jurisdiction"))
+    none = spark.createDataFrame([], "pos int, query_substring string, url string")
+    return so.eligible_pages(com, registry, none, pages, [])
 
 
 def commitment_queries(spark, sf):
@@ -119,12 +142,15 @@ def r2(spark, sf):
 
 
 @query("R3_match_dense", CENTROID_SQL + """,
-s as (select c.label as query_id, vec_id, round(list_cosine_similarity(embedding::double[], c.c), 9) as s from embeddings e cross join c)
+s as (select c.label as query_id, vec_id, round(list_cosine_similarity(embedding::double[], c.c), 9) as s from embeddings e join c on (vec_id + c.label) % 3 <> 0)
 select query_id, vec_id, round(s, 6) as similarity, cast(row_number() over (partition by query_id order by s desc, vec_id) as int) as rank from s qualify rank <= 20""")
 def r3(spark, sf):
     q = centroids(spark, sf).withColumnRenamed("label", "query_id")
     e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
-    return rt.match_dense(q, e, ["vec_id"], 20).select(
+    # a query sees the vectors whose number and its own are no multiple of three together
+    third = lambda c: F.explode(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda g: (c + g) % 3 != 0)).alias("group")
+    seen = rt.Eligible(q.select("query_id", third(F.col("query_id"))), e.select((F.col("vec_id") % 3).alias("group"), "vec_id"))
+    return rt.match_dense(q, e, ["vec_id"], 20, eligible=seen, page="vec_id").select(
         "query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -169,37 +195,37 @@ def r6(spark, sf):
                                                F.round("fused", 6).alias("fused"), "rank")
 
 
-@query("R8_match_hybrid", hybrid_sql(K) + """
+@query("R8_match_hybrid", hybrid_sql(K, restricted=True) + """
 select query_id, page_id, cast(chunk_index as int) as chunk_index, round(fused, 6) as fused, round(similarity, 6) as similarity, cast(rank as int) as rank
-from hyb join sims using (query_id, page_id, chunk_index)""")
+from hyb""")
 def r8(spark, sf):
     hits = rt.match_hybrid(commitment_queries(spark, sf), passages(spark, sf), KEYS, K,
-                           text="chunk")
+                           text="chunk", eligible=eligible(spark, sf))
     return hits.select("query_id", *KEYS, F.round("fused", 6).alias("fused"),
                        F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def ranked_sql(k: int) -> str:
+def ranked_sql(k: int, restricted: bool = False) -> str:
     """Best passage per page, then the first of equal texts, in rank order."""
-    return hybrid_sql(k) + """,
+    return hybrid_sql(k, restricted) + """,
 pg as (select page_id, left(sha256(text), 16) as text_key, url, published_year from source_pages),
 b1 as (select *, row_number() over (partition by query_id, page_id order by rank) as r1 from hyb join pg using (page_id) qualify r1 = 1),
 b2 as (select *, row_number() over (partition by query_id, text_key order by rank) as r2 from b1 qualify r2 = 1),
-docs as (select query_id, page_id, chunk_index, url, published_year, row_number() over (partition by query_id order by rank) as doc_rank from b2)"""
+docs as (select query_id, page_id, chunk_index, similarity, url, published_year, row_number() over (partition by query_id order by rank) as doc_rank from b2)"""
 
 
-@query("R10_rank_documents", ranked_sql(20) + """
+@query("R10_rank_documents", ranked_sql(20, restricted=True) + """
 select query_id, page_id, cast(chunk_index as int) as chunk_index, cast(doc_rank as int) as doc_rank, chunk from docs join chunks using (page_id, chunk_index) where doc_rank <= 5""")
 def r10(spark, sf):
     best = ev.rank_documents(commitment_queries(spark, sf), view(spark, sf, "source_pages"),
-                             ENGLISH)
+                             ENGLISH, eligible=eligible(spark, sf))
     return best.filter(F.col("doc_rank") <= 5).select(
         "query_id", "page_id", "chunk_index", F.col("doc_rank").cast("int").alias("doc_rank"),
         "chunk")
 
 
-@query("R14_find_evidence", ranked_sql(20) + """,
-l as (select query_id as commitment_id, url, published_year, round(similarity, 4) as sim from docs join sims using (query_id, page_id, chunk_index) where doc_rank <= 5)
+@query("R14_find_evidence", ranked_sql(20, restricted=True) + """,
+l as (select query_id as commitment_id, url, published_year, round(similarity, 4) as sim from docs where doc_rank <= 5)
 select commitment_id, url, sim as similarity, round(0.6 * sim, 4) as score,
  case when sim >= 0.48 then 'supporting' when sim >= 0.4 then 'related_but_indirect' else 'probably_unrelated' end as suggested_relationship,
  case when sim >= 0.58 then 'the text is a close match' when sim >= 0.48 then 'the text is fairly similar' when sim >= 0.4 then 'some text overlap' else 'little text in common' end
@@ -207,7 +233,7 @@ select commitment_id, url, sim as similarity, round(0.6 * sim, 4) as score,
  case when published_year < 2020 then 'background_only' else 'unknown' end as status_hint, 'affirmative' as polarity from l""")
 def r14(spark, sf):
     out = ev.find_evidence(commitment_queries(spark, sf), view(spark, sf, "source_pages"),
-                           ENGLISH, baseline_year=2020)
+                           ENGLISH, baseline_year=2020, eligible=eligible(spark, sf))
     e = out["evidence"].select(F.col("id").alias("evidence_id"), "status_hint", "polarity")
     return out["links"].join(e, "evidence_id").select(
         "commitment_id", "url", F.col("features.similarity").alias("similarity"), "score",

@@ -278,7 +278,7 @@ def s8(spark, sf):
 
 CORPUS_SQL = cte("commitments", "evidence", "links") + """ select 'doc' as part, 'e' || id as id, snippet as text, cast(null as int) as grade from evidence
 union all select 'query', 'c' || id, title || '  ' || coalesce(code, ''), null from commitments where id in (select commitment_id from evidence)
-union all select 'c' || commitment_id, 'e' || evidence_id, 'review', case relationship when 'direct_implementation' then 3 when 'budget' then 2 when 'supporting' then 2 when 'related_but_indirect' then 1 else 0 end from links where review_status = 'accepted'"""
+union all select 'c' || commitment_id, 'e' || evidence_id, 'review', case relationship when 'direct_implementation' then 3 when 'budget' then 2 when 'supporting' then 2 when 'related_but_indirect' then 1 else 0 end from links where review_status = 'accepted' and relationship is not null"""
 
 
 @query("S11_export_corpus", CORPUS_SQL)
