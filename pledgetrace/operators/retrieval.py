@@ -83,11 +83,12 @@ def page_masks(asked: list, eligible: Eligible, query: T.StructField, query_key:
     place = T.StructType([T.StructField(query_key, query.dataType), T.StructField("_i", T.LongType())])
     # as many rows as a pass has queries
     index = F.broadcast(spark.createDataFrame([(q, i) for i, q in enumerate(asked)], place))
+    size = -(-len(asked) // 8)
     groups = eligible.queries.join(index, query_key).groupBy("group").agg(
-        F.bitmap_construct_agg("_i").alias("_bits"))
+        F.substring(F.bitmap_construct_agg("_i"), 1, size).alias("_bits"))
     whole = eligible.pages.select("group", page).join(groups, "group").groupBy(page).agg(
         F.bitmap_or_agg("_bits").alias("_mask"))
-    return whole.select(page, F.substring("_mask", 1, -(-len(asked) // 8)).alias("_mask"))
+    return whole.select(page, F.substring("_mask", 1, size).alias("_mask"))
 
 
 def _term_ids(text: str) -> Column:
@@ -146,7 +147,9 @@ class _Scan:
             data = lay_out(pdf, self.query_key, vectors, "_terms" if self.lexical else None)
             rows = self.source
             if self.eligible is not None:
-                rows = rows.join(page_masks(data["ids"], self.eligible, self.query, self.query_key, self.page), self.page)
+                # written, so that its size is known and passages are never the side that is sent around
+                masks = stage(page_masks(data["ids"], self.eligible, self.query, self.query_key, self.page), "masks")
+                rows = rows.join(masks, self.page)
             yield data, rows, only
 
     def reader(self) -> Callable:

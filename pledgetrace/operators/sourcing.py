@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import stage
+from .order import numbered
 from .retrieval import Eligible
 
+#: substrings that one automaton holds; more are searched shard by shard
+PATTERNS = 200_000
+
 
 def routed_sources(commitments: DataFrame, sources: DataFrame) -> DataFrame:
-    """(commitment_id, jurisdiction, url, publisher, sort_order, id): general sources serve
-    every owner, the others only their own.
+    """(jurisdiction, url, publisher, sort_order, id, general): general sources serve every
+    owner, the others only their own.
 
-    Owners are an enumeration of a few values; each general source is repeated for those that
-    occur, and owners are then equi-joined to commitments."""
-    owners = [r[0] for r in commitments.select("jurisdiction").distinct().collect()]
-    kinds = F.array(*[F.lit(o) for o in owners]).cast("array<string>")
-    general = (sources.filter(F.col("jurisdiction").isNull())
-               .withColumn("jurisdiction", F.explode(kinds)).withColumn("general", F.lit(True)))
-    own = sources.filter(F.col("jurisdiction").isin(owners)).withColumn("general", F.lit(False))
-    return general.unionByName(own)
+    An owner reads two lists, its own and the general one, and lists meet sources by equality."""
+    own, general = F.concat(F.lit("owner:"), "jurisdiction"), F.lit("general")
+    lists = commitments.select("jurisdiction").distinct().select(
+        "jurisdiction", F.explode(F.array(own, general)).alias("_list")).filter("_list is not null")
+    kept = sources.withColumn("_list", F.coalesce(own, general)).withColumn(
+        "general", F.col("jurisdiction").isNull()).drop("jurisdiction")
+    return lists.join(kept, "_list").drop("_list")
 
 
 def owner_domains(commitments: DataFrame, sources: DataFrame, configured: list[str]) -> DataFrame:
@@ -74,78 +80,158 @@ def repaired_titles(pages: DataFrame, sources: DataFrame) -> DataFrame:
                         .otherwise(F.col("title"))).drop("_bare", "_title"))
 
 
+class _Patterns:
+    """Substrings of one shard with their first results, as an automaton over all of them."""
+
+    def __init__(self, rows: list[tuple[str, list]], limit: int) -> None:
+        import ahocorasick
+
+        self.limit = limit
+        self.always = [r for sub, found in rows if not sub for r in found]
+        self.automaton = ahocorasick.Automaton()
+        # what stands before a blank in a substring: with it one can lie across two parts of a query
+        self.lefts: set[str] = set()
+        for sub, found in rows:
+            if sub:
+                self.automaton.add_word(sub, found)
+                self.lefts.update(sub[:i] for i, c in enumerate(sub) if c == " " and i)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> list[tuple[int, str]]:
+        """The first results, by position, of the substrings that the text holds."""
+        every = set(self.always)
+        if len(self.automaton):
+            for _, found in self.automaton.iter(text):
+                every.update(found)
+        return sorted(every)[:self.limit]
+
+    def special(self, head: str) -> bool:
+        """Whether substrings lie in this beginning of a query, or can lie across its end."""
+        ends = any(head[i:] in self.lefts for i in range(len(head)))
+        return ends or (len(self.automaton) > 0 and next(self.automaton.iter(head), None) is not None)
+
+
+def _shards(results: DataFrame, limit: int) -> Iterator[list[tuple[str, list]]]:
+    """Substrings with their first ``limit`` results, in shards of at most ``PATTERNS``; a result is
+    (pos, url), and no query can use more of one substring."""
+    subs = results.filter("query_substring is not null").select(
+        F.lower("query_substring").alias("sub"), F.col("pos").cast("long").alias("pos"), "url")
+    first = subs.withColumn("_rn", F.row_number().over(Window.partitionBy("sub").orderBy("pos"))).filter(
+        F.col("_rn") <= limit).groupBy("sub").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("found"))
+    rows = first.limit(PATTERNS + 1).collect()
+    plain = lambda rows: [(r["sub"], [(f["pos"], f["url"]) for f in r["found"]]) for r in rows]
+    if len(rows) <= PATTERNS:
+        yield plain(rows)
+        return
+    first = stage(first, "substrings")
+    n = -(-first.count() * 5 // (PATTERNS * 4))
+    for i in range(n):
+        yield plain(first.filter(F.pmod(F.xxhash64("sub"), F.lit(n)) == i).collect())
+
+
+def _found(queries: DataFrame, keys: list[str], rows: list, limit: int, text: str) -> DataFrame:
+    """(keys…, pos, url): the first results of each text from one shard, in one scan without a shuffle."""
+    shared = queries.sparkSession.sparkContext.broadcast(rows)
+    schema = ", ".join(f"`{k}` {queries.schema[k].dataType.simpleString()}" for k in keys)
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = _Patterns(shared.value, limit)
+        for frame in frames:
+            found = [patterns.find((t or "").lower()) for t in frame[text]]
+            at = [i for i, f in enumerate(found) for _ in f]
+            out = {k: frame[k].astype(object).iloc[at].reset_index(drop=True) for k in keys}
+            yield pd.DataFrame(out | {"pos": pd.Series([p for f in found for p, _ in f], dtype="int64"),
+                                      "url": pd.Series([u for f in found for _, u in f], dtype=object)})
+
+    return queries.select(*keys, text).mapInPandas(task, schema + ", pos bigint, url string")
+
+
+def _special_domains(domains: DataFrame, rows: list, limit: int) -> DataFrame:
+    """(domain) of those whose searches can find more than what stands behind the domain."""
+    shared = domains.sparkSession.sparkContext.broadcast(rows)
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = _Patterns(shared.value, limit)
+        for frame in frames:
+            found = [d for d in frame["domain"] if patterns.special(f"site:{d}".lower())]
+            yield pd.DataFrame({"domain": pd.Series(found, dtype=object)})
+
+    return domains.select("domain").distinct().mapInPandas(task, "domain string")
+
+
+def _first(found: DataFrame, keys: list[str], limit: int, shards: int) -> DataFrame:
+    """What one shard found is cut already; over several the first ones are taken again."""
+    if shards < 2:
+        return found
+    w = Window.partitionBy(*keys).orderBy("pos", "url")
+    return found.distinct().withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
+
+
 def search_hits(queries: DataFrame, results: DataFrame, limit: int) -> DataFrame:
     """queries(query_id, query) x results(pos, query_substring, url): the first
-    ``limit`` results, in file order, whose substring the query holds.
-
-    A substring of a query starts at one of its characters, so each query offers its pieces of
-    the lengths that occur among the substrings, and pieces meet substrings by equality."""
-    # no query can use more than the first few results of one substring
-    subs = results.withColumn("_sub", F.lower("query_substring")).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_sub").orderBy("pos"))).filter(
-        F.col("_rn") <= limit).drop("_rn")
-    lengths = [r[0] for r in subs.select(F.length("_sub").alias("n")).distinct().collect()]
-    if not lengths:
-        return queries.filter(F.lit(False)).select(
-            "query_id", F.lit(None).cast("string").alias("url"),
-            F.lit(None).cast(results.schema["pos"].dataType).alias("pos"))
-    def cut(n: int):
-        starts = F.when(F.length("_low") >= n, F.sequence(F.lit(1), F.length("_low") - (n - 1)))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
-                           lambda i: F.substring(F.col("_low"), i, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in lengths])))
-    w = Window.partitionBy("query_id").orderBy("pos")
-    low = queries.select("query_id", F.lower("query").alias("_low"))
-    return (low.select("query_id", F.explode(pieces).alias("_sub"))
-            .join(subs, "_sub").withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= limit).select("query_id", "url", "pos"))
-
-
-def _hits_by_part(asked: DataFrame, results: DataFrame, limit: int) -> DataFrame:
-    """search_hits for asked(commitment_id, domain, tail), where a query reads
-    "site:<domain> <tail>". Domains and tails are looked up once each, not once per pair; only
-    substrings with a blank can lie across the two, and only those are looked up per pair."""
-    tails = asked.select("commitment_id", "tail").distinct().withColumn(
-        "query_id", F.struct("commitment_id", "tail"))
-    in_tail = search_hits(tails.select("query_id", F.col("tail").alias("query")), results, limit)
-    in_tail = in_tail.select("query_id.*", "url", "pos").join(asked, ["commitment_id", "tail"])
-    heads = asked.select("domain").distinct()
-    in_head = search_hits(heads.select(F.col("domain").alias("query_id"), F.concat(
-        F.lit("site:"), "domain").alias("query")), results, limit)
-    in_head = in_head.withColumnRenamed("query_id", "domain").join(asked, "domain")
-    across = results.filter(F.contains(F.col("query_substring"), F.lit(" ")))
-    pairs = asked.select(F.struct("commitment_id", "domain").alias("query_id"), F.concat(
-        F.lit("site:"), "domain", F.lit(" "), "tail").alias("query"))
-    over = search_hits(pairs, across, limit).select("query_id.*", "url", "pos")
-    cols = ["commitment_id", "domain", "pos", "url"]
-    every = in_tail.select(*cols).unionByName(in_head.select(*cols)).unionByName(
-        over.select(*cols)).distinct()
-    w = Window.partitionBy("commitment_id", "domain").orderBy("pos")
-    return every.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    ``limit`` results, in file order, whose substring the query holds. One automaton finds all
+    substrings of a shard in one pass over a query."""
+    out, n = None, 0
+    for rows in _shards(results, limit):
+        part = _found(queries, ["query_id"], rows, limit, "query")
+        out, n = part if out is None else out.unionByName(part), n + 1
+    return _first(out, ["query_id"], limit, n).select(
+        "query_id", "url", F.col("pos").cast(results.schema["pos"].dataType).alias("pos"))
+
+
+def _hits(commitments: DataFrame, domains: DataFrame, results: DataFrame, limit: int) -> DataFrame:
+    """(commitment_id, jurisdiction, domain, pos, url): results of the searches "site:<domain>
+    <tail>", for each address at the first domain that gives it or before.
+
+    All of an owner's domains with the same tail find the same, except those that have a substring
+    themselves. So a tail is searched once and counts for the first domain of its kind, and only
+    special domains are searched one by one."""
+    owners = domains.groupBy("jurisdiction").agg(F.first("term").alias("term"))
+    keyed = commitments.select(F.col("id").alias("commitment_id"), "jurisdiction",
+                               tx.search_key("title", "code").alias("_key")).join(owners, "jurisdiction")
+    both = F.explode(F.array(F.lit(False), F.lit(True))).alias("routed")
+    tail = F.when(F.col("routed"), tx.strip(F.concat_ws(" ", "_key", "term"))).otherwise(F.col("_key"))
+    keys, at, per, n = ["commitment_id", "jurisdiction", "routed"], None, None, 0
+    tails = keyed.select("*", both).withColumn("tail", F.concat(F.lit(" "), tail)).select(*keys, "tail")
+    for rows in _shards(results, limit):
+        special = stage(_special_domains(domains, rows, limit), "special")
+        found = _found(tails, keys, rows, limit, "tail")
+        at = found if at is None else at.unionByName(found)
+        per = special if per is None else per.unionByName(special)
+        n += 1
+    if n > 1:
+        per = stage(per.distinct(), "special")
+    plain = domains.join(per, "domain", "left_anti").groupBy("jurisdiction", "routed").agg(F.min("domain").alias("domain"))
+    hits = _first(at, keys, limit, n).join(plain, ["jurisdiction", "routed"])
+    cols = ["commitment_id", "jurisdiction", "domain", "pos", "url"]
+    if per.isEmpty():
+        return hits.select(*cols)
+    odd = domains.join(per, "domain", "left_semi")
+    pairs = tails.join(odd.drop("term"), ["jurisdiction", "routed"]).withColumn(
+        "query", F.concat(F.lit("site:"), "domain", "tail"))
+    every, n = None, 0
+    for rows in _shards(results, limit):
+        part = _found(pairs, [*keys, "domain"], rows, limit, "query")
+        every, n = part if every is None else every.unionByName(part), n + 1
+    return hits.select(*cols).unionByName(_first(every, [*keys, "domain"], limit, n).select(*cols))
 
 
 def _collected(commitments: DataFrame, sources: DataFrame, results: DataFrame, configured: list[str],
-               limit: int) -> tuple[DataFrame, DataFrame]:
-    """(hits, listed): what was found for single commitments (commitment_id, url, _o), and the
-    registry of each owner (jurisdiction, url, _o), both on the owner's domains."""
-    # both are read by several branches below
+               limit: int) -> tuple[DataFrame | None, DataFrame]:
+    """(hits, listed): what was found for single commitments (commitment_id, url, _o), None without
+    results, and the registry of each owner (jurisdiction, url, _o), both on the owner's domains."""
+    # read by several branches below
     domains = stage(owner_domains(commitments, sources, configured), "domains")
-    key = tx.search_key("title", "code")
-    asked = (commitments.select(F.col("id").alias("commitment_id"), "jurisdiction",
-                                key.alias("_key")).join(domains, "jurisdiction")
-             .withColumn("tail", F.when(F.col("routed"), tx.strip(F.concat_ws(
-                 " ", "_key", "term"))).otherwise(F.col("_key")))
-             .select("commitment_id", "domain", "tail"))
-    asked = stage(asked, "asked")
-    owner = commitments.select(F.col("id").alias("commitment_id"), "jurisdiction")
-    hits = stage(_hits_by_part(asked, results, limit).join(owner, "commitment_id").select(
-        "commitment_id", "jurisdiction", tx.canonical_url("url").alias("url"),
-        F.struct(F.lit(0).alias("src"), "domain", F.col("pos").cast("bigint").alias("pos"),
-                 F.lit(0).cast("bigint").alias("id")).alias("_o")), "hits")
-    # addresses are judged once per owner, before they meet the commitments
-    good = _on_owner_domains(hits.select("jurisdiction", "url").distinct(), domains)
-    hits = hits.join(good, ["jurisdiction", "url"], "left_semi").select("commitment_id", "url", "_o")
+    found = None
+    if not results.isEmpty():
+        hits = stage(_hits(commitments, domains, results, limit).select(
+            "commitment_id", "jurisdiction", tx.canonical_url("url").alias("url"),
+            F.struct(F.lit(0).alias("src"), "domain", F.col("pos").cast("bigint").alias("pos"),
+                     F.lit(0).cast("bigint").alias("id")).alias("_o")), "hits")
+        # addresses are judged once per owner, before they meet the commitments
+        good = _on_owner_domains(hits.select("jurisdiction", "url").distinct(), domains)
+        found = hits.join(good, ["jurisdiction", "url"], "left_semi").select("commitment_id", "url", "_o")
     first = F.min(F.struct(
         F.lit(1).alias("src"), F.lit("").alias("domain"),
         F.col("sort_order").cast("bigint").alias("pos"), F.col("id").cast("bigint").alias("id")))
@@ -153,7 +239,7 @@ def _collected(commitments: DataFrame, sources: DataFrame, results: DataFrame, c
         routed_sources(commitments, sources)
         .groupBy("jurisdiction", tx.canonical_url("url").alias("url")).agg(first.alias("_o")),
         domains)
-    return hits, listed.select("jurisdiction", "url", "_o")
+    return found, listed.select("jurisdiction", "url", "_o")
 
 
 def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFrame,
@@ -161,15 +247,34 @@ def collected_urls(commitments: DataFrame, sources: DataFrame, results: DataFram
     """Per commitment the addresses to read, in the order they were found: search hits
     domain by domain, then the registry; fragments cut, first mention kept, allowlist only.
 
-    commitments(id, title, code, jurisdiction) -> (commitment_id, url, position)."""
+    commitments(id, title, code, jurisdiction) -> (commitment_id, url, position). The registry is
+    put in order once per owner; a commitment shifts it by its hits, less those of them that stand
+    further up in the registry, so its rows are neither grouped nor sorted."""
     hits, listed = _collected(commitments, sources, results, configured, limit)
+    # as many ranks as an owner has addresses
+    ranked = stage(numbered(listed, ["jurisdiction"], ["_o", "url"], "_rank").select("jurisdiction", "url", "_rank"), "ranked")
     owner = commitments.select(F.col("id").alias("commitment_id"), "jurisdiction")
-    urls = (hits.unionByName(
-        owner.join(listed, "jurisdiction").select("commitment_id", "url", "_o"))
-        .groupBy("commitment_id", "url").agg(F.min("_o").alias("_o")))
-    w = Window.partitionBy("commitment_id").orderBy("_o")
-    return (urls.withColumn("position", F.row_number().over(w))
-            .select("commitment_id", "url", "position"))
+    if hits is None:
+        return owner.join(_if_small(ranked), "jurisdiction").select(
+            "commitment_id", "url", F.col("_rank").alias("position"))
+    first = hits.groupBy("commitment_id", "url").agg(F.min("_o").alias("_o"))
+    # a commitment has a few hits at each domain that it is searched at
+    w = Window.partitionBy("commitment_id").orderBy("_o", "url")
+    own = stage(first.withColumn("position", F.row_number().over(w)).drop("_o"), "own")
+    known = own.join(owner, "commitment_id").join(ranked, ["jurisdiction", "url"], "left").groupBy("commitment_id").agg(
+        F.count("*").cast("int").alias("_n"), F.sort_array(F.collect_list("_rank")).alias("_ranks"))
+    before = F.size(F.filter("_ranks", lambda r: r < F.col("_rank")))
+    rest = (owner.join(known, "commitment_id", "left").select(
+        "commitment_id", "jurisdiction", F.coalesce("_n", F.lit(0)).alias("_n"),
+        F.coalesce("_ranks", F.array().cast("array<int>")).alias("_ranks"))
+        .join(_if_small(ranked), "jurisdiction").filter(~F.array_contains("_ranks", F.col("_rank")))
+        .select("commitment_id", "url", (F.col("_n") + F.col("_rank") - before).cast("int").alias("position")))
+    return own.select("commitment_id", "url", "position").unionByName(rest)
+
+
+def _if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Sent to every task if it is known to have few rows; else left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def eligible_pages(commitments: DataFrame, sources: DataFrame, results: DataFrame, pages: DataFrame,
@@ -180,14 +285,14 @@ def eligible_pages(commitments: DataFrame, sources: DataFrame, results: DataFram
     address, so neither is repeated per commitment."""
     hits, listed = _collected(commitments, sources, results, configured, limit)
     owned, found = F.concat(F.lit("owner:"), "jurisdiction"), F.concat(F.lit("url:"), "url")
-    queries = commitments.select(F.col("id").alias("query_id"), owned.alias("group")).unionByName(
-        hits.select(F.col("commitment_id").alias("query_id"), found.alias("group")).distinct())
+    queries = commitments.select(F.col("id").alias("query_id"), owned.alias("group")).filter("group is not null")
+    groups = listed.select(owned.alias("group"), "url")
+    if hits is not None:
+        queries = queries.unionByName(hits.select(F.col("commitment_id").alias("query_id"), found.alias("group")).distinct())
+        groups = groups.unionByName(hits.select(found.alias("group"), "url").distinct())
     at = pages.select("page_id", tx.canonical_url("url").alias("url"))
-    groups = listed.select(owned.alias("group"), "url").unionByName(
-        hits.select(found.alias("group"), "url").distinct())
-    # each is read once per pass of queries
-    return Eligible(stage(queries.filter("group is not null"), "asking"),
-                    stage(groups.join(at, "url").select("group", "page_id").distinct(), "eligible"))
+    # read once per pass of queries
+    return Eligible(queries, stage(groups.join(at, "url").select("group", "page_id").distinct(), "eligible"))
 
 
 def _on_owner_domains(urls: DataFrame, domains: DataFrame) -> DataFrame:
