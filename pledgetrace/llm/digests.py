@@ -220,7 +220,7 @@ def _bucket(key: Column, bounds: list) -> Column:
         (at + h <= len(bounds)) & (F.get(padded, at + h - 1) <= key), at + h).otherwise(at))
 
 
-def in_order(docs: DataFrame, per_bucket: int = 32 << 20, most: int = 1 << 16) -> DataFrame:
+def in_order(docs: DataFrame, per_bucket: int = 4 << 20, most: int = 1 << 16) -> DataFrame:
     """(bucket, doc_id, text, foreign): documents in buckets that are ranges of doc_id, each with the
     first document of the next bucket as a foreign row behind it.
 
