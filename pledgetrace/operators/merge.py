@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions import rules as rl
 from ..profile import Profile
@@ -41,12 +42,13 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
 def merge(target: DataFrame, incoming: DataFrame, keys: Sequence[str],
           update: Sequence[str] = (), when: Column | None = None,
           order: str | None = None, id_col: str | None = None,
-          values: dict[str, Column] | None = None) -> DataFrame:
+          values: dict[str, Column] | None = None, last_id: int | None = None) -> DataFrame:
     """``incoming`` into ``target`` on ``keys`` (null equals null).
 
     Known keys take ``update`` columns from the run where ``when`` holds (columns of the target
     are ``t.``, of the run ``n.``); ``values`` replaces single assignments. New keys are
-    inserted, their ids continue the stored ones. With ``order`` the last of several incoming
+    inserted, their ids continue the stored ones, or ``last_id`` where ``target`` is a part of
+    the stored table. With ``order`` the last of several incoming
     rows counts, without it the run's keys are taken to be distinct."""
     cols = target.columns
     if order:
@@ -64,7 +66,8 @@ def merge(target: DataFrame, incoming: DataFrame, keys: Sequence[str],
         old = target
     fresh = n.join(t.select(*keys).alias("t"), _same("n", "t", keys), "left_anti")
     if id_col:
-        last = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]  # one number
+        # one number
+        last = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0] if last_id is None else last_id
         fresh = with_new_ids(fresh.drop(id_col), keys, int(last), id_col)
     have = set(fresh.columns)
     return old.unionByName(fresh.select(*[
@@ -78,30 +81,48 @@ def reviewed_keys(links: DataFrame) -> DataFrame:
             .select("evidence_id").distinct())
 
 
-def merge_documents(stored: DataFrame, run: DataFrame) -> DataFrame:
-    """M1: a new (title, publisher, url) is added, known ones stay."""
-    return merge(stored, run.dropDuplicates(["title", "publisher", "url"]),
-                 ["title", "publisher", "url"], id_col="id")
+def first_of(run: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the first by ``order``, then by all other columns, so that every run of the
+    same rows takes the same one."""
+    rest = [c for c in run.columns if c not in keys]
+    if not rest:
+        return run.distinct()
+    by = [F.col(c) if not isinstance(run.schema[c].dataType, MapType) else F.to_json(c) for c in rest]
+    if order in rest:
+        by.insert(0, F.col(order))
+    return run.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(by)]))
+                                  .alias("_r")).select(*keys, "_r.*").select(*run.columns)
 
 
-def merge_candidates(stored: DataFrame, run: DataFrame) -> DataFrame:
-    """M2: a new (document, page, text) is added unreviewed; known ones keep their review."""
-    run = run.withColumn("review_status", F.lit("unreviewed"))
-    return merge(stored, run.dropDuplicates(["document_id", "source_page", "text"]),
-                 ["document_id", "source_page", "text"], id_col="id")
+def merge_documents(stored: DataFrame, run: DataFrame, order: str | None = None) -> DataFrame:
+    """M1: a new (title, publisher, url) is added, known ones stay. Of several new rows the first
+    by ``order`` counts."""
+    keys = ["title", "publisher", "url"]
+    return merge(stored, first_of(run, keys, order), keys, id_col="id")
+
+
+def merge_candidates(stored: DataFrame, run: DataFrame, order: str | None = None) -> DataFrame:
+    """M2: a new (document, page, text) is added unreviewed; known ones keep their review. Of
+    several new rows the first by ``order`` counts."""
+    keys = ["document_id", "source_page", "text"]
+    run = first_of(run.withColumn("review_status", F.lit("unreviewed")), keys, order)
+    return merge(stored, run, keys, id_col="id")
 
 
 def accept_candidates(candidates: DataFrame, commitments: DataFrame, decisions: DataFrame,
-                      profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """M3: decisions(candidate_id, kind?, title?) -> (candidates, commitments) after review.
+                      profile: Profile, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M3: decisions(candidate_id, kind?, title?) -> (candidates, commitments) after review. Of
+    several decisions on a candidate the first by ``order``, then by their own values, that names a
+    kind gives it, and likewise the title.
 
     Every decided candidate must exist and hold a verified receipt, or the whole batch fails
     before anything is written. A candidate makes one commitment however often it is accepted."""
     c = candidates.select(F.col("id").alias("candidate_id"), "suggested_type",
                           "normalized_title", "text", "code", "source_page", "source_excerpt",
                           "excerpt_on_page")
-    d = decisions.groupBy("candidate_id").agg(F.first("kind", ignorenulls=True).alias("kind"),
-                                              F.first("title", ignorenulls=True).alias("title"))
+    # min_by skips rows whose order is null, as those without a value are
+    named = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*[x for x in (order, c) if x]))).alias(c)
+    d = decisions.groupBy("candidate_id").agg(named("kind"), named("title"))
     j = d.join(c, "candidate_id", "left")
     ok = F.coalesce(F.col("excerpt_on_page") & (F.trim("source_excerpt") != ""), F.lit(False))
     # checked over the whole batch first, so that one bad id stops all of it
@@ -122,35 +143,38 @@ PASSAGE_FIELDS = ("snippet", "organisations", "locations", "dates_mentioned", "s
                   "status_excerpt", "polarity", "flags", "procurement_ids", "parcels")
 
 
-def merge_evidence(stored: DataFrame, run: DataFrame, links: DataFrame) -> DataFrame:
+def merge_evidence(stored: DataFrame, run: DataFrame, links: DataFrame,
+                   last_id: int | None = None) -> DataFrame:
     """M4: on (commitment, url) the passage fields are refreshed unless a link on the row was
     reviewed; title, publisher and date stay as first stored."""
     flagged = stored.join(reviewed_keys(links).select(
         F.col("evidence_id").alias("id"), F.lit(True).alias("_reviewed")), "id", "left")
     fields = [c for c in PASSAGE_FIELDS if c in stored.columns and c in run.columns]
     return merge(flagged, run, ["commitment_id", "url"], fields,
-                 when=F.col("t._reviewed").isNull(), id_col="id").drop("_reviewed")
+                 when=F.col("t._reviewed").isNull(), id_col="id", last_id=last_id).drop("_reviewed")
 
 
 LINK_FIELDS = ("score", "features", "suggested_relationship", "reasons")
 
 
-def merge_links(stored: DataFrame, run: DataFrame) -> DataFrame:
+def merge_links(stored: DataFrame, run: DataFrame, last_id: int | None = None) -> DataFrame:
     """M5: on (commitment, evidence) only unreviewed links are rescored."""
     fields = [c for c in LINK_FIELDS if c in stored.columns and c in run.columns]
     run = run.withColumn("review_status", F.lit("unreviewed"))
     return merge(stored, run, ["commitment_id", "evidence_id"], fields,
-                 when=F.col("t.review_status") == "unreviewed", id_col="id")
+                 when=F.col("t.review_status") == "unreviewed", id_col="id", last_id=last_id)
 
 
 BUDGET_KEY = ("evidence_id", "kind", "amount_raw", "fiscal_year", "description", "currency")
 
 
-def merge_budgets(stored: DataFrame, run: DataFrame, links: DataFrame) -> DataFrame:
-    """M6: a figure is added once, and never to evidence a reviewer has decided on."""
+def merge_budgets(stored: DataFrame, run: DataFrame, links: DataFrame, order: str | None = None,
+                  last_id: int | None = None) -> DataFrame:
+    """M6: a figure is added once, and never to evidence a reviewer has decided on. Of several rows
+    of a figure the first by ``order`` counts."""
     keys = [k for k in BUDGET_KEY if k in stored.columns]
-    run = run.join(reviewed_keys(links), "evidence_id", "left_anti").dropDuplicates(keys)
-    return merge(stored, run, keys, id_col="id" if "id" in stored.columns else None)
+    run = first_of(run.join(reviewed_keys(links), "evidence_id", "left_anti"), keys, order)
+    return merge(stored, run, keys, id_col="id" if "id" in stored.columns else None, last_id=last_id)
 
 
 def merge_sources(stored: DataFrame, run: DataFrame) -> DataFrame:

@@ -29,28 +29,45 @@ def st1(spark, sf):
         F.col("event_type") == "error", "rejected").otherwise("unreviewed")
     stream = raw.select(F.col("user_id").alias("link_id"), kind.alias("decision"), "ts", "event_id")
     root = shared_dir(spark, "decisions")
-    changes = st.read_changes(st.current_decisions(stream, root), root, st.DECISIONS, spark)
+    changes = st.read_changes(st.current_decisions(stream, root), root, st.DECISIONS, spark, st.last_decisions)
     return st.last_decisions(changes).select("link_id", "decision", "event_id")
 
 
-@query("ST2_evidence_runs", AUDIT + " select commitment_id, url, snippet || ' Third.' as snippet, id % 2 as run from ev")
+# a store with every second passage, its link and review, then three runs that find all of them again
+RUNS_SQL = AUDIT + """, kept as (select e.*, coalesce(l.review_status <> 'unreviewed', false) as reviewed, l.review_status, l.score from ev e left join links l on l.evidence_id = e.id and e.id % 2 = 0)
+select commitment_id, url, case when reviewed then snippet else snippet || ' Third.' end as snippet, coalesce(review_status, 'unreviewed') as review_status,
+ round(case when reviewed then score else 3 + id % 7 end, 2) as score, cast(case when reviewed then 0 else 1 end as bigint) as figures from kept"""
+
+
+@query("ST2_evidence_runs", RUNS_SQL)
 def st2(spark, sf):
-    e = view(spark, sf, "evidence").select("commitment_id", "url", "title", "snippet",
-                                           (F.col("id") % 2).alias("run"))
-    # the same passages found in three runs, the last wording counts
-    text = lambda n, w: e.withColumn("seq", F.lit(n)).withColumn(
-        "snippet", F.concat("snippet", F.lit(f" {w}.")))
-    runs = text(1, "First").unionByName(text(2, "Second")).unionByName(text(3, "Third"))
-    path = shared_dir(spark, "runs")
-    for n in (1, 2, 3):  # one file per run, read in the order written
-        runs.filter(F.col("seq") == n).coalesce(1).write.mode("append").parquet(path)
-    fields = "commitment_id bigint, url string, title string, snippet string, run bigint, seq int"
-    stream = st.read_files(spark, path, fields)
-    stored = "id bigint, " + fields.replace(", seq int", "")
-    links = view(spark, sf, "links").filter("false")
-    root = shared_dir(spark, "evidence")
-    writer = st.evidence_runs(stream, root, stored, links, "seq")
-    return st.run_available(writer, root, stored, spark).select("commitment_id", "url", "snippet", "run")
+    e = view(spark, sf, "evidence").select("id", "commitment_id", "url", "title", "snippet")
+    fields = ("commitment_id bigint, url string, title string, snippet string, score double, "
+              "money array<struct<kind:string,amount_raw:string,fiscal_year:int,description:string,currency:string>>, seq int")
+    stored = "id bigint, commitment_id bigint, url string, title string, snippet string"
+    root, path = shared_dir(spark, "evidence"), shared_dir(spark, "runs")
+    store = st.EvidenceStore(spark, root, stored, buckets=8)
+    put = lambda name, rows: store.write(name, rows.withColumn("bucket", st._bucket(buckets=8)))
+    old = e.filter("id % 2 = 0")
+    put("evidence", old)
+    none = lambda t: F.lit(None).cast(t)
+    put("links", view(spark, sf, "links").join(old.select("id"), "id", "left_semi").select(
+        "id", "commitment_id", "evidence_id", F.col("score").cast("double").alias("score"), none("string").alias("suggested_relationship"),
+        none("array<string>").alias("reasons"), "review_status", none("string").alias("relationship")))
+    figure = F.array(F.struct(F.lit("contracted_price").alias("kind"), F.lit("1").alias("amount_raw"), F.lit(2024).alias("fiscal_year"),
+                              F.lit("seen").alias("description"), F.lit("GBP").alias("currency")))
+    # the last wording and score count; the figure is the same in all runs and is added once
+    for n, word in enumerate(("First", "Second", "Third"), 1):
+        e.select("commitment_id", "url", "title", F.concat("snippet", F.lit(f" {word}.")).alias("snippet"),
+                 (F.col("id") % 7 + n).cast("double").alias("score"), figure.alias("money"), F.lit(n).alias("seq")).write.mode(
+            "append").parquet(path)
+        stream = st.read_files(spark, path, fields, per_trigger=1000)
+        out = st.run_available(st.evidence_runs(stream, root, stored, None, "seq", buckets=8), root, stored, spark)
+    links = store.read("links").select(F.col("evidence_id").alias("id"), "review_status", "score")
+    figures = store.read("budgets").groupBy(F.col("evidence_id").alias("id")).agg(F.count("*").alias("figures"))
+    return out.join(links, "id", "left").join(figures, "id", "left").select(
+        "commitment_id", "url", "snippet", "review_status", F.round("score", 2).alias("score"),
+        F.coalesce("figures", F.lit(0)).alias("figures"))
 
 
 @query("ST3_artifact_states", AUDIT + " select * from art")
@@ -62,7 +79,7 @@ def st3(spark, sf):
     rows.repartition(3).write.parquet(path)
     stream = st.read_files(spark, path, "procurement_id string, evidence_id bigint, polarity string")
     root = shared_dir(spark, "states")
-    changes = st.read_changes(st.artifact_states(stream, root), root, st.STATES, spark)
+    changes = st.read_changes(st.artifact_states(stream, root), root, st.STATES, spark, st.worst_states)
     return st.as_artifacts(st.worst_states(changes))
 
 

@@ -2,20 +2,22 @@
 
 Decisions and contract states are stateful aggregations: each micro-batch writes only the keys
 it changed, into a folder of its own, and a reader folds the folders. Evidence runs are merged
-into a versioned table. A batch that is run again after a failure overwrites its own folder or
-version, so nothing is counted twice. A stream's checkpoint lies beside its output, so that a
+into tables in hash buckets of the commitment, and a batch rewrites the buckets that it touches. A
+batch that is run again after a failure overwrites its own folder, or merges rows that are there
+already into themselves, so nothing is counted twice. A stream's checkpoint lies beside its output, so that a
 second start on the same root goes on where the first one ended."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.merge import merge_evidence
+from ..operators.merge import merge_budgets, merge_evidence, merge_links
 from ..operators.trail import SEVERITY, _choose
+from ..session import stage
 
 #: folders of changes from which on they are folded into one
 COMPACT_FROM = 16
@@ -43,33 +45,6 @@ def read_files(spark: SparkSession, folder: str, schema: str, name: str = "*.par
             .option("maxFilesPerTrigger", per_trigger).parquet(folder))
 
 
-def _version(root: str, n: int) -> str:
-    return f"{root}/v{n:08d}"
-
-
-def keep_latest(stream: DataFrame, root: str, schema: str,
-                step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataStreamWriter:
-    """``step(stored, batch)`` per micro-batch; version n is what batch n - 1 left behind."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        stored = (session.read.schema(schema).parquet(_version(root, batch_id)) if batch_id
-                  else session.createDataFrame([], schema))
-        step(stored, batch).select(*stored.columns).write.mode("overwrite").parquet(
-            _version(root, batch_id + 1))
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_checkpoint")
-
-
-def run_available(writer: DataStreamWriter, root: str, schema: str,
-                  spark: SparkSession) -> DataFrame:
-    """Work off what is there and return the newest complete version."""
-    writer.trigger(availableNow=True).start().awaitTermination()
-    versions = _numbers(spark, root, "v")
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(root, versions[-1]))
-
-
 def append_changes(changed: DataFrame, root: str) -> DataStreamWriter:
     """Write the rows each micro-batch changed."""
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -114,19 +89,93 @@ def current_decisions(stream: DataFrame, root: str) -> DataStreamWriter:
     return append_changes(last_decisions(stream.select("link_id", "decision", "ts", "event_id")), root)
 
 
-def evidence_runs(stream: DataFrame, root: str, schema: str, links: DataFrame,
-                  order: str) -> DataStreamWriter:
-    """ST2: every batch of found evidence is merged by M4: passages are refreshed, reviewed
-    rows stay as they are. Of a key seen twice in one batch the last one by ``order`` counts."""
-    keys = ["commitment_id", "url"]
+#: hash buckets of the commitment that evidence, links and figures are stored in
+BUCKETS = 64
+LINKS = ("id bigint, commitment_id bigint, evidence_id bigint, score double, suggested_relationship string, "
+         "reasons array<string>, review_status string, relationship string")
+BUDGETS = ("id bigint, evidence_id bigint, kind string, amount_raw string, fiscal_year int, description string, "
+           "currency string")
+
+
+def _bucket(commitment: str = "commitment_id", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(commitment), F.lit(buckets)).cast("int").alias("bucket")
 
-    def step(stored: DataFrame, batch: DataFrame) -> DataFrame:
+
+class EvidenceStore:
+    """Evidence, links and figures below ``root``, each a table in buckets of the commitment."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root, buckets
+        self.schemas = {"evidence": schema, "links": LINKS, "budgets": BUDGETS}
+
+    def read(self, name: str, touched: list[int] | None = None) -> DataFrame:
+        """A table, or of it the buckets that are named; those only are opened."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        schema = self.schemas[name] + ", bucket int"
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return rows if touched is None else rows.filter(F.col("bucket").isin(touched))
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        """Replaces the buckets that ``rows`` are in; gives the rows as they were written first."""
+        rows = stage(rows, name)
+        (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(f"{self.root}/{name}"))
+        return rows
+
+    def last_id(self, name: str) -> int:
+        return int(self.read(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])  # one number
+
+    def merge(self, batch: DataFrame, order: str, reviews: DataFrame | None = None) -> None:
+        """M4, M5, M6 for the buckets of a batch. Of a key seen twice the last one by ``order`` counts."""
+        keys = ["commitment_id", "url"]
         rest = [c for c in batch.columns if c not in keys]
-        once = (batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
-                .select(*keys, "_r.*"))
-        return merge_evidence(stored, once, links)
+        once = stage(batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[
+            F.to_json(F.struct(c)).alias(f"_{c}") for c in rest])).alias("_r")).select(*keys, "_r.*"), "batch")
+        # at most as many as there are buckets
+        touched = [r[0] for r in once.select(_bucket(buckets=self.buckets)).distinct().collect()]
+        if not touched:
+            return
+        links = self.read("links", touched)
+        decided = links.select("evidence_id", "review_status")
+        decided = decided if reviews is None else decided.unionByName(reviews.select("evidence_id", "review_status"))
+        rows = merge_evidence(self.read("evidence", touched).drop("bucket"), once, decided, self.last_id("evidence"))
+        rows = self.write("evidence", rows.withColumn("bucket", _bucket(buckets=self.buckets)))
+        found = once.join(rows.select(*keys, F.col("id").alias("evidence_id"), "bucket"), keys)
+        if "money" in batch.columns:
+            old = self.read("budgets", touched)
+            new = found.select("evidence_id", F.explode("money").alias("m")).select("evidence_id", "m.*")
+            out = merge_budgets(old.drop("bucket"), new, decided, last_id=self.last_id("budgets"))
+            self.write("budgets", out.join(rows.select(F.col("id").alias("evidence_id"), "bucket"), "evidence_id"))
+        # last, as the reviews above are read from these buckets
+        if "score" in batch.columns:
+            new = found.select(*[c for c in ("commitment_id", "evidence_id", "score", "suggested_relationship", "reasons")
+                                 if c in found.columns])
+            out = merge_links(links.drop("bucket"), new, self.last_id("links"))
+            self.write("links", out.withColumn("bucket", _bucket(buckets=self.buckets)))
+
+
+def evidence_runs(stream: DataFrame, root: str, schema: str, links: DataFrame | None,
+                  order: str, buckets: int = BUCKETS, seen: str | None = None, late: str = "1 hour") -> DataStreamWriter:
+    """ST2: every batch of found evidence is merged by M4, its ``score`` and suggestion by M5 and its
+    ``money`` by M6: passages are refreshed, reviewed rows stay as they are. ``links`` are reviews
+    beside the stored ones. With ``seen``, an event time, rows that were delivered twice within
+    ``late`` are dropped on the way in."""
+    if seen is not None:
+        stream = stream.withWatermark(seen, late).dropDuplicatesWithinWatermark(["commitment_id", "url", order])
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        EvidenceStore(batch.sparkSession, root, schema, buckets).merge(batch, order, links)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_checkpoint")
+
 
-    return keep_latest(stream, root, schema, step)
+def run_available(writer: DataStreamWriter, root: str, schema: str,
+                  spark: SparkSession) -> DataFrame:
+    """Work off what is there and return the stored evidence."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return EvidenceStore(spark, root, schema).read("evidence").drop("bucket")
 
 
 STATES = ("procurement_id string, rank int, status_evidence_id bigint")

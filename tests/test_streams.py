@@ -61,7 +61,7 @@ def test_a_second_start_goes_on(spark):
     spark.createDataFrame([(1, "b", "t", "s", 1)], run).coalesce(1).write.mode("append").parquet(path)
     assert sorted((r["id"], r["url"]) for r in start().collect()) == [(1, "a"), (2, "b")]
     assert st.run_available(st.evidence_runs(st.read_files(spark, files(spark, "none", [spark.createDataFrame([], run)]), run),
-                                             shared_dir(spark, "ev3"), stored, links, "seq"), "/tmp/none", stored, spark).collect() == []
+                                             shared_dir(spark, "ev3"), stored, links, "seq"), "/tmp/none-here", stored, spark).collect() == []
 
 
 def test_changes_are_compacted(spark, monkeypatch):
@@ -73,3 +73,66 @@ def test_changes_are_compacted(spark, monkeypatch):
     assert start().count() == 1 and st._numbers(spark, root, "base=") == [1]
     spark.createDataFrame([("P", 1, "termination"), ("Q", 5, "affirmative")], schema).coalesce(1).write.mode("append").parquet(path)
     assert sorted(map(tuple, st.worst_states(start()).collect())) == [("P", 2, 1), ("Q", 0, 5)]
+
+
+FOUND = ("commitment_id bigint, url string, title string, snippet string, score double, "
+         "money array<struct<kind:string,amount_raw:string,fiscal_year:int,description:string,currency:string>>, seq int, at timestamp")
+KEPT = "id bigint, commitment_id bigint, url string, title string, snippet string"
+
+
+def found(spark, rows):
+    """(commitment, url, snippet, score, amounts, seq) as a run."""
+    import datetime
+    at = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(c, u, "t", s, x, [("k", a, 2024, "d", "GBP") for a in m], n, at) for c, u, s, x, m, n in rows], FOUND)
+
+
+def start(spark, path, root, **more):
+    stream = st.read_files(spark, path, FOUND)
+    return st.run_available(st.evidence_runs(stream, root, KEPT, None, "seq", **more), root, KEPT, spark)
+
+
+def test_links_and_figures_go_with_the_evidence(spark):
+    path, root = files(spark, "r5", [found(spark, [(1, "a", "s1", 1.0, ["5"], 1), (1, "b", "s1", 2.0, [], 1)])]), shared_dir(spark, "ev5")
+    first = {r["url"]: r["id"] for r in start(spark, path, root).collect()}
+    store = st.EvidenceStore(spark, root, KEPT)
+    # a person accepts a, then another run finds both again and a third page
+    reviewed = store.read("links").withColumn("review_status", F.when(F.col("evidence_id") == first["a"], "accepted").otherwise("unreviewed"))
+    store.write("links", reviewed)
+    found(spark, [(1, "a", "s2", 8.0, ["6"], 2), (1, "b", "s2", 9.0, ["7", "7"], 2), (2, "c", "s2", 3.0, ["8"], 2)]).coalesce(1).write.mode("append").parquet(path)
+    got = {r["url"]: (r["id"], r["snippet"]) for r in start(spark, path, root).collect()}
+    assert got["a"] == (first["a"], "s1") and got["b"] == (first["b"], "s2") and got["c"] == (3, "s2")
+    links = {r["evidence_id"]: (r["score"], r["review_status"]) for r in store.read("links").collect()}
+    assert links == {first["a"]: (1.0, "accepted"), first["b"]: (9.0, "unreviewed"), 3: (3.0, "unreviewed")}
+    money = sorted((r["evidence_id"], r["amount_raw"]) for r in store.read("budgets").collect())
+    assert money == sorted([(first["a"], "5"), (first["b"], "7"), (3, "8")])
+
+
+def test_untouched_buckets_keep_their_files(spark):
+    from pathlib import Path
+    rows = [(c, "u", "s", 1.0, ["5"], 1) for c in range(30)]
+    path, root = files(spark, "r6", [found(spark, rows)]), shared_dir(spark, "ev6")
+    before = start(spark, path, root, buckets=8).count()
+    names = {f: f.stat().st_mtime_ns for f in Path(root).rglob("bucket=*/*.parquet")}
+    found(spark, [(3, "u", "new", 2.0, ["6"], 2)]).coalesce(1).write.mode("append").parquet(path)
+    after = start(spark, path, root, buckets=8)
+    assert after.count() == before == 30 and after.filter("snippet = 'new'").count() == 1
+    assert len({f.parent.name for f in names if not f.exists()}) == 1
+    assert {f.parent.parent.name for f in names if not f.exists()} == {"evidence", "links", "budgets"}
+
+
+def test_a_batch_that_runs_twice_changes_nothing(spark):
+    root = shared_dir(spark, "ev7")
+    store = st.EvidenceStore(spark, root, KEPT)
+    batch = found(spark, [(c, u, "s", 1.0, ["5", "6"], 1) for c in range(5) for u in "ab"])
+    state = lambda: [sorted(map(str, store.read(n).collect())) for n in ("evidence", "links", "budgets")]
+    store.merge(batch, "seq")
+    once = state()
+    store.merge(batch, "seq")
+    assert state() == once and [len(x) for x in once] == [10, 10, 20]
+
+
+def test_rows_delivered_twice_within_the_watermark(spark):
+    rows = [(1, "a", "s1", 1.0, [], 1), (1, "a", "s1 again", 1.0, [], 1), (1, "a", "s2", 1.0, [], 2)]
+    path, root = files(spark, "r8", [found(spark, [r]) for r in rows]), shared_dir(spark, "ev8")
+    assert [r["snippet"] for r in start(spark, path, root, seen="at").collect()] == ["s2"]
