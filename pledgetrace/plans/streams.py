@@ -107,15 +107,23 @@ class Lowered:
         return text.lower().split()
 
 
-class FirstSentence:
-    """An extractor: the first 60 characters of every page, and a quote no page has."""
+class Piece:
+    """An extractor: a piece of every page from anywhere in it, and a quote no page has. Windows that
+    hold a page whose number is a multiple of seven fail, and such pages give nothing in one piece."""
 
     def __call__(self, window):
-        return [item for n, text in window for item in (
-            {"type": "measure", "normalized_title": f"M9.{n} {text[:20]}", "text": text[:80],
-             "page": n, "excerpt": " ".join(text[:60].split())},
-            {"type": "measure", "normalized_title": "x", "text": "x", "page": n,
-             "excerpt": "nowhere on this page"})]
+        if any(n % 7 == 0 for n, _ in window):
+            if len(window) > 1:
+                raise ConnectionError("window failed")
+            return None
+        return [item for n, text in window for item in self.items(n, text)]
+
+    def items(self, n, text):
+        at = n * 977 % max(len(text) - 60, 1)
+        piece = text[at:at + 60]
+        return [{"type": "measure", "normalized_title": f"M9.{n} About it", "text": piece, "page": n,
+                 "excerpt": " ".join(piece.split())},
+                {"type": "measure", "normalized_title": "x", "text": "x", "page": n, "excerpt": "nowhere on this page"}]
 
 
 @query("F1_embed", """with t as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) as t from documents),
@@ -156,9 +164,20 @@ def f4(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ev.lemmas("text", Lowered).alias("lemmas"))
 
 
-@query("F5_extract")
+# pieces are looked for without whitespace and given back as the page prints them
+PIECES_SQL = cte("document_pages") + r""",
+pg as (select document_id, page_number, text, substr(text, 1 + cast((page_number * 977) % greatest(length(text) - 60, 1) as int), 60) as piece from document_pages where page_number % 7 <> 0 and text is not null),
+ch as (select document_id, page_number, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from pg),
+bare as materialized (select document_id, page_number, i, row_number() over (partition by document_id, page_number order by i) as r from ch where not regexp_matches(c, '\s')),
+hit as (select *, position(regexp_replace(piece, '\s', '', 'g') in regexp_replace(text, '\s', '', 'g')) as p, length(regexp_replace(piece, '\s', '', 'g')) as n from pg where regexp_matches(piece, '\S'))
+select h.document_id, h.page_number as source_page, h.piece as text, substr(h.text, cast(a.i as int), cast(b.i - a.i + 1 as int)) as source_excerpt, 'About it' as title, cast(null as varchar) as code
+ from hit h join bare a on a.document_id = h.document_id and a.page_number = h.page_number and a.r = h.p join bare b on b.document_id = h.document_id and b.page_number = h.page_number and b.r = h.p + h.n - 1"""
+
+
+@query("F5_extract", PIECES_SQL)
 def f5(spark, sf):
-    return qt.extract(view(spark, sf, "document_pages"), FirstSentence, ENGLISH, 4)
+    return qt.extract(view(spark, sf, "document_pages"), Piece, ENGLISH, 4).select(
+        "document_id", "source_page", "text", "source_excerpt", F.col("normalized_title").alias("title"), "code")
 
 
 # -- quotes ----------------------------------------------------------------------------------

@@ -94,3 +94,42 @@ def test_positions_and_windows(spark):
     assert [r["window"] for r in w] == [0, 0, 1, 1, 2, 0]
     got = page_markdown(pages).filter("document_id = 1").orderBy("page_number").collect()
     assert [r["text"] for r in got][:2] == ["<!-- page 2 -->\nt2", "<!-- page 3 -->\nt3"] and len(got) == 5
+
+
+def test_failing_windows_and_halves_lose_nothing_else(spark):
+    pages = spark.createDataFrame(
+        [(1, 1, "Plant street trees."), (1, 2, "Build a new school."), (1, 3, "Plant many trees.\nFit solar roofs.\nOpen two parks.\nMend the bridge."),
+         (1, 4, "Broken for good"), (1, 5, "Lay a cycle path."), (2, 1, "Down\nRepair the mains."), (2, 2, None)],
+        "document_id bigint, page_number int, text string")
+
+    class Shaky:
+        """Two pages at once fail with page 2; more than one line gives no answer; "Down" fails."""
+
+        def __call__(self, window):
+            if len(window) > 1 and any(n == 2 for n, _ in window):
+                raise TimeoutError("429")
+            if len(window) == 1 and window[0][1].startswith("Broken"):
+                raise ConnectionError("gone")
+            if any("\n" in t or t == "Broken for good" for _, t in window):
+                return None
+            if any(t == "Down" for _, t in window):
+                raise ConnectionError("down")
+            return [{"type": "measure", "normalized_title": t, "text": t, "page": n, "excerpt": t} for n, t in window if t]
+
+    items, errors = qt.extract_with_errors(pages, Shaky, ENGLISH, 2)
+    got = {(r["document_id"], r["source_page"], r["source_excerpt"].rstrip(".")) for r in items.collect()}
+    assert got == {(1, 1, "Plant street trees"), (1, 2, "Build a new school"), (1, 3, "Plant many trees"), (1, 3, "Fit solar roofs"),
+                   (1, 3, "Open two parks"), (1, 3, "Mend the bridge"), (1, 5, "Lay a cycle path"), (2, 1, "Repair the mains")}
+    assert sorted(map(tuple, errors.collect())) == [(1, 4, "ConnectionError: gone"), (2, 1, "ConnectionError: down")]
+    assert qt.extract(pages, Shaky, ENGLISH, 2).count() == len(got)
+
+
+def test_halves_end_after_two_halvings(spark):
+    pages = spark.createDataFrame([(1, 1, "\n".join(f"line {i}" for i in range(8)))], "document_id bigint, page_number int, text string")
+
+    class Never:
+        def __call__(self, window):
+            return None
+
+    items, errors = qt.extract_with_errors(pages, Never, ENGLISH, 1)
+    assert items.count() == 0 and [r["error"] for r in errors.collect()] == ["no valid answer"] * 4
