@@ -16,6 +16,7 @@ from ..session import stage
 from . import matching as mt
 from . import places as pl
 from . import retrieval as rt
+from . import sourcing as so
 from .chunking import chunk
 from .index import index_pages
 from .merge import with_new_ids
@@ -132,24 +133,63 @@ def with_places(rows: DataFrame, keys: list[str], places: DataFrame | None) -> D
         F.col("found.places"), F.coalesce("_names", none))).drop("_names"))
 
 
+def contract_changes(run: DataFrame, contracts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, changed): the states of the contracts that a run names, from its passages and from
+    those of earlier runs, and the evidence (evidence_id), old or new, that names one of them while
+    another passage changed it. Both tables are (procurement_id, evidence_id, polarity); contracts
+    that the run does not name keep their states and are not looked at."""
+    every = run.select("procurement_id", "evidence_id", "polarity")
+    if contracts is not None:
+        named = every.select("procurement_id").distinct()
+        every = every.unionByName(contracts.select(*every.columns).join(named, "procurement_id", "left_semi"))
+    every = every.distinct()
+    bridge = every.select("procurement_id", "evidence_id").distinct()
+    artifacts = artifact_status(bridge, every.select(F.col("evidence_id").alias("id"), "polarity").distinct())
+    return artifacts, regressed_evidence(bridge, artifacts)
+
+
+def judged_again(links: DataFrame, evidence: DataFrame, changed: DataFrame, run: DataFrame) -> DataFrame:
+    """Stored links that nobody has reviewed and whose evidence, not found again by the run, names a
+    changed contract: (id, suggested_relationship, reasons) as they stand now.
+
+    links(id, evidence_id, suggested_relationship, reasons, review_status), evidence(id, flags,
+    polarity)."""
+    open_ = links.filter(F.col("review_status") == "unreviewed").join(changed, "evidence_id", "left_semi").join(
+        run.select("evidence_id").distinct(), "evidence_id", "left_anti")
+    rows = open_.join(evidence.select(F.col("id").alias("evidence_id"), "flags", "polarity"), "evidence_id")
+    flags = rl.effective_flags(F.col("flags"), F.lit(True))
+    return rows.withColumn("_h", rl.audited_hint(F.col("suggested_relationship"), F.col("reasons"), flags, F.col("polarity"))
+                           ).select("id", F.col("_h.relationship").alias("suggested_relationship"), F.col("_h.reasons").alias("reasons"))
+
+
 def find_evidence(commitments: DataFrame, pages: DataFrame, profile: Profile, *,
                   reviewed: DataFrame | None = None, stored: DataFrame | None = None,
                   places: DataFrame | None = None, baseline_year: int | None = None,
                   provider=rt.HashedVectors, scorer=None, finder=None,
                   eligible: rt.Eligible | None = None, store: str | None = None,
-                  top: int = TOP_DOCUMENTS) -> dict[str, DataFrame]:
+                  sources: DataFrame | None = None, contracts: DataFrame | None = None,
+                  budgets: DataFrame | None = None, top: int = TOP_DOCUMENTS) -> dict[str, DataFrame]:
     """Suggested evidence, money, contracts and links of one run.
 
     commitments(query_id, title, summary, code, deadline_year, chunk); pages(page_id, url,
-    title, text, published_year). ``reviewed(commitment_id, url)`` was decided by a person and
-    uses up its place among the first documents; ``stored(id, commitment_id, url)`` are known
-    evidence rows, which keep their ids."""
+    title, text, published_year or published_on). ``reviewed(commitment_id, url)`` was decided by a
+    person and uses up its place among the first documents; ``stored(id, commitment_id, url)`` are
+    known evidence rows, which keep their ids. ``sources``, the registry, repairs titles and names
+    publishers. ``contracts(procurement_id, evidence_id, polarity)`` and ``budgets(evidence_id)`` are
+    those of earlier runs: a contract cancelled by either side caps the suggestions of both.
+    ``changed`` in the result are all evidence rows, earlier ones too, whose contract changed."""
+    if "published_on" in pages.columns:
+        pages = pages.withColumn("published_year", F.year("published_on"))
+    if sources is not None:
+        pages = so.repaired_titles(pages, sources)
     best = rank_documents(commitments, pages, profile, provider=provider, scorer=scorer,
                           eligible=eligible, store=store).filter(F.col("doc_rank") <= top).withColumnRenamed(
         "query_id", "commitment_id")
     if reviewed is not None:
         best = best.join(reviewed.select("commitment_id", "url"), ["commitment_id", "url"],
                          "left_anti")
+    if sources is not None:
+        best = so.publishers(best, sources)
     read = read_passages(best, profile, baseline_year, finder)
     read = with_places(read, ["commitment_id", *KEYS], places)
     if stored is None:
@@ -165,11 +205,13 @@ def find_evidence(commitments: DataFrame, pages: DataFrame, profile: Profile, *,
     rows = stage(numbered, "evidence")
 
     bridge = rows.select(F.explode("audit.procurement_ids").alias("procurement_id"),
-                         "evidence_id").distinct()
-    states = rows.select(F.col("evidence_id").alias("id"), F.col("audit.polarity")
-                         .alias("polarity"))
-    artifacts = artifact_status(bridge, states)
-    changed = regressed_evidence(bridge, artifacts).withColumn("_changed", F.lit(True))
+                         "evidence_id", F.col("audit.polarity").alias("polarity")).distinct()
+    artifacts, changed = contract_changes(bridge, contracts)
+    flagged = changed.withColumn("_changed", F.lit(True))
+    paid = F.size("money") > 0
+    if budgets is not None:
+        rows = rows.join(budgets.select("evidence_id", F.lit(True).alias("_paid")).distinct(), "evidence_id", "left")
+        paid = paid | F.coalesce("_paid", F.lit(False))
 
     wanted = commitments.select(
         F.col("query_id").alias("commitment_id"), "deadline_year",
@@ -182,10 +224,9 @@ def find_evidence(commitments: DataFrame, pages: DataFrame, profile: Profile, *,
         F.col("similarity"),
         (mt.lowered("named.orgs"), mt.lowered("found.orgs")),
         (base(F.col("named.places")), base(F.col("locations"))), (year, F.col("found.dates")))
-    scored = (rows.join(wanted, "commitment_id").join(changed, "evidence_id", "left")
+    scored = (rows.join(wanted, "commitment_id").join(flagged, "evidence_id", "left")
               .withColumn("features", f)
-              .withColumn("hint", mt.suggest_relationship(F.col("features"),
-                                                          F.size("money") > 0)))
+              .withColumn("hint", mt.suggest_relationship(F.col("features"), paid)))
     flags = rl.effective_flags(F.col("audit.flags"), F.col("_changed"))
     scored = scored.withColumn("hint", rl.audited_hint(
         F.col("hint.relationship"), F.col("hint.reasons"), flags, F.col("audit.polarity")))
@@ -199,14 +240,15 @@ def find_evidence(commitments: DataFrame, pages: DataFrame, profile: Profile, *,
         reasons.alias("reasons"))
     evidence = rows.select(
         F.col("evidence_id").alias("id"), "commitment_id", "url", "title", "published_year",
+        *[c for c in ("published_on", "publisher") if c in rows.columns],
         F.col("chunk").alias("snippet"), F.col("found.orgs").alias("organisations"),
         "locations", F.col("found.dates").alias("dates_mentioned"),
         F.col("status.status").alias("status_hint"),
         F.col("status.excerpt").alias("status_excerpt"), "audit.polarity", "audit.flags",
         "audit.procurement_ids", "audit.parcels")
-    budgets = rows.select("evidence_id", F.explode("money").alias("m"), "url").select(
+    money = rows.select("evidence_id", F.explode("money").alias("m"), "url").select(
         "evidence_id", "m.kind", "m.amount_huf", "m.currency", "m.amount_native", "m.amount",
         "m.amount_raw", F.col("m.year").alias("fiscal_year"),
         F.col("m.sentence").alias("description"), F.col("url").alias("source_url"))
-    return {"evidence": evidence, "budgets": budgets, "artifacts": artifacts,
-            "artifact_evidence": bridge, "links": links}
+    return {"evidence": evidence, "budgets": money, "artifacts": artifacts,
+            "artifact_evidence": bridge, "links": links, "changed": changed}

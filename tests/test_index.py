@@ -200,3 +200,40 @@ def test_buckets_find_most_neighbours(spark):
     near = {(r["query_id"], r["id"]): r["similarity"] for r in rt.match_dense(queries, docs, ["id"], 10, buckets=sc.Buckets()).collect()}
     assert len(set(exact) & set(near)) >= 0.9 * len(exact)
     assert all(exact[p] == s for p, s in near.items() if p in exact)
+
+
+def test_a_cancellation_found_later_caps_an_earlier_link(spark):
+    pages = lambda *rows: spark.createDataFrame(list(rows), "page_id bigint, url string, title string, text string, published_on date")
+    com = lambda i, title: spark.createDataFrame([(i, title, title, None, None, title)], "query_id bigint, title string, summary string, "
+                                                 "code string, deadline_year int, chunk string")
+    from datetime import date
+    framework = (1, "https://www.city.org/files/plan.pdf", "plan.pdf", "Water mains renewed in 45 streets under contract CF-2024-000123. "
+                 "The contract value was £2.5 million in 2024.", date(2024, 3, 1))
+    cancelled = (2, "https://city.org/end", "End", "Water mains: the contract CF-2024-000123 was cancelled by the council.", date(2024, 9, 1))
+    sources = spark.createDataFrame([(1, "https://city.org/", "City", "Home", 0, None), (2, "https://www.city.org/files/plan.pdf", "City", "Mains plan", 1, None)],
+                                    "id bigint, url string, publisher string, title string, sort_order int, jurisdiction string")
+    first = ev.find_evidence(com(1, "Water mains"), pages(framework), ENGLISH, sources=sources)
+    [row] = first["evidence"].collect()
+    assert (row["title"], row["publisher"], row["published_on"], row["published_year"]) == ("Mains plan", "City", date(2024, 3, 1), 2024)
+    [link] = first["links"].collect()
+    assert not any("cancelled" in r for r in link["reasons"])
+    stored = first["evidence"].select("id", "commitment_id", "url")
+    second = ev.find_evidence(com(2, "Water mains B"), pages(cancelled), ENGLISH, sources=sources, stored=stored,
+                              contracts=first["artifact_evidence"])
+    [new] = second["evidence"].collect()
+    assert new["id"] == row["id"] + 1 and new["polarity"] == "termination"
+    [state] = second["artifacts"].collect()
+    assert (state["status"], state["status_evidence_id"]) == ("terminated", new["id"])
+    # the earlier passage is told about, and its link, if nobody has decided on it, is judged again
+    assert [r["evidence_id"] for r in second["changed"].collect()] == [row["id"]]
+    again = lambda status: ev.judged_again(spark.createDataFrame(
+        [(9, row["id"], "direct_implementation", ["close"], status)], "id bigint, evidence_id bigint, suggested_relationship string, reasons array<string>, review_status string"),
+        first["evidence"], second["changed"], second["artifact_evidence"]).collect()
+    [capped] = again("unreviewed")
+    assert capped["suggested_relationship"] != "direct_implementation" and len(capped["reasons"]) > 1
+    assert again("accepted") == []
+    # found again by a later run, the first passage is suggested with the warning
+    third = ev.find_evidence(com(1, "Water mains"), pages(framework), ENGLISH, stored=stored, budgets=first["budgets"],
+                             contracts=first["artifact_evidence"].unionByName(second["artifact_evidence"]))
+    [link] = third["links"].collect()
+    assert link["evidence_id"] == row["id"] and any("amended or cancelled" in r for r in link["reasons"])
