@@ -174,3 +174,21 @@ def test_listing_order_and_lookup(spark):
     assert [r["id"] for r in tb.scan(df, "commitments").collect()] == [3, 2, 1]
     ids = spark.createDataFrame([(1,), (1,), (9,)], "id bigint")
     assert [r["id"] for r in tb.lookup_many(df, ids).collect()] == [1]
+
+
+def test_place_names_in_shards_against_the_pattern(spark, monkeypatch):
+    import random
+    import re
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(2, 4)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 3))).capitalize() for _ in range(120)})
+    texts = [rng.choice([" ", ", ", "-"]).join(rng.choice([word(), rng.choice(names), rng.choice(names).upper() + "n"]) for _ in range(30))
+             for _ in range(60)] + ["", None, "x" + names[0], "_" + names[0], names[-1]]
+    places = spark.createDataFrame([("street", n) for n in names] * 2 + [("parcel", "1234/5")], "kind string, name string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    want = sorted((i, n) for i, t in enumerate(texts) for n in names
+                  if len(n) >= pl.MIN_NAME and re.search(r"(?i)(?<!\w)" + re.escape(n), t or ""))
+    got = lambda: sorted((r["id"], r["name"]) for r in pl.mentions(df, ["id"], "text", places).collect())
+    assert got() == want and len(want) > 100
+    monkeypatch.setattr(pl, "NAMES", 20)
+    assert got() == want
