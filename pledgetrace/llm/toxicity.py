@@ -278,15 +278,22 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, keep: list[str], text
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column) -> tuple[DataFrame, float]:
-    """Bounded sample (text, label) of the labelled documents, and the share of label 1."""
+    """Bounded sample (text, label) of the labelled documents, and the share of label 1. Of several
+    labels of an id the least counts, of several texts of an id the one of least hash, so that the
+    sample has one row for an id however often it is repeated."""
     marks = (labels.select("doc_id", F.col("toxic").alias("label")).filter(learn & F.col("label").isNotNull())
+             .groupBy("doc_id").agg(F.min("label").alias("label"))
              .join(docs.select("doc_id"), "doc_id", "left_semi"))
     share = marks.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
     ids = [marks.filter(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
            for kind, n in ((1, POSITIVES), (0, NEGATIVES))]
     # at most POSITIVES + NEGATIVES rows
-    chosen = F.broadcast(stage(ids[0].union(ids[1]).dropDuplicates(["doc_id"]), "labelled"))
-    return stage(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("label").cast("int").alias("label")), "sample"), share
+    chosen = F.broadcast(stage(ids[0].union(ids[1]), "labelled"))
+    text = F.coalesce("text", F.lit(""))
+    # an id's rows are reduced where they are, before they meet
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", text.alias("text"), F.col("label").cast("int").alias("label"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r"))
+    return stage(one.select("r.text", "r.label"), "sample"), share
 
 
 def learnable() -> F.Column:

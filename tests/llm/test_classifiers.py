@@ -90,3 +90,20 @@ def test_swaps_reach_the_end_of_long_texts(spark, docs_of):
         score = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(neutral, model, ["doc_id"]).collect()}
         return abs(score[1] - score[2])
     assert gap(0.0) > 0.1 and gap(toxicity.SWAP_WEIGHT) < gap(0.0) / 4
+
+
+def test_an_id_repeated_many_times_is_sampled_once(spark):
+    from pledgetrace.llm import toxicity as tx
+
+    rows = [(i, f"text {i}", "x") for i in range(1, 60)] + [(7, f"again {i % 5}", "x") for i in range(4000)] + [(None, "none", "x"), (8, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    marks = [(i, i % 2) for i in range(1, 60)] + [(7, 0), (7, 1), (None, 1), (99, 1), (5, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    sample, share = tx.labelled_sample(docs, labels, tx.learnable())
+    import zlib
+    ids = {i for i, _ in marks if i and i < 60 and zlib.crc32(str(i).encode()) % 5}
+    got = sample.collect()
+    assert len(got) == len(ids) and share == sum(i % 2 and i != 7 for i in ids) / len(ids)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, tx.labelled_sample(docs.repartition(7), labels, tx.learnable())[0].collect()))
+    again = {"text 7", *(f"again {k}" for k in range(5))}
+    assert [r["label"] for r in got if r["text"] in again] == [0] * (7 in ids)
