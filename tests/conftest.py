@@ -6,6 +6,21 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+def pytest_addoption(parser):
+    parser.addoption("--slow", action="store_true", help="also the queries that take long")
+
+
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: runs with --slow only")
+
+
+def pytest_collection_modifyitems(config, items):
+    if not config.getoption("--slow"):
+        for item in items:
+            if "slow" in item.keywords:
+                item.add_marker(pytest.mark.skip(reason="needs --slow"))
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pledgetrace.session import local_session
