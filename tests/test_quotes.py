@@ -48,6 +48,61 @@ def test_same_passage_against_brute_force(spark):
     assert got == {i: same(a, b) for i, a, b in pairs}
 
 
+def first_wins(quotes):
+    """The plain rule: in order, a quote of a kept one's passage goes."""
+    n = lambda t: re.sub(r"\W+", " ", t.casefold()).strip()
+    stay = []
+    for page, i, q in sorted(quotes, key=lambda r: r[1]):
+        if len(n(q)) < qt.MIN_RUN or not any(p == page and same(k, q) for p, _, k in stay):
+            stay.append((page, i, q))
+    return sorted(i for _, i, _ in stay)
+
+
+def overlapping(seed, n, pages):
+    """Pieces of a few long texts, with numbers, boilerplate and copies."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["trees", "roofs", "plant", "by 2027", "the city", "200", "schools", "and 7", "parks", "mend"])
+    texts = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    out = []
+    for i in range(n):
+        t, a = rng.choice(texts), rng.randint(0, 250)
+        q = t[a:a + rng.randint(5, 90)]
+        out.append((rng.randint(1, pages), i, ("as stated in the plan of the city " + q) if rng.random() < 0.2 else q))
+    return out
+
+
+def deduped(spark, quotes):
+    df = spark.createDataFrame([(1, p, i, q, "x") for p, i, q in quotes],
+                               "document_id bigint, source_page int, n bigint, quote string, id string")
+    return sorted(r["n"] for r in qt.dedupe_quotes(df, ["document_id", "source_page"], "n", "quote").collect())
+
+
+def test_first_wins_against_the_plain_rule(spark, monkeypatch):
+    quotes = overlapping(5, 220, 2)
+    assert deduped(spark, quotes) == first_wins(quotes)
+    # in rounds, with one head at first
+    monkeypatch.setattr(qt, "WALKED", 0)
+    monkeypatch.setattr(qt, "FIRST_HEADS", 1)
+    quotes = overlapping(6, 60, 2)
+    assert deduped(spark, quotes) == first_wins(quotes)
+
+
+def test_quotes_that_share_a_key_and_no_passage(spark):
+    """More quotes hold the key of a common beginning than meet at first; all but one stay."""
+    common = "in 2030 the council will "
+    quotes = [(1, i, f"{common}{chr(97 + i) * 30} {chr(98 + i) * 9}") for i in range(12)] + [(1, 12, f"{common}{'a' * 30}")]
+    assert deduped(spark, quotes) == first_wins(quotes) == list(range(12))
+
+
+def test_quotes_that_are_null_empty_or_tied(spark):
+    full = "Install green roofs on four primary schools"
+    rows = [(1, 1, full), (1, 1, full), (1, 2, None), (1, 3, ""), (None, 1, full), (None, 2, full + " by the park"), (1, None, full + " again")]
+    df = spark.createDataFrame(rows, "page int, n int, quote string")
+    got = sorted(((r["page"] or 0, r["n"] or 0, r["quote"]) for r in qt.dedupe_quotes(df, ["page"], "n", "quote").collect()))
+    assert got == [(0, 1, full), (1, 0, full + " again"), (1, 3, "")]
+    assert qt.dedupe_quotes(df.limit(0), ["page"], "n", "quote").count() == 0
+
+
 def test_gold_matching(spark):
     gold = [(1, "d", 3, "train", "Távhőszolgáltatás fejlesztése", "M1.1.2", None),
             (2, "d", 3, "train", "Napelemek az iskolákon", "M1.1.9", None),
