@@ -240,22 +240,21 @@ def r13(spark, sf):
         "id", "s.relationship", F.array_join("s.reasons", "; ").alias("reasons"))
 
 
-HEAD_SQL = r"""with t as (select doc_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), 1, 12), ' ') as title from documents),
-k as (select doc_id, list_filter(list_distinct(string_split_regex(lower(title), '[^\p{L}\p{N}]+')), lambda x: length(x) > 1 and x not in ('a', 'an', 'and', 'download', 'downloads', 'for', 'in', 'of', 'on', 'pdf', 'the', 'to')) as ws from t)"""
+TITLE_SQL = r"""with k as (select doc_id, list_filter(list_distinct(string_split_regex(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}]+')), lambda x: length(x) > 1 and x not in ('a', 'an', 'and', 'download', 'downloads', 'for', 'in', 'of', 'on', 'pdf', 'the', 'to')) as ws from documents),
+s as materialized (select list_sort(ws) as ws, min(doc_id) as id, count(*) as n, list_filter(list_sort(ws), lambda x: regexp_full_match(x, '\d+')) as d from k where len(ws) > 0 group by 1),
+p as (select a.id as a, b.id as b from s a join s b on a.d = b.d and a.id <> b.id and 5 * least(len(a.ws), len(b.ws)) >= 4 * greatest(len(a.ws), len(b.ws))
+ where len(list_intersect(a.ws, b.ws))::double / len(list_distinct(a.ws || b.ws)) >= 0.8),
+r as (select a, count(*) as n, min(b) as b from p group by a)"""
 
 
-def heads(spark, sf):
-    """A title for every document: its first twelve words."""
+def first_lines(spark, sf):
+    """A title for every document: its whole first line."""
     d = table(spark, sf, "documents")
-    title = F.array_join(F.slice(tx.words("text"), 1, 12), " ")
-    return d.select("doc_id", tx.title_tokens(title, ENGLISH.title_stopwords).alias("ws"))
+    return d.select("doc_id", tx.title_tokens(F.substring_index("text", "\n", 1), ENGLISH.title_stopwords).alias("ws"))
 
 
-@query("J15_near_titles", HEAD_SQL + r""",
-s as (select list_sort(ws) as ws, min(doc_id) as id, count(*) as n from k where len(ws) > 0 group by 1)
-select a.id as a, b.id as b, a.n as n_a, b.n as n_b, round(len(list_intersect(a.ws, b.ws))::double / len(list_distinct(a.ws || b.ws)), 6) as similarity
-from s a join s b on a.id < b.id where list_filter(a.ws, lambda x: regexp_full_match(x, '\d+')) = list_filter(b.ws, lambda x: regexp_full_match(x, '\d+'))
- and len(list_intersect(a.ws, b.ws))::double / len(list_distinct(a.ws || b.ws)) >= 0.8""")
+@query("J15_near_titles", TITLE_SQL + """
+select k.doc_id, s.id as title_id, s.n as n_same, coalesce(r.n, 0) as n_near, least(s.id, coalesce(r.b, s.id)) as near_id
+from k join s on list_sort(k.ws) = s.ws left join r on r.a = s.id""")
 def j15(spark, sf):
-    return mt.near_titles(heads(spark, sf), "doc_id", "ws").withColumn(
-        "similarity", F.round("similarity", 6))
+    return mt.title_classes(first_lines(spark, sf), "doc_id", "ws")
