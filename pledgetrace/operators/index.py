@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -62,3 +62,17 @@ def index_pages(pages: DataFrame, path: str, *, model: str = HashedVectors.model
             "page_id", "chunk_index", "text_key", "chunk", "vector")
     return whole.join(keyed.select("page_id", "embed_model").distinct(), ["page_id", "embed_model"], "left_semi").select(
         "page_id", "chunk_index", "text_key", "chunk", "vector")
+
+
+def passages_of_pages(stored: DataFrame, pages: DataFrame, urls: DataFrame | None = None,
+                      key: Column | None = None) -> DataFrame:
+    """stored(page_id, embed_model, …) with url and title of their pages(page_id, url, title, …).
+
+    ``urls`` is a table with the urls that count, repeated ones count once; ``key`` is the content key
+    as a column of pages, and passages stored under another one (an earlier text, another model) are
+    left out. Passages of unknown pages, and null urls or keys, give no row."""
+    known = pages if urls is None else pages.join(urls.select("url"), "url", "left_semi")
+    on = ["page_id"]
+    if key is not None:
+        known, on = known.withColumn("embed_model", key), ["page_id", "embed_model"]
+    return stored.drop("url", "title").join(known.select(*on, "url", "title"), on)

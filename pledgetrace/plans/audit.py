@@ -65,15 +65,6 @@ def deduped(spark, sf):
                               budget_rows(spark, sf))
 
 
-@query("J1_chunks_of_pages", cte("source_pages") + """ select d.page_id, d.title, l.quality from source_pages d join labels l on l.doc_id = d.page_id where d.url in (select url from source_pages where published_year >= 2018)""")
-def j1(spark, sf):
-    pages = view(spark, sf, "source_pages")
-    wanted = pages.filter("published_year >= 2018").select("url")
-    scored = table(spark, sf, "labels").withColumnRenamed("doc_id", "page_id")
-    return (pages.join(scored, "page_id").join(wanted, "url", "left_semi")
-            .select("page_id", "title", "quality"))
-
-
 @query("J2_accepted_evidence", cte("links", "evidence") + " select l.id as link_id, l.commitment_id, e.id as evidence_id, e.title, e.status_hint from links l join evidence e on e.id = l.evidence_id where l.review_status = 'accepted'")
 def j2(spark, sf):
     return tr.accepted_pairs(view(spark, sf, "links"), view(spark, sf, "evidence")).select(

@@ -10,6 +10,7 @@ from ..operators import evidence as ev
 from ..operators import retrieval as rt
 from ..operators import sourcing as so
 from ..operators.chunking import chunk, quarantined_rows
+from ..operators.index import passages_of_pages
 from ..profile import ENGLISH
 from .registry import query
 from .views import cte, table, view
@@ -107,6 +108,19 @@ def c1(spark, sf):
     return passages(spark, sf).select("page_id", "chunk_index", "chunk")
 
 
+@query("J1_chunks_of_pages", CHUNK_SQL + """
+select c.page_id, cast(c.chunk_index as int) as chunk_index, d.url, d.title, c.chunk from chunks c join source_pages d using (page_id) where d.published_year >= 2018 and d.page_id % 3 <> 0""")
+def j1(spark, sf):
+    pages = view(spark, sf, "source_pages")
+    key = tx.content_key(F.lit("hashing"), 2400, "text")
+    # every third text has changed since its passages were stored
+    old = F.when(F.col("page_id") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    made = pages.select("page_id", tx.content_key(F.lit("hashing"), 2400, old).alias("embed_model"))
+    stored = passages(spark, sf).join(made, "page_id")
+    return passages_of_pages(stored, pages, pages.filter("published_year >= 2018"), key).select(
+        "page_id", "chunk_index", "url", "title", "chunk")
+
+
 @query("C2_quarantine_rows", cte("source_pages") + """,
 lines as (select page_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from source_pages)
 select page_id, cast(line_no as int) as line_no, cast(length(l) as int) as row_chars, 'Markdown table row exceeds passage limit; quarantined from automated extraction' as warning

@@ -5,13 +5,14 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pledgetrace.functions.tokens import HashedVectors, split_terms
 from pledgetrace.operators import evidence as ev
 from pledgetrace.operators import retrieval as rt
 from pledgetrace.operators import scoring as sc
 from pledgetrace.operators import sourcing as so
-from pledgetrace.operators.index import index_pages
+from pledgetrace.operators.index import index_pages, passages_of_pages
 from pledgetrace.profile import ENGLISH
 
 
@@ -237,3 +238,22 @@ def test_a_cancellation_found_later_caps_an_earlier_link(spark):
                              contracts=first["artifact_evidence"].unionByName(second["artifact_evidence"]))
     [link] = third["links"].collect()
     assert link["evidence_id"] == row["id"] and any("amended or cancelled" in r for r in link["reasons"])
+
+
+def test_passages_of_pages_by_url_and_content_key(spark):
+    pages = pages_of(spark, {1: "one", 2: "two", 3: "three", 4: None})
+    stored = spark.createDataFrame(
+        [(1, "k-one", 0, "a", "mine"), (1, "k-old", 0, "b", "mine"), (2, "k-two", 0, "c", None), (2, "k-two", 1, "d", None), (9, "k-one", 0, "e", "x"),
+         (3, "k-three", 0, "f", None), (3, None, 1, "g", None)], "page_id bigint, embed_model string, chunk_index int, chunk string, title string")
+    key = F.concat(F.lit("k-"), "text")
+    urls = pages.filter("page_id < 3").select("url")
+    urls = urls.unionByName(urls).unionByName(spark.createDataFrame([(None,)], "url string"))
+
+    def chunks(*args):
+        return sorted(r["chunk"] for r in passages_of_pages(stored, pages, *args).collect())
+
+    assert chunks() == list("abcdfg") and chunks(urls) == list("abcd")
+    assert chunks(None, key) == list("acdf") and chunks(urls, key) == list("acd")
+    assert chunks(urls.limit(0), key) == []
+    assert {r["title"] for r in passages_of_pages(stored, pages, urls, key).collect()} == {
+        r["title"] for r in pages.filter("page_id < 3").collect()}
