@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .merge import reviewed_keys
 from .trail import artifact_status
 
 
 def generated(t: dict[str, DataFrame]) -> dict[str, list[DataFrame]]:
     """Table -> key rows each step of the cascade touches, in order. Every step looks at
-    what the steps before it left; anti-joins, so a null key never hides a row."""
+    what the steps before it left; anti-joins, so a null key never hides a row. What several
+    steps look at is written once."""
     unread = F.col("review_status") == "unreviewed"
     decided = reviewed_keys(t["links"])
     linked = t["budgets"].filter(F.col("evidence_id").isNotNull())
     budgets_out = linked.join(decided, "evidence_id", "left_anti")
     links_out, links_left = t["links"].filter(unread), t["links"].filter(~unread)
     # after both steps evidence is held by reviewed links and by figures on them
-    held = links_left.select("evidence_id").unionByName(
-        linked.join(decided, "evidence_id", "left_semi").select("evidence_id")).distinct()
+    held = stage(links_left.select("evidence_id").unionByName(
+        linked.join(decided, "evidence_id", "left_semi").select("evidence_id")).distinct(), "held")
     bridge_out = t["artifact_evidence"].join(held, "evidence_id", "left_anti")
-    bridge_left = t["artifact_evidence"].join(held, "evidence_id", "left_semi")
+    bridge_left = stage(t["artifact_evidence"].join(held, "evidence_id", "left_semi"), "bridge")
+    t = t | {"artifacts": stage(t["artifacts"], "artifacts")}
     moved = t["artifacts"].filter(F.col("status_evidence_id").isNotNull()).join(
         held.withColumnRenamed("evidence_id", "status_evidence_id"), "status_evidence_id",
         "left_anti")

@@ -263,6 +263,12 @@ def link_views(links: DataFrame, evidence: DataFrame, budgets: DataFrame, notes:
             .withColumn("n_budgets", F.coalesce("n_budgets", F.lit(0).cast("bigint"))))
 
 
+def link_figures(links: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The figures of every link, one row each with ``link_id``; a page may name any number of
+    them, so they stay rows beside ``link_views``."""
+    return budgets.join(links.select(F.col("id").alias("link_id"), "evidence_id"), "evidence_id")
+
+
 # fixed values: what the short form of a link leaves out
 WIDE = ("snippet", "status_excerpt", "organisations", "locations", "dates_mentioned")
 

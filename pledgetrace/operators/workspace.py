@@ -100,3 +100,12 @@ def shown_mention(rows: DataFrame, candidates: DataFrame, picks: DataFrame) -> D
            .join(picks, ["group_key", "picked"], "left_semi"))
     return (rows.join(own, "group_key", "left")
             .select("group_key", F.coalesce("picked", "shown_id").alias("shown_id")))
+
+
+def candidate_views(candidates: DataFrame, notes: DataFrame, status: str | None = None) -> DataFrame:
+    """Every candidate, or those of one review status, with its note where one was written;
+    notes(subject_kind, subject_id, note) on other things are left aside."""
+    if status is not None:
+        candidates = candidates.filter(F.col("review_status") == status)
+    own = notes.filter("subject_kind = 'candidate'").select(F.col("subject_id").alias("id"), "note")
+    return candidates.join(own, "id", "left")

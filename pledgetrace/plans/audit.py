@@ -81,6 +81,12 @@ def j3(spark, sf):
         "id", "commitment_id", "title", "n_budgets", "top_amount", "note")
 
 
+@query("J3_link_figures", AUDIT + " select l.id as link_id, l.evidence_id, b.id, b.kind, b.currency, b.amount, b.amount_raw, b.fiscal_year from links l join bu b on b.evidence_id = l.evidence_id")
+def j3_figures(spark, sf):
+    return tr.link_figures(view(spark, sf, "links"), budget_rows(spark, sf)).select(
+        "link_id", "evidence_id", "id", "kind", "currency", "amount", "amount_raw", "fiscal_year")
+
+
 @query("J11_reviewed_evidence", cte("links") + " select distinct evidence_id from links where review_status <> 'unreviewed'")
 def j11(spark, sf):
     from ..operators.merge import reviewed_keys

@@ -249,13 +249,13 @@ def s10(spark, sf):
     g = view(spark, sf, "grades_b")
     mark = F.when(F.col("grade") > 0, F.concat(F.when(F.col("doc") % 2 == 0, "grade: ").otherwise(
         "you:  "), F.col("grade").cast("string"), F.lit(" (sure)"))).otherwise(F.lit("grade:"))
-    lines = F.array(F.concat(F.lit("=== "), F.col("doc").cast("string"), F.lit(". "), "query",
-                             F.lit(" / d"), F.col("doc").cast("string"), F.lit(" ===")),
-                    F.lit("PASSAGE:"), mark, F.lit("note: 2"))
-    rows = g.select(F.concat(F.lit("sheet"), (F.col("doc") % 5).cast("string")).alias("grader"),
-                    "doc", F.posexplode(lines).alias("n", "line"))
-    return fl.grade_rows(rows.select("grader", (F.col("doc") * 10 + F.col("n")).alias("pos"),
-                                     "line"))
+    block = F.concat_ws("\n", F.concat(
+        F.lit("=== "), F.col("doc").cast("string"), F.lit(". "), "query", F.lit(" / d"),
+        F.col("doc").cast("string"), F.lit(" ===")), F.lit("PASSAGE:"), mark, F.lit("note: 2"))
+    path = shared_dir(spark, "sheets")
+    g.select(F.concat(F.lit("sheet"), (F.col("doc") % 5).cast("string")).alias("grader"),
+             block.alias("value")).write.partitionBy("grader").text(path)
+    return fl.read_grade_sheets(spark, path)
 
 
 # every supplier a domain: an index that names a second file twice, which lists one document
@@ -300,6 +300,17 @@ CANDS = """select document_id * 1000 + page_number as id, document_id, page_numb
 CAND_CTE = cte("document_pages") + ", cand as (" + CANDS.format(document_pages="document_pages") + ")"
 
 
+@query("J3_candidate_views", CAND_CTE + " select id, normalized_title, review_status, case when id % 3 = 0 then 'note ' || id end as note from cand")
+def j3_candidates(spark, sf):
+    c = frame(spark, sf, CANDS)
+    # links have notes under the same numbers, which belong to no candidate
+    notes = lambda kind, every: c.filter(F.col("id") % every == 0).select(
+        F.lit(kind).alias("subject_kind"), F.col("id").alias("subject_id"),
+        F.concat(F.lit("note " if kind == "candidate" else "of a link "), F.col("id").cast("string")).alias("note"))
+    return wk.candidate_views(c, notes("candidate", 3).unionByName(notes("link", 2))).select(
+        "id", "normalized_title", "review_status", "note")
+
+
 @query("S12_export_training", CAND_CTE + """, ok as (select c.*, p.text as pg from cand c join document_pages p on p.document_id = c.document_id and p.page_number = c.source_page where review_status <> 'unreviewed' and c.document_id % 10 <> 0)
 select document_id, source_page as page, 'Find the commitments' || chr(10) || '--- page ' || source_page || ' ---' || chr(10) || left(pg, 6000) as prompt,
  case when review_status = 'accepted' and suggested_type <> 'background' then cast(1 as int) else 0 end as n_items from ok""")

@@ -54,29 +54,44 @@ HEADER, GRADE = r"\A=== \d+\. (\S+) / (\S+) ===\z", r"\A(?:grade|you):\s*([0-3])
 
 def grade_rows(lines: DataFrame) -> DataFrame:
     """lines(grader, pos, line) -> (grader, query, doc, grade). A grade belongs to the last
-    header above it and uses it up; a blank grade is none; of a pair graded twice the last."""
-    line = strip("line")
+    header above it and uses it up; a blank grade is none; of a pair graded twice the last.
+
+    With a column ``block``, lines are ordered by block and then pos, and only a block is walked
+    in one task: the header that is open at its end is handed on, one row per block."""
+    if "block" not in lines.columns:
+        lines = lines.withColumn("block", F.lit(0))
+    line, at = strip("line"), F.struct("block", "pos")
     head = F.when(line.rlike(HEADER), F.struct(
         F.regexp_extract(line, HEADER, 1).alias("query"),
-        F.regexp_extract(line, HEADER, 2).alias("doc"), F.col("pos").alias("at")))
+        F.regexp_extract(line, HEADER, 2).alias("doc"), at.alias("at")))
     grade = F.nullif(F.regexp_extract(line, GRADE, 1), F.lit("")).cast("int")
-    marked = lines.select("grader", "pos", head.alias("h"), grade.alias("grade")).filter(
+    marked = lines.select("grader", "block", "pos", head.alias("h"), grade.alias("grade")).filter(
         "h is not null or grade is not null")
-    sheet = Window.partitionBy("grader").orderBy("pos")
-    graded = marked.withColumn("h", F.last("h", ignorenulls=True).over(sheet)).filter(
-        "grade is not null and h is not null")
-    first = graded.groupBy("grader", "h.query", "h.doc", "h.at").agg(
-        F.min_by("grade", "pos").alias("grade"))
+    before = Window.partitionBy("grader").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)  # one row per block
+    opened = marked.groupBy("grader", "block").agg(
+        F.max_by("h", F.when(F.col("h").isNotNull(), F.col("pos"))).alias("h")).select(
+        "grader", "block", F.last("h", ignorenulls=True).over(before).alias("carried"))
+    inside = Window.partitionBy("grader", "block").orderBy("pos")
+    graded = (marked.withColumn("h", F.last("h", ignorenulls=True).over(inside))
+              .filter("grade is not null").join(opened, ["grader", "block"])
+              .withColumn("h", F.coalesce("h", "carried")).filter("h is not null"))
+    first = graded.groupBy("grader", "h.query", "h.doc", "h.at").agg(F.min_by("grade", at).alias("grade"))
     return first.groupBy("grader", "query", "doc").agg(F.max_by("grade", "at").alias("grade"))
 
 
 def read_grade_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """One filled-in sheet per file, the grader is the file name."""
-    sheets = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*?)(?:\.[^.]*)?\z", 1)
-        .alias("grader"), "value")
-    return grade_rows(sheets.select("grader", F.posexplode(F.split("value", r"\r\n|[\n\r]"))
-                                    .alias("pos", "line")))
+    """Filled-in sheets, the grader is the file name, or X where files lie in a folder
+    ``grader=X`` and follow one another by name. Large sheets are read by several tasks."""
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract("_metadata.file_path", r"/grader=([^/]+)/[^/]*\z", 1)
+    name = F.regexp_extract(decoded(F.col("_metadata.file_name")), r"\A(.*?)(?:\.[^.]*)?\z", 1)
+    # a folder's name is escaped once as a partition and once as an address
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.when(folder != "", decoded(decoded(folder))).otherwise(name).alias("grader"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    return grade_rows(lines)
 
 
 # fixed values: map tags -> place kind

@@ -31,6 +31,27 @@ def test_grade_sheets(spark, tmp_path):
     assert got == [("anna", "c1", "e1", 3), ("anna", "c1", "e2", 0)]
 
 
+def test_grade_sheets_read_by_several_tasks(spark, tmp_path):
+    """Cut every 64 bytes: headers, grades and notes fall into different blocks."""
+    rows = [(f"c{i % 7}", f"e{i}", i % 5) for i in range(300)]
+    text = "".join(f"=== {i}. {q} / {d} ===\nPASSAGE:\n{'words ' * (i % 40)}\ngrade:{' ' + str(g) if g < 4 else ''}\ngrade: 0\n"
+                   for i, (q, d, g) in enumerate(rows))
+    (tmp_path / "a b.txt").write_text(text + "=== 301. c0 / e0 ===\nyou: 3\n")
+    (tmp_path / "grader=x+y%2F").mkdir()
+    (tmp_path / "grader=x+y%2F" / "p0.txt").write_text("grade: 1\n=== 1. c / d ===\n")
+    (tmp_path / "grader=x+y%2F" / "p1.txt").write_text("grade: 2\ngrade: 3\n")
+    want = {("a b", q, d): g % 4 for q, d, g in rows} | {("a b", "c0", "e0"): 3, ("x+y/", "c", "d"): 2}
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = fl.read_grade_sheets(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r["grader"], r["query"], r["doc"]): r["grade"] for r in got} == want and len(got) == len(want)
+
+
 def test_jsonl_is_strict(spark, tmp_path):
     p = tmp_path / "q.jsonl"
     p.write_text('{"query": "a", "doc": "b", "grade": 1}\n\n{"query": "a", "doc": "c", "grade": 2}\n')
