@@ -16,6 +16,8 @@ rows. Other columns of the input are ignored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +52,34 @@ BINS, BANDS = 300, 24
 _IN, _OUT = "\u0001", "\u0002"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Each place's value put together with all before it, ``both`` being a sum, greatest or least.
+
+    Every place takes in the one before it, then what the second before it has by then, the fourth
+    and so on: an array costs its size times its doublings, where a fold that appends to an array
+    copies it at every step."""
+    doublings = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+    jumps = F.transform(F.sequence(F.lit(0), doublings), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(jumps, values, lambda acc, jump: F.transform(
+        acc, lambda v, i: F.when(i >= jump, both(v, F.get(acc, i - jump))).otherwise(v)))
+
+
 def marks(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all leftmost non-overlapping matches, in code points."""
     clean = F.translate(text, _IN + _OUT, "\u0003\u0003")  # no shape has control characters
     parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{_IN}$1{_OUT}"), f"[{_IN}{_OUT}]", -1)
+    ends = lambda p: running(F.transform(p, lambda x: F.length(x)), lambda v, w: v + w)
+    # what lies at the odd places was matched
+    placed = bound(parts, lambda p: bound(F.struct(p.alias("p"), ends(p).alias("e")), lambda s: F.filter(
+        F.transform(s["p"], lambda m, i: F.struct((F.get(s["e"], i) - F.length(m)).alias("start"), F.get(s["e"], i).alias("end"),
+                                                  m.alias("match"))), lambda m, i: i % 2 == 1)))
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
-    walked = F.aggregate(parts, start, lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).alias("at"), (~acc["inside"]).alias("inside"),
-        F.when(acc["inside"], F.concat(acc["found"], F.array(F.struct(
-            acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"), p.alias("match"))))).otherwise(acc["found"]).alias("found")))
-    return F.when(text.rlike(pattern), walked["found"]).otherwise(empty)
+    return F.when(text.rlike(pattern), placed).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -162,19 +181,26 @@ def thresholds(docs: DataFrame, text: str = "text") -> dict[int, int]:
 
 def spans(text: Column, least_bin: dict[int, int]) -> Column:
     """Array of (start, rank, end, kind): base spans and reported tokens, by start, then kind."""
-    text = F.coalesce(text, F.lit(""))
-    bound = F.create_map(*[F.lit(v) for pair in least_bin.items() for v in pair]) if least_bin else None
-
-    def added(base: Column) -> Column:
-        if bound is None:
-            return base
-        reported = F.filter(judged_tokens(text), lambda j: (j["bin"] >= F.coalesce(
-            F.element_at(bound, j["band"]), F.lit(BINS + 1))) & ~F.exists(
-            base, lambda s: (s["start"] < j["end"]) & (j["start"] < s["end"])))
-        return F.concat(base, F.transform(reported, lambda j: F.struct(
-            j["start"].alias("start"), F.lit(len(SHAPES)).alias("rank"), j["end"].alias("end"), F.lit(KIND).alias("kind"))))
-
-    return F.transform(F.array(base_spans(text)), lambda b: F.array_sort(added(b)))[0]
+    text, last = F.coalesce(text, F.lit("")), F.lit(2**31 - 1)
+    if not least_bin:
+        return F.array_sort(base_spans(text))
+    bins = F.create_map(*[F.lit(v) for pair in least_bin.items() for v in pair])
+    reported = F.filter(judged_tokens(text), lambda j: j["bin"] >= F.coalesce(F.element_at(bins, j["band"]), F.lit(BINS + 1)))
+    tokens = F.transform(reported, lambda j: F.struct(
+        j["start"].alias("start"), F.lit(len(SHAPES)).alias("rank"), j["end"].alias("end"), F.lit(KIND).alias("kind")))
+    is_base = lambda s: s["rank"] < len(SHAPES)
+
+    def apart(sorted_spans: Column) -> Column:
+        """Without the tokens that a base span before them reaches into or that reach into the next."""
+        held = running(F.transform(sorted_spans, lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(0))), F.greatest)
+        ahead = F.reverse(running(F.reverse(F.transform(
+            sorted_spans, lambda s: F.when(is_base(s), s["start"]).otherwise(last))), F.least))
+        return bound(F.struct(sorted_spans.alias("s"), held.alias("h"), ahead.alias("a")), lambda t: F.filter(
+            t["s"], lambda s, i: is_base(s) | ((F.get(t["h"], i) <= s["start"]) & (F.get(t["a"], i) >= s["end"]))))
+
+    return bound(F.struct(base_spans(text).alias("b"), tokens.alias("t")), lambda f: F.when(
+        (F.size(f["b"]) == 0) | (F.size(f["t"]) == 0), F.array_sort(F.concat(f["b"], f["t"]))).otherwise(
+        bound(F.array_sort(F.concat(f["b"], f["t"])), apart)))
 
 
 def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -186,15 +212,28 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by its kind in brackets; overlapping spans
     become one, named after the first."""
     found = spans(F.col(text), thresholds(docs, text))
-    held, walk = unused(docs, "_spans"), unused(docs, "_walk")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(held, start, lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).alias("out")))
-    rest = F.concat(F.col(f"{walk}.out"), F.substring(F.col(text), F.col(f"{walk}.at") + 1, F.length(text)))
-    return docs.withColumn(held, found).withColumn(walk, walked).withColumn(
-        text, F.when(F.size(held) > 0, rest).otherwise(F.col(text))).drop(held, walk)
+    held = unused(docs, "_spans")
+
+    def cut(s: Column) -> Column:
+        """Of (spans, furthest end so far): the text with its secrets named, an array of strings."""
+        gaps = F.filter(F.transform(s["s"], lambda x, i: F.struct(
+            F.coalesce(F.get(s["e"], i - 1), F.lit(0)).alias("a"), x["start"].alias("b"), x["kind"].alias("kind"))),
+            lambda g: g["b"] >= g["a"])
+        # a place in a text is found by walking there, so gaps are cut from a stretch that holds the root of their number
+        size = lambda g: F.ceil(F.sqrt(F.size(g).cast("double"))).cast("int")
+        stretch = lambda g: F.struct(g.alias("g"), g[0]["a"].alias("a"), F.substring(
+            F.col(text), g[0]["a"] + 1, F.element_at(g, -1)["b"] - g[0]["a"]).alias("t"))
+        named = lambda w: F.transform(w["g"], lambda g: F.concat(
+            F.substring(w["t"], g["a"] - w["a"] + 1, g["b"] - g["a"]), F.lit("["), g["kind"], F.lit("]")))
+        parts = bound(gaps, lambda g: F.flatten(F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(g) / size(g)).cast("int") - 1),
+            lambda k: bound(bound(F.slice(g, k * size(g) + 1, size(g)), stretch), named))))
+        rest = F.substring(F.col(text), F.element_at(s["e"], -1) + 1, F.length(text))
+        return F.concat(parts, F.array(rest))
+
+    reach = lambda s: F.struct(s.alias("s"), running(F.transform(s, lambda x: x["end"]), F.greatest).alias("e"))
+    out = F.array_join(bound(bound(F.col(held), reach), cut), "")
+    return docs.withColumn(held, found).withColumn(text, F.when(F.size(held) > 0, out).otherwise(F.col(text))).drop(held)
 
 
 def joined(spans: Column) -> Column:
