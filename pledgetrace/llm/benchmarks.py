@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import filtered, small_batches, text_bytes
+from .tables import declared, filtered, small_batches, text_bytes, unused
 from .words import NOT_ALNUM, Lookup, shingles, words
 
 WORDS = 5
@@ -180,15 +180,14 @@ def _search(items: Items, ids: pa.Array, threshold: float):
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = CONTAINMENT) -> DataFrame:
     """(keep…, item_id, shared, item_shingles, containment) for each item in each document that
-    holds at least ``threshold`` of the item's shingles."""
+    holds at least ``threshold`` of the item's shingles; kept columns of these names give way."""
     small_batches(docs.sparkSession)
-    fields = docs.select(*keep).schema.fields
+    keep = [k for k in keep if k not in ("item_id", "shared", "item_shingles", "containment")]
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + \
-        f", item_id {kind}, shared bigint, item_shingles bigint"
+    schema = ", ".join([*declared(docs, keep), f"item_id {kind}, shared bigint, item_shingles bigint"])
     out = None
     for items, ids in item_passes(benchmark):
-        part = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(_search(items, ids, threshold), schema)
+        part = docs.select(*keep, F.col("text").alias(unused(docs, "_text"))).mapInArrow(_search(items, ids, threshold), schema)
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 

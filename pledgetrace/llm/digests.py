@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import plan_bytes
-from .tables import small_batches, text_bytes
+from .tables import declared, small_batches, text_bytes, unused
 from .words import mixed
 
 WINDOW, SPAN, WINS = 12, 12, 4
@@ -250,7 +250,6 @@ def fingerprints(docs: DataFrame, rarity: Rarity, keep: list[str], text: str = "
     """(keep…, fingerprint) of every text, in batches where the rows are."""
     small_batches(docs.sparkSession)
     keep = [k for k in keep if k != "fingerprint"]
-    fields = docs.select(*keep).schema.fields
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +257,7 @@ def fingerprints(docs: DataFrame, rarity: Rarity, keep: list[str], text: str = "
             prints = [written(*chain(h[a:b])) for a, b in zip(bound, bound[1:])]
             yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(keep)} | {"fingerprint": pa.array(prints, pa.string())})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(task, schema + ", fingerprint string" if keep else "fingerprint string")
+    return docs.select(*keep, F.col(text).alias(unused(docs, "_text"))).mapInArrow(task, ", ".join([*declared(docs, keep), "fingerprint string"]))
 
 
 def _prints(texts: list[str], rarity: Rarity) -> list[tuple[np.ndarray, np.ndarray]]:

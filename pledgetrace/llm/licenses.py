@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .notices import BARRED, REQUIRED, TEMPLATES
-from .tables import small_batches, text_bytes
+from .tables import declared, small_batches, text_bytes, unused
 from .words import NOT_ALNUM, Lookup, runs, shingles, words
 
 COVERAGE = 0.8
@@ -248,7 +248,6 @@ def license_spans(docs: DataFrame, keep: list[str], templates: dict[str, str] |
     index = (Templates(TEMPLATES, REQUIRED, BARRED, coverage) if templates is None
              else Templates(templates, required, barred, coverage))
     keep = [k for k in keep if k not in ("license", "matched_words", "license_words", "coverage", "begin", "end")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +260,6 @@ def license_spans(docs: DataFrame, keep: list[str], templates: dict[str, str] |
                 out[name] = pa.array(values, pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
-    rows = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
-        task, (f"{schema}, " if schema else "") + "license string, matched_words bigint, license_words bigint, begin bigint, end bigint")
+    rows = docs.select(*keep, F.col("text").alias(unused(docs, "_text"))).mapInArrow(task, ", ".join([
+        *declared(docs, keep), "license string, matched_words bigint, license_words bigint, begin bigint, end bigint"]))
     return rows.withColumn("coverage", F.col("matched_words") / F.col("license_words"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import declared, small_batches, unused
 from .words import mixed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -257,9 +257,10 @@ def slices(lengths: list[int], most: int = CHARS) -> Iterator[tuple[int, int]]:
 
 def encoded(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
             dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """``keep`` columns, ``ids``, ``n_ids`` and ``lossless`` (the ids decode to the text)."""
+    """``keep`` columns, ``ids``, ``n_ids`` and ``lossless`` (the ids decode to the text); kept
+    columns of these names give way."""
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    keep = [k for k in keep if k not in ("ids", "n_ids", "lossless")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(vocabulary, dropout, seed)
@@ -277,13 +278,15 @@ def encoded(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, key: str =
                 yield pa.RecordBatch.from_pydict(out)
 
     number = docs.select(*keep, (F.col(key) if docs.schema[key].dataType.typeName() in ("long", "integer")
-                                 else F.xxhash64(key)).cast("long").alias("_key"), F.col(text).alias("_text"))
-    return number.mapInArrow(task, f"{schema}, ids array<int>, n_ids bigint, lossless boolean")
+                                 else F.xxhash64(key)).cast("long").alias(unused(docs, "_key")),
+                         F.col(text).alias(unused(docs, "_text")))
+    return number.mapInArrow(task, ", ".join([*declared(docs, keep), "ids array<int>, n_ids bigint, lossless boolean"]))
 
 
 def decoded(rows: DataFrame, keep: list[str], vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
-    """``keep`` columns and the ``text`` of each list of ids; null lists have null texts."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    """``keep`` columns and the ``text`` of each list of ids; null lists have null texts. A kept
+    column of this name gives way."""
+    keep = [k for k in keep if k != "text"]
     raw = vocabulary.raw
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,4 +294,4 @@ def decoded(rows: DataFrame, keep: list[str], vocabulary: Vocabulary, ids: str =
             texts = [None if x is None else decode(x, raw) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_pydict({n: batch.column(i) for i, n in enumerate(keep)} | {"text": pa.array(texts, pa.string())})
 
-    return rows.select(*keep, F.col(ids).alias("_ids")).mapInArrow(task, f"{schema}, text string")
+    return rows.select(*keep, F.col(ids).alias(unused(rows, "_ids"))).mapInArrow(task, ", ".join([*declared(rows, keep), "text string"]))

@@ -42,6 +42,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def declared(df: DataFrame, keep: list[str]) -> list[str]:
+    """Name and type of each kept column, for a schema string."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+
+
 def with_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str,
                  keep: list[str]) -> DataFrame:
     """``keep`` columns of ``df`` plus the columns that ``fn`` makes from the batches of ``text``.
@@ -50,16 +55,15 @@ def with_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa
     place of kept ones of the same name."""
     new_names = {part.split()[0] for part in schema.split(", ")}
     keep = [name for name in keep if name not in new_names]
-    fields = [f for f in df.select(*keep).schema.fields]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + schema
+    out = ", ".join([*declared(df, keep), schema])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = fn(batch.column(batch.schema.get_field_index("_text")))
+            new = fn(batch.column(batch.num_columns - 1))
             kept = {name: batch.column(i) for i, name in enumerate(keep)}
             yield pa.RecordBatch.from_pydict(kept | new)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(task, out)
+    return df.select(*keep, F.col(text).alias(unused(df, "_text"))).mapInArrow(task, out)
 
 
 def filtered(docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
