@@ -25,12 +25,18 @@ def sentence_around(left: Column, hit: Column, right: Column) -> Column:
     return squash(F.concat(head, hit, tail))
 
 
+def _looked_up(word: Column, values: dict, default: Column) -> Column:
+    """The value of the lower-cased word, which is computed once."""
+    if not values:
+        return default
+    pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.element_at(pairs, F.lower(word)), default)
+
+
 def currency_of(word: Column, profile: Profile) -> Column:
     """Word as written -> ISO code, else the local currency."""
-    out = F.lit(profile.currency)
-    for w, code in reversed(list(profile.currency_words.items())):
-        out = F.when(F.lower(word) == w.lower(), F.lit(code)).otherwise(out)
-    return out
+    codes = {w.lower(): code for w, code in reversed(list(profile.currency_words.items()))}
+    return _looked_up(word, codes, F.lit(profile.currency))
 
 
 def _plain_number(number: Column, profile: Profile) -> Column:
@@ -41,29 +47,33 @@ def _plain_number(number: Column, profile: Profile) -> Column:
 
 
 def _factor(word: Column, profile: Profile) -> Column:
-    out = F.lit(1)
-    for w, n in profile.multiplier_words.items():
-        out = F.when(F.lower(word) == w, F.lit(n)).otherwise(out)
-    return out.cast("decimal(18,0)")
+    return _looked_up(word, profile.multiplier_words, F.lit(1)).cast("decimal(18,0)")
 
 
-def amount(number: Column, multiplier: Column, profile: Profile) -> Column:
-    """Exact decimal value, null where the digits make no number."""
-    plain = _plain_number(number, profile)
+def _value(plain: Column, multiplier: Column, profile: Profile) -> Column:
     value = F.when(plain.rlike(r"\A\d+(\.\d*)?\z"), plain.try_cast("decimal(28,6)"))
     return (value * _factor(multiplier, profile)).cast("decimal(38,6)")
 
 
-def amount_text(number: Column, multiplier: Column, profile: Profile) -> Column:
-    """The amount as text, with as many decimals as the page wrote."""
-    scale = F.length(F.regexp_extract(_plain_number(number, profile), r"\.(\d*)\z", 1))
-    text = amount(number, multiplier, profile).cast("string")
+def _value_text(plain: Column, value: Column) -> Column:
+    scale = F.length(F.regexp_extract(plain, r"\.(\d*)\z", 1))
+    text = value.cast("string")
     whole = F.substring_index(text, ".", 1)
     return F.when(scale == 0, whole).otherwise(
         F.concat(whole, F.lit("."), F.left(F.substring_index(text, ".", -1),
                                            F.least(scale, F.lit(6)))))
 
 
+def amount(number: Column, multiplier: Column, profile: Profile) -> Column:
+    """Exact decimal value, null where the digits make no number."""
+    return _value(_plain_number(number, profile), multiplier, profile)
+
+
+def amount_text(number: Column, multiplier: Column, profile: Profile) -> Column:
+    """The amount as text, with as many decimals as the page wrote."""
+    return _value_text(_plain_number(number, profile), amount(number, multiplier, profile))
+
+
 def budget_kind(sentence: Column, profile: Profile) -> Column:
     """First kind, in profile order, with a cue in the sentence."""
     def first(low: Column) -> Column:
@@ -88,39 +98,39 @@ def _pattern(profile: Profile) -> str:
 def money_mentions(text: Column | str, profile: Profile) -> Column:
     """Every sum named in a text, in order, as an array of structs.
 
-    Matches and the text between them come out of one pattern; their running lengths give
-    each match's left and right context."""
+    One pass of one pattern gives the matches with their groups and the text between them; what
+    stands before and after a match are its left and right context."""
     text = _col(text)
     if not profile.currency_words:
         return F.array().cast(MONEY)
     rx = _pattern(profile)
-    # a code point no text may hold marks both ends of every match
+    # a code point no text may hold marks both ends of every match and of its word, number and
+    # multiplier, which are groups of one of two alternatives
     marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), rx,
-                              MARK + "$0" + MARK)
+                              MARK.join(["", "$0", "$1$6", "$2$4", "$3$5", ""]))
 
     def read(parts: Column) -> Column:
-        # parts: text, match, text, match, …, text
-        def one(i: Column) -> Column:
-            hit = F.element_at(parts, i * 2)
-            # the match by itself parses the way it did in the text
-            group = lambda g: F.regexp_extract(hit, rx, g)
-            pick = lambda a, b: F.coalesce(F.nullif(group(a), F.lit("")), group(b))
-            return F.struct(
-                hit.alias("hit"), pick(1, 6).alias("word"), pick(2, 4).alias("number"),
-                pick(3, 5).alias("mult"),
-                F.array_join(F.slice(parts, F.lit(1), i * 2 - 1), "").alias("left"),
-                F.array_join(F.slice(parts, i * 2 + 1, F.size(parts)), "").alias("right"))
-        return F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), one)
+        # parts: text, match, word, number, multiplier, text, …, text
+        def all_of(page: Column) -> Column:
+            # page: text, match, text, match, …, text
+            def one(i: Column) -> Column:
+                at = lambda n: F.element_at(parts, i * 5 - 5 + n)
+                return F.struct(
+                    at(2).alias("hit"), at(3).alias("word"), _plain_number(at(4), profile).alias("plain"),
+                    at(5).alias("mult"),
+                    F.array_join(F.slice(page, F.lit(1), i * 2 - 1), "").alias("left"),
+                    F.array_join(F.slice(page, i * 2 + 1, F.size(page)), "").alias("right"))
+            return F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 5).cast("int")), one)
+        return let(F.filter(parts, lambda _, i: i % 5 < 2), all_of)
 
     def finish(m: Column) -> Column:
         parts = F.struct(
-            m["hit"].alias("hit"), currency_of(m["word"], profile).alias("code"),
-            amount(m["number"], m["mult"], profile).alias("value"),
-            amount_text(m["number"], m["mult"], profile).alias("native"),
+            m["hit"].alias("hit"), currency_of(m["word"], profile).alias("code"), m["plain"].alias("plain"),
+            _value(m["plain"], m["mult"], profile).alias("value"),
             sentence_around(m["left"], m["hit"], m["right"]).alias("sentence"))
         return let(parts, lambda p: F.struct(
             squash(p["hit"]).alias("amount_raw"), p["code"].alias("currency"),
-            p["native"].alias("amount_native"), p["value"].alias("amount"),
+            _value_text(p["plain"], p["value"]).alias("amount_native"), p["value"].alias("amount"),
             F.when(p["code"] == "HUF", p["value"].try_cast("bigint")).alias("amount_huf"),
             budget_kind(p["sentence"], profile).alias("kind"),
             first_year(p["sentence"]).alias("year"), p["sentence"].alias("sentence")))
@@ -129,8 +139,8 @@ def money_mentions(text: Column | str, profile: Profile) -> Column:
     named = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [
         F.contains(low, F.lit(w.lower())) for w in profile.currency_words]))
     found = F.when(named, F.split(marked, MARK, -1))
-    return F.when(F.size(found) > 1, F.transform(let(found, read), finish).cast(MONEY)).otherwise(
-        F.array().cast(MONEY))
+    return let(found, lambda parts: F.when(F.size(parts) > 1, F.transform(read(parts), finish).cast(MONEY)).otherwise(
+        F.array().cast(MONEY)))
 
 
 def relevant_money(mentions: Column, profile: Profile) -> Column:

@@ -124,3 +124,17 @@ def test_shared_names_and_score(one):
     assert hint["relationship"] == "direct_implementation"
     low = mt.features(F.lit(0.1), (arr(), arr()), (arr(), arr()), (arr(), arr()))
     assert one(mt.suggest_relationship(low, F.lit(True)))["relationship"] == "probably_unrelated"
+
+
+def test_the_money_pattern_is_matched_once_per_text(spark):
+    texts = [("It paid €2.5 million, 30 EUR and £1,000.25 in 2023.\nThe budgeted 5 k$ are left.",), ("No sum, only EUR.",)]
+    m = spark.createDataFrame(texts, "t string").select(mn.money_mentions("t", ENGLISH).alias("m"))
+    got = [[(x["amount_raw"], x["currency"], x["amount_native"], x["kind"], x["year"]) for x in r["m"]] for r in m.collect()]
+    assert got == [[("€2.5 million", "EUR", "2500000.0", "estimated_cost", 2023), ("30 EUR", "EUR", "30", "estimated_cost", 2023),
+                    ("£1,000.25", "GBP", "1000.25", "estimated_cost", 2023), ("5 k$", "USD", "5000", "estimated_cost", None)], []]
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("(?iuU)") == 1
+
+
+def test_a_task_reads_a_bounded_part_of_a_file(spark):
+    from pledgetrace.session import tune
+    assert tune(spark).conf.get("spark.sql.files.maxPartitionBytes") == "16m"
