@@ -213,3 +213,58 @@ def test_place_names_in_shards_against_the_pattern(spark, monkeypatch):
     assert got() == want and len(want) > 100
     monkeypatch.setattr(pl, "NAMES", 20)
     assert got() == want
+
+
+def searched(spark, sent=None):
+    """Commitments, sources and results whose substrings lie anywhere in a search: behind the domain, in
+    it, across both, or nowhere, with one that every search holds."""
+    c = spark.createDataFrame([(1, "Plan A", "M1", "x"), (2, "Plan B", None, "y"), (3, "Other plan", "M3", "x"), (4, "Alone", None, "z")],
+                              "id long, title string, code string, jurisdiction string")
+    s = spark.createDataFrame(
+        [(1, "https://a.hu/1#f", "Office X", "t", 2, "x"), (2, "https://a.hu/2", None, "t", 1, None),
+         (3, "https://b.hu/3", "Office Y", "t", 1, "y"), (4, "https://c.hu/4", "Office X", "t", 3, "x")],
+        "id long, url string, publisher string, title string, sort_order int, jurisdiction string")
+    r = spark.createDataFrame(
+        [(n, sub, f"https://{host}/{page}") for n, (sub, host, page) in enumerate([
+            ("plan", "a.hu", "p1#x"), ("plan", "evil.hu", "p2"), ("a.hu plan", "sub.a.hu", "p3"), ("plan a m1 office", "c.hu", "p4"),
+            ("site:b", "b.hu", "p5"), ("", "a.hu", "2"), ("PLAN B", "b.hu", "3"), (None, "a.hu", "p6"), ("nowhere", "a.hu", "p7"),
+            ("hu o", "c.hu", "p8"), ("plan", "a.hu", "p9"), ("plan", "b.hu", "p10")])], "pos int, query_substring string, url string")
+    return c, s, r
+
+
+def found_by_hand(c, s, r, limit):
+    rows = {}
+    for com in c.collect():
+        own = sorted((x for x in s.collect() if x.jurisdiction in (None, com.jurisdiction)), key=lambda x: (x.sort_order, x.id))
+        hosts = {x.url.split("/")[2]: True for x in own}
+        for x in own:
+            hosts[x.url.split("/")[2]] &= x.jurisdiction is not None
+        term = next((x.publisher for x in own if x.jurisdiction and x.publisher), "")
+        urls = []
+        for host in sorted(hosts):
+            text = f"site:{host} " + " ".join(t for t in (f"{com.title} {com.code or ''}".strip(), term if hosts[host] else "") if t)
+            held = [x for x in r.collect() if x.query_substring is not None and x.query_substring.lower() in text.lower()]
+            urls += [x.url.split("#")[0] for x in sorted(held, key=lambda x: x.pos)[:limit]]
+        urls += [x.url.split("#")[0] for x in own]
+        ok = [u for u in dict.fromkeys(urls) if any(("." + u.split("/")[2]).endswith("." + h) for h in hosts)]
+        rows |= {(com.id, u): i + 1 for i, u in enumerate(ok)}
+    return rows
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_searches_against_plain_search(spark, monkeypatch, sent):
+    monkeypatch.setattr(so, "SENT", sent)
+    c, s, r = searched(spark)
+    for limit in (2, 5):
+        got = so.collected_urls(c, s, r, [], limit).collect()
+        want = found_by_hand(c, s, r, limit)
+        assert {(x.commitment_id, x.url): x.position for x in got} == want and len(got) == len(want)
+        counts = so.collected_counts(c, s, r, [], limit)
+        assert {x.commitment_id: x.n for x in counts.collect()} == {i: sum(k[0] == i for k in want) for i in {k[0] for k in want}}
+
+
+def test_no_substring_passes_through_the_driver(spark):
+    """Searches are joins: no Python task holds all substrings."""
+    c, s, r = searched(spark)
+    hits = so.search_hits(c.select(c.id.alias("query_id"), c.title.alias("query")), r, 3)
+    assert "InPandas" not in hits._jdf.queryExecution().optimizedPlan().toString()
