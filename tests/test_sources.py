@@ -268,3 +268,14 @@ def test_no_substring_passes_through_the_driver(spark):
     c, s, r = searched(spark)
     hits = so.search_hits(c.select(c.id.alias("query_id"), c.title.alias("query")), r, 3)
     assert "InPandas" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_searches_send_no_table_of_substrings_to_every_task(spark):
+    """A staged file is much smaller than its rows, so the planner would send them through the driver."""
+    subs = so._substrings(spark.createDataFrame([("a b", 1, "u"), ("st", 2, "v")], "query_substring string, pos int, url string"), 5)
+    domains = spark.createDataFrame([("x.a",), ("y.st",)], "domain string")
+    special = so._special_domains(domains, subs, [2, 3])
+    found = so._found(spark.createDataFrame([(1, "at last")], "k int, t string"), ["k"], subs, [2, 3], 5, "t")
+    assert {r["domain"] for r in special.collect()} == {"x.a", "y.st"} and [r["url"] for r in found.collect()] == ["v"]
+    for df in (special, found):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
