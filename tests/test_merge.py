@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pledgetrace.operators import merge as mg
 from pledgetrace.profile import ENGLISH
@@ -82,3 +83,17 @@ def test_chunks_are_replaced_together(spark):
     old = spark.createDataFrame([(1, "m", 0), (1, "m", 1), (2, "m", 0)], cols)
     new = spark.createDataFrame([(1, "m", 0)], cols)
     assert sorted(map(tuple, mg.replace_chunks(old, new).collect())) == [(1, "m", 0), (2, "m", 0)]
+
+
+def test_a_task_reads_a_bounded_part_of_a_shuffle(spark):
+    """M6: tasks hold what they read, so their share does not grow with the shuffle."""
+    from pledgetrace.session import tune
+    tune(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        # about 70 MB in the shuffle, on four cores
+        rows = spark.range(1_000_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+        assert rows.repartition("id").rdd.getNumPartitions() >= 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
