@@ -117,12 +117,12 @@ class EvidenceStore:
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         return rows if touched is None else rows.filter(F.col("bucket").isin(touched))
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replaces the buckets that ``rows`` are in; gives the rows as they were written first."""
-        rows = stage(rows, name)
+    def write(self, name: str, rows: DataFrame, touched: list[int] | None = None) -> DataFrame:
+        """Replaces the buckets that ``rows`` are in; gives the table, or the buckets that are named, as it is
+        then. ``rows`` may read these buckets: their files are replaced when all new ones are written."""
         (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(f"{self.root}/{name}"))
-        return rows
+        return self.read(name, touched)
 
     def last_id(self, name: str) -> int:
         return int(self.read(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])  # one number
@@ -131,7 +131,8 @@ class EvidenceStore:
         """M4, M5, M6 for the buckets of a batch. Of a key seen twice the last one by ``order`` counts."""
         keys = ["commitment_id", "url"]
         rest = [c for c in batch.columns if c not in keys]
-        once = stage(batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[
+        # dealt out before the order of equal rows is made, which is longer than the rows
+        once = stage(batch.repartition(*keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[
             F.to_json(F.struct(c)).alias(f"_{c}") for c in rest])).alias("_r")).select(*keys, "_r.*"), "batch")
         # at most as many as there are buckets
         touched = [r[0] for r in once.select(_bucket(buckets=self.buckets)).distinct().collect()]
@@ -141,13 +142,14 @@ class EvidenceStore:
         decided = links.select("evidence_id", "review_status")
         decided = decided if reviews is None else decided.unionByName(reviews.select("evidence_id", "review_status"))
         rows = merge_evidence(self.read("evidence", touched).drop("bucket"), once, decided, self.last_id("evidence"))
-        rows = self.write("evidence", rows.withColumn("bucket", _bucket(buckets=self.buckets)))
-        found = once.join(rows.select(*keys, F.col("id").alias("evidence_id"), "bucket"), keys)
+        rows = self.write("evidence", rows.withColumn("bucket", _bucket(buckets=self.buckets)), touched)
+        # a file much smaller than its rows: not sent whole through the driver
+        found = once.join(rows.select(*keys, F.col("id").alias("evidence_id"), "bucket").hint("merge"), keys)
         if "money" in batch.columns:
-            old = self.read("budgets", touched)
-            new = found.select("evidence_id", F.explode("money").alias("m")).select("evidence_id", "m.*")
-            out = merge_budgets(old.drop("bucket"), new, decided, last_id=self.last_id("budgets"))
-            self.write("budgets", out.join(rows.select(F.col("id").alias("evidence_id"), "bucket"), "evidence_id"))
+            # a figure is in the bucket of its evidence, so the bucket goes along and is not looked up again
+            new = found.select("evidence_id", "bucket", F.explode("money").alias("m")).select("evidence_id", "bucket", "m.*")
+            out = merge_budgets(self.read("budgets", touched), new, decided, last_id=self.last_id("budgets"))
+            self.write("budgets", out)
         # last, as the reviews above are read from these buckets
         if "score" in batch.columns:
             new = found.select(*[c for c in ("commitment_id", "evidence_id", "score", "suggested_relationship", "reasons")

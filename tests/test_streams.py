@@ -149,3 +149,17 @@ def test_contract_states_are_read_from_as_many_files_as_there_are_cores(spark, m
     [(path, more)] = seen
     n = spark.sparkContext.defaultParallelism
     assert more["per_trigger"] == n and len(spark.read.parquet(path).inputFiles()) > n
+
+
+def test_a_run_writes_its_buckets_once(spark, monkeypatch):
+    names, real = [], st.stage
+    monkeypatch.setattr(st, "stage", lambda df, name: names.append(name) or real(df, name))
+    store = st.EvidenceStore(spark, shared_dir(spark, "ev9"), KEPT)
+    for n in (1, 2):
+        store.merge(found(spark, [(c, "u", f"s{n}", float(n), ["5", str(n)], n) for c in range(5)]), "seq")
+    assert names == ["batch", "batch"]
+    assert {r["snippet"] for r in store.read("evidence").collect()} == {"s2"}
+    assert [r["score"] for r in store.read("links").collect()] == [2.0] * 5
+    figures = [(r["evidence_id"], r["amount_raw"]) for r in store.read("budgets").collect()]
+    # in the first run both figures of a page are new, in the second one of them
+    assert len(figures) == len(set(figures)) == 15
