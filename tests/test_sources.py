@@ -279,3 +279,26 @@ def test_searches_send_no_table_of_substrings_to_every_task(spark):
     assert {r["domain"] for r in special.collect()} == {"x.a", "y.st"} and [r["url"] for r in found.collect()] == ["v"]
     for df in (special, found):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, room", [("J4_source_routing", 0.2), ("J7_search_hits", 0.5)])
+def test_products_take_little_room(spark, tmp_path, name, room):
+    """The result is commitments times sources, so its files must not take bytes for each of its rows."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+    tables = {"customer": "select id as c_custkey, concat('Customer#', lpad(cast(id as string), 9, '0')) as c_name, cast(1 as double) as c_acctbal from range(600)",
+              "supplier": "select id as s_suppkey, concat('Supplier#', id) as s_name from range(4500)",
+              "orders": "select id as o_orderkey, id % 600 as o_custkey from range(3000)"}
+    con = duckdb.connect()
+    for table, sql in tables.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{table}.parquet"))
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    entry.queries()[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    con.execute(f"create view got as select * from '{tmp_path}/out/*.parquet'")
+    con.execute(f"create table want as {entry.oracle_sql()[name]}")
+    cols = ", ".join(c[0] for c in con.execute("describe want").fetchall())
+    n = con.execute("select count(*) from want").fetchone()[0]
+    assert con.execute("select count(*) from got").fetchone()[0] == n > 1_400_000
+    assert con.execute(f"select count(*) from (select {cols} from want except select {cols} from got)").fetchone()[0] == 0
+    assert sum(f.stat().st_size for f in files) < room * n
